@@ -3,9 +3,8 @@
 1. Each text gives its set of word shingles (64-bit hashes), the set's key, a MinHash signature and band keys.
    Texts with equal sets are one class from here on, represented by the smallest id.
 2. Representatives that share a band key are candidates. A bucket, of any size, first links each member to its
-   smallest member only; verified links give first components. What is left are members outside the component of
-   their bucket's smallest member: they are paired with the bucket's members in other components. So a bucket of n
-   copies gives n pairs, not n * n, and no link between components is left out.
+   smallest member only; verified links give first components. Then components that share a bucket are compared
+   as wholes, in blocks. So a bucket of n copies gives n pairs, not n * n, and no link between components is lost.
 3. A pair's signatures are compared batch by batch. After each batch the posterior of the similarity (uniform
    prior, binomial likelihood) is asked how likely it reaches the threshold; below ``MISS`` the pair is dropped.
 4. Survivors are verified on the full shingle sets, and the links' components are found.
@@ -30,6 +29,8 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 #: Hashes compared between two looks at the posterior, and the chance at which a look may drop a true link.
 BATCH, MISS = 32, 1e-6
+#: Documents of a large component that one task compares with documents of small ones.
+CHUNK = 256
 MEMO_WORDS = 300_000
 _random = np.random.default_rng(20_240_229)
 MULTIPLY = _random.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -163,6 +164,64 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(test, pairs.schema)
 
 
+def links_between(shared: DataFrame, found: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links (a, b) between the components ``found`` that share a bucket, one at least for each two that are linked.
+
+    Of two such components every document of the smaller is compared with all of the larger one, which is dealt
+    into chunks; a chunk gives one link for a document at most. So neither buckets nor components of any size are
+    expanded into pairs of documents. Pairs of lone documents that the first pass has compared are left out.
+    """
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    part, size = F.coalesce("component", "doc").alias("part"), F.coalesce("size", F.lit(1)).alias("size")
+    parts = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "component", "left").select("band", "lead", "doc", part, size)
+    met = parts.select("band", "lead", "part", "size").distinct()
+    p, q = (met.select("band", "lead", F.col("part").alias(x), F.col("size").alias(f"{x}_size")) for x in ("p", "q"))
+    fresh = ~((F.col("p_size") == 1) & (F.col("q_size") == 1) & ((F.col("p") == F.col("lead")) | (F.col("q") == F.col("lead"))))
+    pairs = p.join(q, ["band", "lead"]).where((F.col("p") < F.col("q")) & fresh).select("p", "q", "p_size", "q_size").distinct()
+    less = F.col("p_size") < F.col("q_size")
+    work = written(pairs.select(F.when(less, F.col("p")).otherwise(F.col("q")).alias("small"), F.when(less, F.col("q")).otherwise(F.col("p")).alias("big"), F.ceil(F.greatest("p_size", "q_size") / CHUNK).cast("int").alias("chunks")))
+
+    members = found.select(F.col("component").alias("part"), F.col("node").alias("doc"))
+    lone = work.select(F.col("small").alias("part")).union(work.select("big")).distinct().join(members.select("part").distinct(), "part", "left_anti").select("part", F.col("part").alias("doc"))
+    members = written(members.unionByName(lone))
+    large = work.groupBy("big").agg(F.max("chunks").alias("chunks")).join(members.withColumnRenamed("part", "big"), "big").select("big", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"), "doc")
+    small = work.join(members.withColumnRenamed("part", "small"), "small").select("big", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "doc")
+    rows = large.unionByName(small).join(sketches.select("doc", "signature"), "doc").join(texts, "doc").select("big", "chunk", "role", "doc", "signature", "text")
+    ordered = rows.repartition("big", "chunk").sortWithinPartitions("big", "chunk", "role")
+    needed, per_cent = least_matches(threshold), round(threshold * 100)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, current, ids, signatures, sets = Shingler(words), None, [], [], []
+        for batch in batches:
+            out = []
+            for big, chunk, role, doc, signature, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (big, chunk) != current:
+                    current, ids, signatures, sets = (big, chunk), [], [], []
+                signature = np.frombuffer(signature, np.uint32)
+                if role == 0:
+                    ids.append(doc)
+                    signatures.append(signature)
+                    sets.append(shingler(text or ""))
+                    continue
+                if isinstance(signatures, list):
+                    signatures = np.array(signatures).reshape(len(ids), HASHES)
+                left, matches, at = np.arange(len(ids)), np.zeros(len(ids), np.int64), 0
+                for n, least in needed:
+                    matches[left] += (signatures[left, at:n] == signature[at:n]).sum(axis=1)
+                    left, at = left[matches[left] >= least], n
+                own = shingler(text or "") if len(left) else None
+                for i in left[np.argsort(-matches[left], kind="stable")].tolist():
+                    both = len(np.intersect1d(own, sets[i], assume_unique=True))
+                    if both and 100 * both >= per_cent * (len(own) + len(sets[i]) - both):
+                        out.append((min(doc, ids[i]), max(doc, ids[i])))
+                        break
+            columns = list(zip(*out, strict=True)) if out else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, batch.column(3).type) for c in columns], names=["a", "b"])
+
+    kind = found.schema["node"].dataType.simpleString()
+    return ordered.mapInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id_col, n_shingles, component_id, kept (id = component_id), a row for each row of ``docs``.
 
@@ -188,14 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     first = written(verified(written(plausible(shared.where("doc != lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), of_reps, threshold)), one_each, words, threshold))
 
     found = connected_components(first)
-    placed = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
-    open_bands = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p != q and n > 2").select("band")
-    still = written(placed.join(open_bands, "band", "left_semi"))
-    of_lead = still.where("doc = lead").select("band", F.col("part").alias("lead_part")).distinct()
-    outside = still.join(of_lead, "band").where("part != lead_part").select("band", F.col("doc").alias("x"), F.col("part").alias("x_part"))
-    others = still.join(of_lead, "band").select("band", F.col("doc").alias("y"), F.col("part").alias("y_part"), (F.col("part") != F.col("lead_part")).alias("y_outside"), "lead")
-    met = outside.join(others, "band").where("x_part != y_part and y != lead and (not y_outside or x < y)")
-    second = verified(written(plausible(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), of_reps, threshold)), one_each, words, threshold)
+    second = written(links_between(shared, found, of_reps, one_each, words, threshold))
 
     # texts of one id in several classes are one document of several texts: the id itself links them
     same_id = of_class.where("doc != rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
