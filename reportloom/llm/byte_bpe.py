@@ -29,7 +29,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG_WORD = 48
 BLOCK_WORDS = 4096
 #: Words that a Python worker remembers at most, and their greatest length.
-MEMO_WORDS, MEMO_CHARS = 300_000, 48
+MEMO_WORDS, MEMO_CHARS = 600_000, 48
 NONE = (1 << 31) - 1
 #: White space for str.split() that the patterns below do not take as such.
 CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -49,8 +49,16 @@ def byte_letters() -> dict[str, int]:
 ENDED_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
-def beyond_latin(chunk: str) -> bool:
-    return not chunk.isascii() and max(chunk) >= "\u0530"
+BEYOND_LATIN = re.compile(r"[\u0530-\U0010ffff]")
+
+
+def beyond_latin(text: str) -> bool:
+    """Whether a text has letters beyond Latin, Greek and Cyrillic; most texts are settled by one fast encoding."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return BEYOND_LATIN.search(text) is not None
+    return False
 
 
 class ByteBPE:
@@ -162,7 +170,7 @@ class ByteBPE:
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
         """Packed ids of chunks that no merge crosses: each chunk's words are found and merged once."""
-        if self.end and any(map(beyond_latin, chunks)):
+        if self.end and beyond_latin("".join(chunks)):
             return self.library_ids(chunks)
         found = [self.words_of(c) for c in chunks]
         ids = self.merge(list({w for words in found for w in words}))
@@ -196,21 +204,20 @@ class ByteBPE:
     def pack(self, listed: list[list[str]]) -> list[bytes]:
         """For each list of chunks, their ids as little-endian unsigned 32-bit integers."""
         memo = self.memo
-        new = {c for chunks in listed for c in chunks}.difference(memo)
+        new = set().union(*listed).difference(memo)
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
-            new = {c for chunks in listed for c in chunks}
+            new = set().union(*listed)
         fresh = list(new)
-        memo.update(zip(fresh, self.chunk_ids([self.whole(c) for c in fresh]), strict=True))
+        memo.update(zip(fresh, self.chunk_ids(fresh if self.end else [self.whole(c) for c in fresh]), strict=True))
         out = [b"".join(map(memo.__getitem__, chunks)) for chunks in listed]
-        for c in fresh:
-            if len(c) > MEMO_CHARS:
-                del memo[c]
+        for c in [c for c in fresh if len(c) > MEMO_CHARS]:
+            del memo[c]
         return out
 
     def whole(self, chunk: str) -> str:
         """What a chunk of ``chunks_of`` stands for: a leading space marks a text's start, none a space before."""
-        return chunk if self.end else chunk[1:] if chunk[:1] == " " else " " + chunk
+        return chunk[1:] if chunk[:1] == " " else " " + chunk
 
     def chunks_of(self, text: str) -> list[str]:
         """``text`` cut before each single space that stands between characters that are no white space.

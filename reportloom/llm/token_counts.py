@@ -46,10 +46,10 @@ def make_counter(model_path: str) -> Callable[[list[str]], list[int]]:
 
     def count(texts: list[str]) -> list[int]:
         cut = [safe_parts(t) for t in texts]
-        new = [p for p in {p for parts in cut for p in parts} if p not in memo]
+        new = list(set().union(*cut).difference(memo))
         if len(memo) + len(new) > MEMO_PARTS:
             memo.clear()
-            new = list({p for parts in cut for p in parts})
+            new = list(set().union(*cut))
         for a, b in by_bytes(new):
             memo.update(zip(new[a:b], map(len, processor.encode(new[a:b], num_threads=1)), strict=True))
         counts = [sum(map(memo.__getitem__, parts)) for parts in cut]
