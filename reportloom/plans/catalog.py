@@ -1,17 +1,416 @@
-"""All queries by name, with their SQL."""
+"""All queries by name, each over its whole tables, with SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-FLAGSHIP = "pricing_summary"
+from ..functions import facts as K
+from ..functions import measure as M
+from ..functions import text as T
+from ..operators import facts as O
+from ..operators import stats as S
+from ..operators import structure as B
+from ..sources import html as H
+
+FLAGSHIP = "ending_class_topk"
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.line_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+# SQL pieces: white space as Unicode has it, sentences without lookbehind, closing characters.
+WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SENTENCES = rf"list_filter(string_split(regexp_replace(coalesce(text, ''), '(^|[^0-9])([.!?]){WS}+', '\1\2' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '{WS}+', '', 'g') <> '')"
+CLOSERS_SQL = "' ' || chr(9) || chr(10) || '.!?)]}>」』】〕〉》\"''”’…'"
+CORE = f"rtrim(s, {CLOSERS_SQL})"
+CLASS = f"""CASE WHEN {CORE} = '' THEN '기타' WHEN {CORE} LIKE '%니다' THEN '~습니다 (합쇼체)' WHEN right({CORE}, 1) = '다' THEN '~다 (서술)'
+  WHEN right({CORE}, 1) = '요' THEN '~요' WHEN right({CORE}, 1) IN ('음', '함', '임', '됨') THEN '~음/함/임 (개조식)'
+  WHEN regexp_matches(right({CORE}, 1), '[가-힣]') THEN '명사 종결' WHEN regexp_matches(right({CORE}, 1), '[0-9%)]') THEN '수치·기호 종결' ELSE '기타' END"""
+TAIL = f"CASE WHEN length({CORE}) >= 2 THEN right({CORE}, 2) ELSE '' END"
+LINES = "SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS ord FROM documents"
+BLANK = rf"regexp_full_match(line, '({WS}|\p{{Cf}}|\p{{Cc}}|\p{{Z}}|[\x{{3164}}\x{{115F}}\x{{1160}}\x{{2800}}\x{{17B4}}\x{{17B5}}\x{{034F}}])*')"
+
+
+def shares_sql(source: str, by: str, value: str, n: int) -> str:
+    return f"""
+WITH v AS ({source}), c AS (SELECT {by}, {value} AS value, count(*) AS n FROM v GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, value) AS k, sum(n) OVER (PARTITION BY {by}) AS total FROM c)
+SELECT {by}, value, CAST(n AS BIGINT) AS count, round_even(n / total, 3) AS share, CAST(k AS BIGINT) AS rank FROM r WHERE k <= {n}"""
+
+
+def dist_sql(source: str, by: str, value: str) -> str:
+    at = lambda q: f"round_even(CAST(l[least(len(l) - 1, CAST(floor({q} * len(l)) AS BIGINT)) + 1] AS DOUBLE), 2)"
+    return f"""
+WITH v AS ({source}), g AS (SELECT {by}, list_sort(list({value})) AS l FROM v WHERE {value} IS NOT NULL GROUP BY 1)
+SELECT {by}, CAST(len(l) AS BIGINT) AS n, {at(0)} AS min, {at(0.25)} AS p25, {at(0.5)} AS p50, {at(0.75)} AS p75, {at(0.9)} AS p90, {at(1)} AS max FROM g"""
+
+
+SENTENCE_SQL = f"SELECT lang, doc_id, unnest({SENTENCES}) AS s FROM documents"
+
+
+@query(shares_sql(f"SELECT lang, {CLASS} || ' ' || {TAIL} AS value FROM ({SENTENCE_SQL})", "lang", "value", 8))
+def ending_class_topk(spark, sf_dir):
+    """The commonest sentence endings of each language with their shares."""
+    return S.ending_shares(table(spark, sf_dir, "documents"))
+
+
+@query(shares_sql(f"SELECT source, {CLASS} AS value FROM (SELECT source, unnest({SENTENCES}) AS s FROM documents)", "source", "value", 8))
+def ending_class_by_source(spark, sf_dir):
+    rows = S.sentence_rows(table(spark, sf_dir, "documents"), ["source"]).select("source", T.ending_class(F.col("sentence")).alias("value"))
+    return S.top_shares(rows, "value", ["source"])
+
+
+@query(dist_sql(f"SELECT lang, length(s) AS n FROM ({SENTENCE_SQL})", "lang", "n"))
+def text_dist_by_lang(spark, sf_dir):
+    rows = S.sentence_rows(table(spark, sf_dir, "documents"), ["lang"]).select("lang", F.char_length("sentence").alias("chars"))
+    return S.distribution(rows, "chars", ["lang"])
+
+
+@query(f"SELECT doc_id, CAST(len({SENTENCES}) AS BIGINT) AS sentences FROM documents")
+def sentence_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
+
+
+@query(dist_sql(f"SELECT lang, len({SENTENCES}) AS n FROM documents", "lang", "n"))
+def sentences_per_item(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", F.size(T.sentences(F.col("text"))).alias("n"))
+    return S.distribution(rows, "n", ["lang"])
+
+
+@query(f"SELECT lang, round_even(count(*) FILTER (WHERE regexp_matches(s, '[.!?。]{WS}*$')) / count(*), 3) AS period_share, CAST(count(*) AS BIGINT) AS sentences FROM ({SENTENCE_SQL}) GROUP BY 1")
+def period_share(spark, sf_dir):
+    rows = S.sentence_rows(table(spark, sf_dir, "documents"), ["lang"])
+    return rows.groupBy("lang").agg(S.ratio(F.count_if(F.col("sentence").rlike(r"(?U)[.!?。]\s*$")), F.count("*")).alias("period_share"), F.count("*").alias("sentences"))
+
+
+RUNS_SQL = f"""
+WITH l AS (SELECT doc_id, ord, {BLANK} AS blank FROM ({LINES})),
+m AS (SELECT *, sum(CASE WHEN blank THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM l),
+r AS (SELECT doc_id, k, count(*) FILTER (WHERE blank) AS length, max(k) OVER (PARTITION BY doc_id) AS last FROM m GROUP BY doc_id, k)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS run_no, CAST(length AS BIGINT) AS length FROM r WHERE length > 0 AND k < last"""
+
+
+@query(RUNS_SQL)
+def blank_runs(spark, sf_dir):
+    return S.blank_runs(lines_of(spark, sf_dir))
+
+
+@query(f"SELECT line, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs, CAST(count(*) AS BIGINT) AS occurrences FROM ({LINES}) WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 2")
+def line_repeat(spark, sf_dir):
+    return S.shared_phrases(lines_of(spark, sf_dir).where("line <> ''"), "line", "doc_id")
+
+
+WORD_SQL = "SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), chr(10), ' '), ' ')) AS word FROM documents"
+
+
+@query(f"SELECT word, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs, CAST(count(*) AS BIGINT) AS occurrences FROM ({WORD_SQL}) WHERE word <> '' GROUP BY word HAVING count(DISTINCT doc_id) >= 2")
+def phrases_multi_doc(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.explode(F.split(F.replace(T.filled(F.col("text")), F.lit("\n"), F.lit(" ")), " ", -1)).alias("word"))
+    return S.shared_phrases(words.where("word <> ''"), "word", "doc_id")
+
+
+def forms_sql(forms: dict[str, str]) -> str:
+    each = [f"SELECT '{name}' AS form, len(regexp_extract_all(coalesce(text, ''), '{rx}')) AS n FROM documents" for name, rx in forms.items()]
+    return f"SELECT form, CAST(sum(n) AS BIGINT) AS occurrences, CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS docs FROM ({' UNION ALL '.join(each)}) GROUP BY form"
+
+
+@query(forms_sql({"%p": r"[0-9]\s*%p", "억원": r"[0-9]\s*억\s*원?", "백만원": r"[0-9]\s*백만\s*원", "천단위 콤마": r"[0-9]{1,3}(?:,[0-9]{3})+", "▲/△ 증감": r"[▲△▼▽]\s*[0-9]"}))
+def number_forms(spark, sf_dir):
+    forms = {k: v for k, v in T.NUMBER_FORMS.items() if k != "%"}
+    return S.form_totals(table(spark, sf_dir, "documents"), forms)
+
+
+@query()
+def date_forms(spark, sf_dir):
+    return S.form_totals(table(spark, sf_dir, "documents"), T.DATE_FORMS | {"%": T.NUMBER_FORMS["%"]})
+
+
+ORDER_DATE = "strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d')"
+
+
+@query(shares_sql(f"SELECT o_orderstatus, regexp_replace({ORDER_DATE} || '', '[0-9]', '9', 'g') AS value FROM orders", "o_orderstatus", "value", 10))
+def date_shapes(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", F.explode(K.date_shapes(F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"))).alias("value"))
+    return S.top_shares(rows, "value", ["o_orderstatus"], 10)
+
+
+@query("SELECT o_orderkey, '기한 ' || year(CAST(o_orderdate AS DATE)) || '. ' || month(CAST(o_orderdate AS DATE)) || '. ' || day(CAST(o_orderdate AS DATE)) || '.까지' AS line FROM orders")
+def notation_dates(spark, sf_dir):
+    raw = F.concat(F.lit("기한 "), F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"), F.lit("까지"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", K.dates(raw, "$1. $2. $3.").alias("line"))
+
+
+@query("SELECT o_orderkey, '총 ' || format('{:,}', o_orderkey * 1000 + 7) || '건' AS line FROM orders")
+def thousands_units(spark, sf_dir):
+    raw = F.concat(F.lit("총 "), (F.col("o_orderkey") * 1000 + 7).cast("string"), F.lit("건"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", K.thousands(raw).alias("line"))
+
+
+CHARS = rf"regexp_replace(coalesce(text, ''), '{WS}', '', 'g')"
+
+
+def charset_sql() -> str:
+    count = lambda cls: f"sum(length(regexp_replace({CHARS}, '[^{cls}]', '', 'g')))"
+    parts = ", ".join(f"round_even(CAST({count(c)} AS DOUBLE) / sum(length({CHARS})), 3) AS {k}_share" for k, c in {"hangul": "가-힣ㄱ-ㅎㅏ-ㅣ", "hanja": "一-鿿", "latin": "A-Za-z", "digits": "0-9"}.items())
+    return f"SELECT lang, CAST(sum(length({CHARS})) AS BIGINT) AS chars, {parts} FROM documents GROUP BY lang"
+
+
+@query(charset_sql())
+def charset_share(spark, sf_dir):
+    return S.charset(table(spark, sf_dir, "documents"), "lang")
+
+
+@query()
+def marker_profile(spark, sf_dir):
+    return S.marker_profile(lines_of(spark, sf_dir))
+
+
+@query()
+def line_skeleton(spark, sf_dir):
+    return S.skeleton(lines_of(spark, sf_dir))
+
+
+def items_of(spark, sf_dir):
+    """Document lines as blocks: blank lines, short lines as items of depth length mod 2, others as paragraphs."""
+    kind = F.when(F.col("line") == "", "blank").when(F.char_length("line") <= 40, "item").otherwise("paragraph")
+    return lines_of(spark, sf_dir).select("doc_id", "ord", kind.alias("kind"), (F.char_length("line") % 2).cast("int").alias("depth"), F.col("line").alias("text"))
+
+
+ITEMS = f"SELECT doc_id, ord, CASE WHEN line = '' THEN 'blank' WHEN length(line) <= 40 THEN 'item' ELSE 'paragraph' END AS kind, CAST(length(line) % 2 AS INTEGER) AS depth, line AS text FROM ({LINES})"
+MERGE_SQL = f"""
+WITH b AS ({ITEMS}),
+e AS (SELECT *, lead(text) OVER w AS next, coalesce(kind = 'item' AND lead(kind) OVER w = 'item' AND lead(depth) OVER w = depth AND length(text) + lead(length(text)) OVER w + 3 <= 60, false) AS edge FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+g AS (SELECT *, coalesce(sum(CASE WHEN edge THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e),
+t AS (SELECT *, edge AND row_number() OVER (PARTITION BY doc_id, run ORDER BY ord) % 2 = 1 AS take FROM g),
+x AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY doc_id ORDER BY ord), false) AS eaten FROM t)
+SELECT doc_id, CAST(ord AS BIGINT) AS ord, kind, depth, CASE WHEN take THEN text || ' 및 ' || next ELSE text END AS text FROM x WHERE NOT eaten"""
+
+
+@query(MERGE_SQL)
+def greedy_pair_merge(spark, sf_dir):
+    return B.merge_short_items(items_of(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
+
+
+SETTLE_SQL = f"""
+WITH b AS ({ITEMS}),
+e AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY ord) AS p, min(CASE WHEN kind <> 'blank' THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM b)
+SELECT doc_id, CAST(ord AS BIGINT) AS ord, kind, depth, text FROM e WHERE kind <> 'blank' OR (p <> 'blank' AND after IS NOT NULL)"""
+
+
+@query(SETTLE_SQL)
+def blank_line_settle(spark, sf_dir):
+    return B.settle_blank_lines(items_of(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
+
+
+def star_blocks(spark, sf_dir):
+    """Regions as documents of headings (nations) and items (suppliers)."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    heads = nation.select(F.col("n_regionkey").cast("long").alias("doc_id"), (F.col("n_nationkey") * 1_000_000).cast("long").alias("ord"), F.lit("heading").alias("kind"), F.lit(2).alias("level"), F.lit(None).cast("int").alias("depth"), F.col("n_name").alias("text"))
+    items = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(F.col("n_regionkey").cast("long").alias("doc_id"), (F.col("n_nationkey") * 1_000_000 + F.col("s_suppkey") + 1).cast("long").alias("ord"), F.lit("item").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(0).alias("depth"), F.col("s_name").alias("text"))
+    return heads.unionByName(items)
+
+
+STAR = """SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(n_nationkey AS BIGINT) * 1000000 AS ord, 'heading' AS kind, n_name AS text FROM nation
+UNION ALL SELECT n_regionkey, CAST(n_nationkey AS BIGINT) * 1000000 + s_suppkey + 1, 'item', s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+FOLD_SQL = f"""
+WITH b AS ({STAR}), d AS (SELECT *, CASE WHEN kind = 'heading' THEN 0 ELSE coalesce(max(CASE WHEN kind = 'heading' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY ord), 0) END AS d FROM b)
+SELECT doc_id, ord, 'item' AS kind, text, kind = 'heading' AS from_heading, CAST(d - min(d) OVER (PARTITION BY doc_id) AS INTEGER) AS depth FROM d"""
+
+
+@query(FOLD_SQL)
+def level_fold_windows(spark, sf_dir):
+    return B.fold_levels(star_blocks(spark, sf_dir)).select("doc_id", "ord", "kind", "text", "from_heading", "depth")
+
+
+COUNTER_SQL = f"""
+WITH f AS ({FOLD_SQL}), g AS (SELECT *, sum(CASE WHEN depth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS part FROM f)
+SELECT doc_id, ord, depth, CAST(row_number() OVER (PARTITION BY doc_id, depth, CASE WHEN depth = 0 THEN 0 ELSE part END ORDER BY ord) AS BIGINT) AS number FROM g"""
+
+
+@query(COUNTER_SQL)
+def marker_counters(spark, sf_dir):
+    return B.number_items(B.fold_levels(star_blocks(spark, sf_dir))).select("doc_id", "ord", "depth", "number")
+
+
+@query()
+def marker_texts(spark, sf_dir):
+    numbered = B.number_items(B.fold_levels(star_blocks(spark, sf_dir)))
+    mark = F.when(F.col("depth") == 0, B.format_marker("{ROMAN}.", F.col("number"))).when(F.col("depth") == 1, B.format_marker("{hangul}.", F.col("number"))).otherwise(B.format_marker("{circled}", F.col("number")))
+    return numbered.select("doc_id", "ord", F.concat(mark, F.lit(" "), "text").alias("line"))
+
+
+NUMS = r"list_transform(regexp_extract_all(regexp_replace(coalesce({c}, ''), '([0-9]),([0-9]{{3}})', '\1\2', 'g'), '[0-9]+(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.') THEN rtrim(rtrim(regexp_replace(x, '^0+([0-9])', '\1'), '0'), '.') ELSE regexp_replace(x, '^0+([0-9])', '\1') END)"
+
+
+def turn_pairs(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return turns.select("conv_id", "turn", F.lag("text").over(w).alias("source"), F.col("text").alias("line")).where("source is not null")
+
+
+@query()
+def invented_numbers(spark, sf_dir):
+    """Numbers of each turn that the turn before it has not."""
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.array_join(K.invented_numbers(F.col("line"), F.col("source")), ",").alias("invented"))
+
+
+@query()
+def missing_numbers(spark, sf_dir):
+    """Numbers of each turn that the next one has not."""
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.array_join(K.missing_numbers(F.col("source"), F.col("line")), ",").alias("missing"))
+
+
+@query(f"SELECT lang, doc_id, array_to_string(list_sort(list_distinct({NUMS.format(c='text')})), ',') AS numbers FROM documents")
+def number_sets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("lang", "doc_id", F.array_join(F.array_sort(K.numbers(F.col("text"))), ",").alias("numbers"))
+
+
+TURNS = "SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations"
+WORDS = "list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Za-z][A-Za-z&]*'), lambda x: lower(x))"
+
+
+@query(f"SELECT conv_id, turn, CAST(len(list_filter(list_distinct({WORDS.format(c='text')}), lambda x: NOT list_contains({WORDS.format(c='source')}, x))) AS BIGINT) AS foreign_words FROM ({TURNS}) WHERE source IS NOT NULL")
+def foreign_words(spark, sf_dir):
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.size(K.foreign_words(F.col("line"), F.col("source"))).cast("long").alias("foreign_words"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations)
+SELECT conv_id, CAST(n AS BIGINT) AS sent_no, text FROM c WHERE n % 2 = 0""")
+def uncited_sentences(spark, sf_dir):
+    """Turns as sentences, where each odd turn is a line that cites itself: even turns stay uncited."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("sent_no"), "text")
+    lines = turns.where("sent_no % 2 = 1").select("conv_id", F.col("sent_no").alias("line_no"), "text", F.array("sent_no").alias("src"))
+    return O.uncited_sentences(turns, lines, ["conv_id"])
+
+
+@query()
+def uncovered_by_source(spark, sf_dir):
+    """Turns cited by the next turn, with the numbers that it does not carry over."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("sent_no"), "text")
+    lines = turns.where("sent_no > 1").select("conv_id", F.col("sent_no").alias("line_no"), "text", F.array(F.col("sent_no") - 1).alias("src"))
+    return O.uncovered_by_source(turns, lines, ["conv_id"]).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("SELECT n_nationkey, n_name || ' : n_regionkey ' || n_regionkey || CASE WHEN trim(r_name) <> '' THEN ', r_name ' || trim(r_name) ELSE '' END AS sentence FROM nation JOIN region ON n_regionkey = r_regionkey")
+def flatten_table_sentences(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return O.table_sentences(rows, "n_name", ["n_regionkey", "r_name"]).select("n_nationkey", "sentence")
+
+
+@query("SELECT p_partkey, CAST(length(coalesce(p_name, '')) * 0.5 * 152400 AS DOUBLE) AS width FROM part")
+def text_widths(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", M.text_width(F.col("p_name"), 12 * M.EMU_PER_PT).alias("width"))
+
+
+@query()
+def wrap_counts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", M.wrap_count(F.col("p_name"), 12 * M.EMU_PER_PT, 1_000_000.0).alias("lines"), M.longest_word_width(F.col("p_name"), 12 * M.EMU_PER_PT).alias("longest"))
+
+
+@query("""
+WITH c AS (SELECT n_regionkey AS t, unnest([n_name, CAST(n_nationkey AS VARCHAR)]) AS x, unnest([0, 1]) AS k FROM nation)
+SELECT CAST(t AS BIGINT) AS table_id, CAST(k AS BIGINT) AS "column", CAST(max(length(x) * 0.5 * 152400) AS DOUBLE) AS demand FROM c GROUP BY 1, 2""")
+def column_demands(spark, sf_dir):
+    cells = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("table_id"), F.col("n_nationkey").alias("row_idx"), F.posexplode(F.array("n_name", F.col("n_nationkey").cast("string"))).alias("cell_idx", "text"))
+    placed = B.grid_columns(cells.withColumns({"colspan": F.lit(1), "rowspan": F.lit(1)}))
+    return B.column_demands(placed, M.text_width(F.col("text"), 12 * M.EMU_PER_PT))
+
+
+@query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS BIGINT) AS links, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1))), ' '), '') AS targets FROM pages""")
+def html_links(spark, sf_dir):
+    links = H.links(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("links"), F.array_join(F.array_sort(F.array_distinct(links)), " ").alias("targets"))
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    return H.read_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+HOSTS = r"lower(regexp_extract(url, '//([^/:?#]*)', 1))"
+
+
+@query(shares_sql(rf"SELECT regexp_extract({HOSTS}, '([^.]*)$', 1) AS tld, {HOSTS} AS value FROM pages", "tld", "value", 8))
+def host_shares(spark, sf_dir):
+    host = F.lower(F.regexp_extract("url", "//([^/:?#]*)", 1))
+    return S.top_shares(table(spark, sf_dir, "pages").select(F.regexp_extract(host, r"([^.]*)$", 1).alias("tld"), host.alias("value")), "value", ["tld"])
+
+
+CLOSURE_SQL = """
+WITH RECURSIVE e AS (SELECT CAST(page_id AS BIGINT) AS page, unnest([page_id * 2 + 1, page_id * 2 + 2, page_id // 2]) AS includes, unnest([1, 2, 3]) AS position FROM pages),
+k AS (SELECT e.page, e.includes, lpad(CAST(position AS VARCHAR), 6, '0') AS p FROM e WHERE includes IN (SELECT page_id FROM pages)),
+r AS (SELECT page AS root, includes AS page, 1 AS depth, [page, includes] AS path, p AS key FROM k WHERE page <> includes
+  UNION ALL SELECT root, k.includes, depth + 1, list_append(path, k.includes), key || '/' || p FROM r JOIN k ON r.page = k.page WHERE depth < 4 AND NOT list_contains(path, k.includes)),
+f AS (SELECT *, row_number() OVER (PARTITION BY root, page ORDER BY key) AS n FROM r),
+g AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY key) AS m FROM f WHERE n = 1)
+SELECT root, page, CAST(depth AS BIGINT) AS depth, array_to_string(path, '>') AS path FROM g WHERE m <= 40"""
+
+
+@query(CLOSURE_SQL)
+def page_ref_closure(spark, sf_dir):
+    """Pages that include others, as a tree of ids with links back: all inclusions within four steps."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page"))
+    targets = F.array(F.col("page") * 2 + 1, F.col("page") * 2 + 2, F.floor(F.col("page") / 2))
+    edges = pages.select("page", F.posexplode(targets).alias("position", "includes")).withColumn("position", F.col("position") + 1)
+    known = edges.join(pages.select(F.col("page").alias("__p")), F.col("includes") == F.col("__p"), "left_semi")
+    return B.page_closure(known)
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS n FROM orders)
+SELECT o_custkey, o_orderkey, o_totalprice FROM r WHERE n = 1""")
+def best_of_n(spark, sf_dir):
+    return O.best_attempt(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS place FROM orders")
+def ordered_docs(spark, sf_dir):
+    return O.ordered_documents(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "place")
+
+
+TRIAGE = [("view", "^(?:view|page)", "benign"), ("buy", "purchase|buy|order", "bad"), ("click", "click", "benign")]
+
+
+@query("""
+SELECT rule, severity, CAST(count(*) AS BIGINT) AS notes FROM (SELECT
+  CASE WHEN regexp_matches(event_type, '^(?:view|page)') THEN 'view' WHEN regexp_matches(event_type, 'purchase|buy|order') THEN 'buy' WHEN regexp_matches(event_type, 'click') THEN 'click' ELSE 'other' END AS rule,
+  CASE WHEN regexp_matches(event_type, '^(?:view|page)') THEN 'benign' WHEN regexp_matches(event_type, 'purchase|buy|order') THEN 'bad' WHEN regexp_matches(event_type, 'click') THEN 'benign' ELSE 'info' END AS severity FROM events) GROUP BY 1, 2""")
+def note_triage(spark, sf_dir):
+    notes = table(spark, sf_dir, "events").select(F.col("event_type").alias("note"))
+    return O.triage(notes, TRIAGE).groupBy("rule", "severity").agg(F.count("*").alias("notes"))
+
+
+@query("SELECT CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, lang, CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(string_split(coalesce(text, ''), chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY lang")
+def document_totals(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("lang").agg(F.sum(F.char_length(T.filled(F.col("text")))).alias("chars"), F.count("*").alias("docs"), F.sum(F.size(T.lines(F.col("text")))).alias("lines"))
