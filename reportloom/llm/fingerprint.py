@@ -24,30 +24,43 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 SAMPLES = 128
 #: (word, count) pairs whose scores a worker remembers at most; 8 * SAMPLES bytes each at most.
-MEMO_TERMS = 60_000
+MEMO_TERMS = 100_000
 #: Rows of a range of neighbouring ids, about, until there are MOST_RANGES ranges; a range is read in order by one task.
 BUCKET_ROWS, MOST_RANGES = 2000, 20_000
 EMPTY = np.zeros(SAMPLES, np.uint32)
 
 
-def uniforms(seeds: np.ndarray, salt: int) -> np.ndarray:
-    """Uniform numbers in (0, 1) for each 64-bit seed and sample."""
+STEPS = (np.arange(SAMPLES, dtype=np.uint64) * np.uint64(4) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64(0x7FFFFF)
+
+
+def uniforms(seeds: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent uniform numbers in (0, 1), of 23 bits each, for each 64-bit seed and sample."""
     with np.errstate(over="ignore"):
-        x = seeds[:, None] + (np.arange(SAMPLES, dtype=np.uint64) * np.uint64(8) + np.uint64(salt + 1))[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+        x = seeds[:, None] + (STEPS + np.uint64(salt) * np.uint64(0xD1B54A32D192ED03))[None, :]
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    scale, half = np.float32(2.0**-23), np.float32(2.0**-24)
+    high = (x >> np.uint64(41)).astype(np.uint32).astype(np.float32) * scale + half
+    x >>= np.uint64(18)
+    x &= LOW
+    return high, x.astype(np.uint32).astype(np.float32) * scale + half
 
 
 def term_samples(seeds: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ln(score) as float32 and the hash of (word, t), a row for each term."""
-    r = -np.log(uniforms(seeds, 0) * uniforms(seeds, 1))
-    log_c = np.log(-np.log(uniforms(seeds, 2) * uniforms(seeds, 3)))
-    b = uniforms(seeds, 4)
-    t = np.floor(np.log(weights)[:, None] / r + b)
+    """ln(score) and the hash of (word, t), a row for each term."""
+    u, v = uniforms(seeds, 0)
+    r = -np.log(u * v)
+    u, v = uniforms(seeds, 1)
+    log_c = np.log(-np.log(u * v))
+    b, _ = uniforms(seeds, 2)
+    t = np.floor(np.log(weights)[:, None].astype(np.float32) / r + b)
     with np.errstate(over="ignore"):
         mark = (seeds[:, None] ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
-    return (log_c - r * (t - b) - r).astype(np.float32), (mark >> np.uint64(32)).astype(np.uint32)
+    return log_c - r * (t - b + np.float32(1)), (mark >> np.uint64(32)).astype(np.uint32)
 
 
 class Sampler:
