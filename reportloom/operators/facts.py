@@ -23,7 +23,7 @@ BLOCKED = ("연차", "미채움")
 def cited_text(lines: DataFrame, keys: list[str]) -> DataFrame:
     """For each cited sentence all text of the lines that cite it: keys, sent_no, cited. ``lines``: keys, line_no,
     text, src (array of sentence numbers)."""
-    edges = lines.select(*keys, "line_no", "text", F.explode(F.array_distinct("src")).cast("long").alias("sent_no"))
+    edges = lines.select(*keys, "line_no", "text", F.explode(F.array_distinct(F.col("src").cast("array<bigint>"))).alias("sent_no"))
     return edges.groupBy(*keys, "sent_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("cited"))
 
 
@@ -36,12 +36,12 @@ def uncovered_by_source(sentences: DataFrame, lines: DataFrame, keys: list[str])
 
 def uncited_sentences(sentences: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """Sentences that no line cites."""
-    return sentences.join(lines.select(*keys, F.explode("src").cast("long").alias("sent_no")), [*keys, "sent_no"], "left_anti")
+    return sentences.join(lines.select(*keys, F.explode(F.col("src").cast("array<bigint>")).alias("sent_no")), [*keys, "sent_no"], "left_anti")
 
 
 def lost_groups(groups: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """Topic groups (keys, group_no, sent_no) of which no sentence is cited."""
-    cited = lines.select(*keys, F.explode("src").cast("long").alias("sent_no")).distinct().withColumn("__cited", F.lit(1))
+    cited = lines.select(*keys, F.explode(F.col("src").cast("array<bigint>")).alias("sent_no")).distinct().withColumn("__cited", F.lit(1))
     return groups.join(cited, [*keys, "sent_no"], "left").groupBy(*keys, "group_no").agg(F.count("__cited").alias("__n")).where("__n = 0").drop("__n")
 
 
