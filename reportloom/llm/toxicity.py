@@ -5,7 +5,7 @@ of its sentences, 1 - prod(1 - p). The weights are trained on document labels al
 likelihood of the noisy-or, over a bounded sample of labelled rows (``common.SAMPLE_ROWS`` of each class). The
 same sentence scores then locate the offending sentences.
 
-A word counts by itself and by its first 3 to 8 letters, so inflected forms that no labelled row holds still
+A word counts by itself and by its first 4 to 8 letters, so inflected forms that no labelled row holds still
 count. Features of fewer than ``LEAST_DOCS`` sampled documents are left out.
 """
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,54 +43,86 @@ def sentences(text: str) -> list[str]:
 
 
 def features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in range(3, 9) if len(word) >= n)]
-
-
-def fit_noisy_or(bags: list[list[set[str]]], y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
-    """Weights of features and the constant from bags (documents) of instances (sentences, as sets of features)."""
-    seen = Counter(f for bag in bags for f in set().union(*bag)) if bags else Counter()
-    names = sorted(f for f, n in seen.items() if n >= LEAST_DOCS)
-    index = {f: i for i, f in enumerate(names)}
-    rows, cols, owner = [], [], []
-    for d, bag in enumerate(bags):
-        for instance in bag:
-            found = [index[f] for f in instance if f in index]
-            rows.extend([len(owner)] * len(found))
-            cols.extend(found)
+    return [word, *(f"{word[:n]}*" for n in range(4, 9) if len(word) >= n)]
+
+
+def instances(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The sample as arrays: feature names, and for each (sentence, feature) the sentence's row and the feature's
+    column, and each sentence's document. Words are numbered first, so that each word's features are made once."""
+    words: dict[str, int] = {}
+    said, owner = [], []
+    for d, text in enumerate(texts):
+        for s in sentences(text.lower()):
+            said.append(np.fromiter((words.setdefault(w, len(words)) for w in set(WORD.findall(s))), np.int32))
             owner.append(d)
-    rows, cols, owner = np.array(rows, np.int64), np.array(cols, np.int64), np.array(owner, np.int64)
-    n, w, b = len(owner), np.zeros(len(names)), -6.0
-    speed, speed_b = np.full(len(names), 1e-8), 1e-8
-    total = weight.sum() or 1.0
-    for _ in range(EPOCHS):
-        z = np.clip(b + np.bincount(rows, w[cols], n), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        log_none = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags))
-        none = np.exp(log_none)
-        pull = np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0) * weight
-        g = pull[owner] * p
-        gw, gb = np.bincount(cols, g[rows], len(names)) / total, g.sum() / total
-        speed, speed_b = speed + gw * gw, speed_b + gb * gb
-        pace = 0.5 / np.sqrt(speed)
-        w += pace * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - pace * RIDGE, 0)
-        b += 0.2 * gb / math.sqrt(speed_b)
+    owner = np.array(owner, np.int32)
+    index: dict[str, int] = {}
+    of_word = [np.fromiter((index.setdefault(f, len(index)) for f in features(w)), np.int32) for w in words]
+    starts = np.concatenate([[0], np.cumsum([len(f) for f in of_word])]).astype(np.int64)
+    flat = np.concatenate(of_word) if of_word else np.zeros(0, np.int32)
+
+    def features_of(ids: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([flat[starts[i] : starts[i + 1]] for i in ids])) if len(ids) else np.zeros(0, np.int32)
+
+    parts = [features_of(ids) for ids in said]
+    docs = np.zeros(len(index), np.int32)
+    for d in range(len(texts)):
+        first, last = np.searchsorted(owner, [d, d + 1])
+        if last > first:
+            docs[np.unique(np.concatenate(parts[first:last]))] += 1
+    kept = docs >= LEAST_DOCS
+    column = np.cumsum(kept, dtype=np.int32) - 1
+    parts = [column[p[kept[p]]] for p in parts]
+    rows = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts]) if parts else np.zeros(0, np.int32)
+    cols = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return [f for f, k in zip(index, kept, strict=True) if k], rows, cols, owner
+
+
+def fit_noisy_or(texts: list[str], y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
+    """Weights of features and the constant from texts, their labels and weights."""
+    names, rows, cols, owner = instances(texts)
+    n, total = len(owner), weight.sum() or 1.0
+
+    def ascend(w: np.ndarray, b: float, rows: np.ndarray, cols: np.ndarray, ridge: float, epochs: int) -> tuple[np.ndarray, float]:
+        speed, speed_b = np.full(len(w), 1e-8), 1e-8
+        for _ in range(epochs if n else 0):
+            p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[cols], n), -30, 30)))
+            none = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts)))
+            g = (np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0) * weight)[owner] * p
+            gw, gb = np.bincount(cols, g[rows], len(w)) / total, g.sum() / total
+            speed, speed_b = speed + gw * gw, speed_b + gb * gb
+            pace = 0.5 / np.sqrt(speed)
+            w = w + pace * gw
+            w = np.sign(w) * np.maximum(np.abs(w) - pace * ridge, 0)
+            b += 0.2 * gb / math.sqrt(speed_b)
+        return w, b
+
+    w, b = ascend(np.zeros(len(names)), -6.0, rows, cols, RIDGE, EPOCHS)
+    # the penalty has chosen the features and shrunk them: a second pass over those left frees their weights
+    kept = np.abs(w) >= LEAST_WEIGHT
+    column = np.cumsum(kept) - 1
+    inside = kept[cols]
+    names = [f for f, k in zip(names, kept, strict=True) if k]
+    w, b = ascend(w[kept], b, rows[inside], column[cols[inside]], RIDGE / 4, EPOCHS)
     return ToxicityModel(float(b), {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) >= LEAST_WEIGHT})
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_ROWS) -> ToxicityModel:
     """The model from labelled rows outside the held-out third; without any label 1, every sentence scores near 0."""
     clean, toxic, share = labelled_sample(docs, labels, label_col, id_col, text_col, per_class)
-    bags = [[set(f for w in set(WORD.findall(s)) for f in features(w)) for s in sentences(t.lower())] for t in clean + toxic]
     y = np.array([0] * len(clean) + [1] * len(toxic))
     weight = np.array([(1 - share) / max(1, len(clean))] * len(clean) + [share / max(1, len(toxic))] * len(toxic)) * max(1, len(y))
-    return fit_noisy_or(bags, y, weight)
+    return fit_noisy_or(clean + toxic, y, weight)
 
 
 def make_scorer(model: ToxicityModel):
-    """A function from a text to its sentences' probabilities, and one to the document's."""
-    weights, memo = model.weights, {}
-    quiet = math.log1p(-1 / (1 + math.exp(-model.constant)))
+    """A function from a text to its sentences' probabilities, and one to the document's.
+
+    A sentence counts by how far its probability exceeds that of a sentence without any weighted word. So a
+    document does not become toxic by its length alone.
+    """
+    weights, memo, constant = model.weights, {}, model.constant
+    base = 1 / (1 + math.exp(-constant))
 
     def weight_of(word: str) -> float:
         if (w := memo.get(word)) is None:
@@ -100,16 +131,15 @@ def make_scorer(model: ToxicityModel):
             w = memo[word] = sum(weights.get(f, 0.0) for f in features(word))
         return w
 
+    def excess(sentence: str) -> float:
+        z = sum(map(weight_of, set(WORD.findall(sentence))))
+        return max(0.0, (1 / (1 + math.exp(-min(max(constant + z, -30), 30))) - base) / (1 - base)) if z > 0 else 0.0
+
     def each(text: str) -> list[float]:
-        z = (model.constant + sum(weight_of(w) for w in set(WORD.findall(s))) for s in sentences(text.lower()))
-        return [1 / (1 + math.exp(-min(max(v, -30), 30))) for v in z]
+        return [excess(s) for s in sentences(text.lower())]
 
     def whole(text: str) -> float:
-        log_none = 0.0
-        for s in sentences(text.lower()):
-            z = sum(map(weight_of, set(WORD.findall(s))))
-            log_none += quiet if z == 0 else math.log1p(-min(1 / (1 + math.exp(-min(max(model.constant + z, -30), 30))), 1 - 1e-12))
-        return -math.expm1(log_none)
+        return -math.expm1(sum(math.log1p(-min(p, 1 - 1e-12)) for p in map(excess, sentences(text.lower())) if p))
 
     return each, whole
 
