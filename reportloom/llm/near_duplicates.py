@@ -164,57 +164,82 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(test, pairs.schema)
 
 
-def links_between(shared: DataFrame, found: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Links (a, b) between the components ``found`` that share a bucket, one at least for each two that are linked.
-
-    Of two such components every document of the smaller is compared with all of the larger one, which is dealt
-    into chunks; a chunk gives one link for a document at most. So neither buckets nor components of any size are
-    expanded into pairs of documents. Pairs of lone documents that the first pass has compared are left out.
+def links_between(shared: DataFrame, found: DataFrame, families: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links (a, b) between the components ``found`` that share a bucket, enough to join all that are linked.
+
+    ``families`` are the components of all plausible pairs of the first pass, so each holds whole components. In a
+    family of several components the documents outside its largest one are compared with all of it; two components
+    of different families that share a bucket are compared as wholes. Either way one side is dealt into chunks and
+    the other goes to each of them, and a chunk returns at most one link for each component it joins. So neither
+    buckets nor families of any size are expanded into pairs of documents. Pairs of lone documents that the first
+    pass has compared are left out.
     """
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    part, size = F.coalesce("component", "doc").alias("part"), F.coalesce("size", F.lit(1)).alias("size")
-    parts = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "component", "left").select("band", "lead", "doc", part, size)
-    met = parts.select("band", "lead", "part", "size").distinct()
-    p, q = (met.select("band", "lead", F.col("part").alias(x), F.col("size").alias(f"{x}_size")) for x in ("p", "q"))
+    parts = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "component", "left")
+    family = F.coalesce("family", F.coalesce("component", "doc")).alias("family")
+    parts = parts.join(families.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc", "left")
+    parts = written(parts.select("band", "lead", "doc", F.coalesce("component", "doc").alias("part"), F.coalesce("size", F.lit(1)).alias("size"), family))
+
+    docs = written(parts.select("doc", "part", "size", "family").distinct())
+    several = docs.groupBy("family").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x != y")
+    open_docs = docs.join(several.select("family", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "family")
+    job = F.concat(F.lit("f"), F.col("family").cast("string")).alias("job")
+    kept = open_docs.select(job, F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"), "doc", "part")
+    sent = open_docs.where("part != main").select(job, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "doc", "part")
+
+    met = parts.select("band", "lead", "part", "size", "family").distinct()
+    p, q = (met.select("band", "lead", F.col("part").alias(x), F.col("size").alias(f"{x}_size"), F.col("family").alias(f"{x}_family")) for x in ("p", "q"))
     fresh = ~((F.col("p_size") == 1) & (F.col("q_size") == 1) & ((F.col("p") == F.col("lead")) | (F.col("q") == F.col("lead"))))
-    pairs = p.join(q, ["band", "lead"]).where((F.col("p") < F.col("q")) & fresh).select("p", "q", "p_size", "q_size").distinct()
+    pairs = p.join(q, ["band", "lead"]).where((F.col("p") < F.col("q")) & (F.col("p_family") != F.col("q_family")) & fresh).select("p", "q", "p_size", "q_size").distinct()
     less = F.col("p_size") < F.col("q_size")
     work = written(pairs.select(F.when(less, F.col("p")).otherwise(F.col("q")).alias("small"), F.when(less, F.col("q")).otherwise(F.col("p")).alias("big"), F.ceil(F.greatest("p_size", "q_size") / CHUNK).cast("int").alias("chunks")))
+    job = F.concat(F.lit("p"), F.col("big").cast("string")).alias("job")
+    large = work.groupBy("big").agg(F.max("chunks").alias("chunks")).join(docs, F.col("big") == F.col("part")).select(job, F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"), "doc", "part")
+    small = work.join(docs, F.col("small") == F.col("part")).select(job, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "doc", "part")
 
-    members = found.select(F.col("component").alias("part"), F.col("node").alias("doc"))
-    lone = work.select(F.col("small").alias("part")).union(work.select("big")).distinct().join(members.select("part").distinct(), "part", "left_anti").select("part", F.col("part").alias("doc"))
-    members = written(members.unionByName(lone))
-    large = work.groupBy("big").agg(F.max("chunks").alias("chunks")).join(members.withColumnRenamed("part", "big"), "big").select("big", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"), "doc")
-    small = work.join(members.withColumnRenamed("part", "small"), "small").select("big", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "doc")
-    rows = large.unionByName(small).join(sketches.select("doc", "signature"), "doc").join(texts, "doc").select("big", "chunk", "role", "doc", "signature", "text")
-    ordered = rows.repartition("big", "chunk").sortWithinPartitions("big", "chunk", "role")
+    rows = kept.unionByName(sent).unionByName(large).unionByName(small)
+    full = rows.join(sketches.select("doc", "signature"), "doc").join(texts, "doc").select("job", "chunk", "role", "doc", "part", "signature", "text")
+    ordered = full.repartition("job", "chunk").sortWithinPartitions("job", "chunk", "role")
     needed, per_cent = least_matches(threshold), round(threshold * 100)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, current, ids, signatures, sets = Shingler(words), None, [], [], []
+        shingler, current = Shingler(words), None
+        ids, of, signatures, sets, joined = [], [], [], [], {}
+
+        def root(part):
+            while (up := joined.get(part, part)) != part:
+                part = up
+            return part
+
         for batch in batches:
             out = []
-            for big, chunk, role, doc, signature, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (big, chunk) != current:
-                    current, ids, signatures, sets = (big, chunk), [], [], []
+            for job, chunk, role, doc, part, signature, text in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (job, chunk) != current:
+                    current, ids, of, signatures, sets, joined = (job, chunk), [], [], [], [], {}
                 signature = np.frombuffer(signature, np.uint32)
                 if role == 0:
                     ids.append(doc)
+                    of.append(part)
                     signatures.append(signature)
-                    sets.append(shingler(text or ""))
+                    sets.append(text)
                     continue
                 if isinstance(signatures, list):
-                    signatures = np.array(signatures).reshape(len(ids), HASHES)
+                    signatures = np.array(signatures, np.uint32).reshape(len(ids), HASHES)
                 left, matches, at = np.arange(len(ids)), np.zeros(len(ids), np.int64), 0
                 for n, least in needed:
                     matches[left] += (signatures[left, at:n] == signature[at:n]).sum(axis=1)
                     left, at = left[matches[left] >= least], n
-                own = shingler(text or "") if len(left) else None
+                own = None
                 for i in left[np.argsort(-matches[left], kind="stable")].tolist():
+                    if root(of[i]) == root(part):
+                        continue
+                    own = shingler(text or "") if own is None else own
+                    if not isinstance(sets[i], np.ndarray):
+                        sets[i] = shingler(sets[i] or "")
                     both = len(np.intersect1d(own, sets[i], assume_unique=True))
                     if both and 100 * both >= per_cent * (len(own) + len(sets[i]) - both):
                         out.append((min(doc, ids[i]), max(doc, ids[i])))
-                        break
+                        joined[root(of[i])] = root(part)
             columns = list(zip(*out, strict=True)) if out else [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, batch.column(3).type) for c in columns], names=["a", "b"])
 
@@ -244,10 +269,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     keys = of_reps.select("doc", F.explode("bands").alias("band"))
     buckets = keys.groupBy("band").agg(F.min("doc").alias("lead"), F.max("doc").alias("top")).where("lead < top").select("band", "lead")
     shared = written(keys.join(buckets, "band"))
-    first = written(verified(written(plausible(shared.where("doc != lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), of_reps, threshold)), one_each, words, threshold))
+    likely = written(plausible(shared.where("doc != lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), of_reps, threshold))
+    first = written(verified(likely, one_each, words, threshold))
 
     found = connected_components(first)
-    second = written(links_between(shared, found, of_reps, one_each, words, threshold))
+    families = connected_components(likely)
+    second = written(links_between(shared, found, families, of_reps, one_each, words, threshold))
 
     # texts of one id in several classes are one document of several texts: the id itself links them
     same_id = of_class.where("doc != rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))

@@ -272,7 +272,7 @@ def test_classifiers_held_out(spark, name):
         scored = toxicity.score_toxicity(docs, model)
         odd = toxicity.score_toxicity(odd_docs(spark), model)
     rows = scored.join(labels, "doc_id").where("held_out").toPandas()
-    assert auc(rows["score"], rows[name]) > (0.95 if name == "quality" else 0.7)
+    assert auc(rows["score"], rows[name]) > (0.9 if name == "quality" else 0.7)
     found = odd.collect()
     assert len(found) == len(ODD) + 2 and all(0 <= r["score"] <= 1 for r in found)
     assert {r["doc_id"]: r["held_out"] for r in found} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(len(ODD) + 2)}
