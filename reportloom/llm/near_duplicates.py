@@ -30,7 +30,7 @@ HASHES = BANDS * ROWS
 #: Hashes compared between two looks at the posterior, and the chance at which a look may drop a true link.
 BATCH, MISS = 32, 1e-6
 #: Documents of a large component that one task compares with documents of small ones.
-CHUNK = 256
+CHUNK = 1024
 MEMO_WORDS = 300_000
 _random = np.random.default_rng(20_240_229)
 MULTIPLY = _random.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
