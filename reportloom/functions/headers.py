@@ -104,15 +104,19 @@ def sentence_parts(text: Column) -> Column:
 def split_at_connective(sentence: Column, most: int) -> Column:
     """A sentence over ``most`` characters cut once behind the first connective of the list with a comma after it:
     its head in formal style and the rest; else the sentence alone."""
-    out = F.when(F.char_length(sentence) <= most, F.array(sentence))
+    found = F.when(F.char_length(sentence) <= most, F.lit(None))
     for c in CONNECTIVES:
         mark = f"{c}, "
         at = F.instr(sentence, mark)
         fits = (at > 1) & (at - 1 < F.char_length(sentence) - len(mark))
-        head = F.substring(sentence, F.lit(1), at - 1 + len(c))
-        rest = F.substring(sentence, at + len(mark), F.lit(2_000_000_000))
-        out = out.when(fits, F.array(formal_sentence(F.concat(head, F.lit("."))), rest))
-    return out.otherwise(F.array(sentence))
+        found = found.when(fits, F.struct((at - 1 + len(c)).alias("head"), (at + len(mark)).alias("rest")))
+
+    # the formal style is a large expression: one for all connectives
+    def cut(place: Column) -> Column:
+        head = formal_sentence(F.concat(F.substring(sentence, F.lit(1), place["head"]), F.lit(".")))
+        return F.when(place.isNull(), F.array(sentence)).otherwise(F.array(head, F.substring(sentence, place["rest"], F.lit(2_000_000_000))))
+
+    return let(found, cut)
 
 
 def split_long(text: Column, most: int = 60, rounds: int = 4) -> Column:
