@@ -126,14 +126,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     return bad, good, shares.get(1, 0) / total if total else 0.5
 
 
-def fit_logistic(x, y, weight, steps: int = 50, ridge: float = 1e-3):
-    """Weights of a weighted logistic regression by Newton steps; the last weight is the constant."""
+def fit_logistic(x, y, weight, steps: int = 50, ridge: float = 1e-3, known=None):
+    """Weights of a weighted logistic regression by Newton steps; the last weight is the constant. On top of
+    ``known`` log-odds, there is no constant."""
     import numpy as np
 
-    x = np.column_stack([x, np.ones(len(y))])
+    x, known = (np.column_stack([x, np.ones(len(y))]), 0.0) if known is None else (x, known)
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + known, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + ridge * w
         step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w)), gradient)
         w -= np.clip(step, -5, 5)

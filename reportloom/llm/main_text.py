@@ -8,8 +8,11 @@ boilerplate with the least sum of costs. Blocks whose own evidence outweighs all
 which does not change the cut and leaves small graphs.
 
 The classifier is a logistic function of a block's form (length, links, punctuation, element, depth, place),
-trained on a bounded sample of pages whose blocks are weakly labelled by the elements around them, plus fixed
-evidence for those elements and for telling words in class, id and role.
+trained on a bounded sample of pages whose blocks are weakly labelled by the elements around them, plus the
+evidence of those elements and of telling words in class, id and role. The weights of that evidence are learned on
+top of the form and bounded, so that form and edges together can outvote it. An outer element that holds most of a
+page's prose is its wrapper and counts for nothing, and the page's chief article or main element lifts what lies
+above it.
 """
 
 from __future__ import annotations
@@ -42,8 +45,10 @@ OUTER_WORDS = frozenset(
 HEAD_WORDS = frozenset("header head".split())
 MAIN_WORDS = frozenset("article main content post entry story".split())
 WORD = re.compile(r"[A-Za-z][a-z]*|\d+")
-#: Log-odds of fixed evidence, smoothness weights, and the most that a block's form can say.
-OUTER_EVIDENCE, MAIN_EVIDENCE, NEXT_WEIGHT, PARENT_WEIGHT, MOST_FORM = -14.0, 7.0, 0.6, 1.0, 4.0
+#: Smoothness weights, and the most (in log-odds) that a block's form and the elements around it can say.
+NEXT_WEIGHT, PARENT_WEIGHT, MOST_FORM, MOST_EVIDENCE = 0.6, 1.0, 4.0, 6.0
+#: Evidence before learning: outer tag, outer word, main tag, main word.
+FIRST_EVIDENCE = np.array([-5.0, -5.0, 5.0, 5.0])
 
 
 @dataclass
@@ -53,9 +58,23 @@ class Block:
     parent: int
     depth: int
     links: float
-    outer: bool
-    main: bool
+    element: int
     path: tuple[int, ...] = field(default=())
+    signs: tuple[bool, bool, bool, bool] = (False, False, False, False)  # outer tag, outer word, main tag, main word
+
+    @property
+    def outer(self) -> bool:
+        return self.signs[0] or self.signs[1]
+
+    @property
+    def main(self) -> bool:
+        return self.signs[2] or self.signs[3]
+
+
+@dataclass
+class Element:
+    parent: int
+    signs: tuple[bool, bool, bool, bool]
 
 
 class BlockReader(HTMLParser):
@@ -64,17 +83,18 @@ class BlockReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, number, hidden, outer, main
-        self.made, self.buffer, self.linked, self.in_link = 0, [], 0, 0
+        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, hidden, inside article or main
+        self.elements = [Element(0, (False, False, False, False))]
+        self.buffer, self.linked, self.in_link = [], 0, 0
 
     def flush(self) -> None:
         raw = "".join(self.buffer)
         text = " ".join(raw.split())
         if text:
             above = [s for s in self.stack if s[0] in BLOCK_TAGS]
-            tag, number, _, outer, main = above[-1] if above else ("", 0, False, False, False)
-            outer, main = (self.stack[-1][3], self.stack[-1][4]) if self.stack else (outer, main)
-            self.blocks.append(Block(text, tag, above[-2][1] if len(above) > 1 else 0, len(above), min(1.0, self.linked / max(1, len(raw))), outer, main, tuple(s[1] for s in above)))
+            tag = above[-1][0] if above else ""
+            element = self.stack[-1][1] if self.stack else 0
+            self.blocks.append(Block(text, tag, above[-2][1] if len(above) > 1 else 0, len(above), min(1.0, self.linked / max(1, len(raw))), element, tuple(s[1] for s in above)))
         self.buffer, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -92,17 +112,16 @@ class BlockReader(HTMLParser):
                     break
         if tag in VOID_TAGS:
             return
-        hidden, outer, main = self.stack[-1][2:] if self.stack else (False, False, False)
+        parent, hidden, inside = self.stack[-1][1:] if self.stack else (0, False, False)
         named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "style", "hidden", "aria-hidden")}
         words = {w.lower() for k in ("class", "id", "role") for w in WORD.findall(named.get(k, ""))} | {w.lower() for k in ("class", "id") for w in named.get(k, "").split()}
         hidden = hidden or tag in HIDDEN_TAGS or "hidden" in named or "display:none" in named.get("style", "").replace(" ", "").lower()
-        is_root = tag in ("html", "body")
-        inside = main or tag in ("article", "main")
-        if not is_root:
-            outer = outer or tag in OUTER_TAGS or bool(words & OUTER_WORDS) or ((tag == "header" or bool(words & HEAD_WORDS) or "banner" in words) and not inside)
-            main = inside or bool(words & MAIN_WORDS)
-        self.made += 1
-        self.stack.append((tag, self.made, hidden, outer, main))
+        inside = inside or tag in ("article", "main")
+        signs = (False, False, False, False)
+        if tag not in ("html", "body"):
+            signs = (tag in OUTER_TAGS or (tag == "header" and not inside), bool(words & OUTER_WORDS) or (bool(words & HEAD_WORDS) and not inside), tag in ("article", "main"), bool(words & MAIN_WORDS))
+        self.elements.append(Element(parent, signs))
+        self.stack.append((tag, len(self.elements) - 1, hidden, inside))
         self.in_link += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
@@ -133,7 +152,46 @@ def read_blocks(html: str) -> list[Block]:
     except AssertionError:
         reader.handle_data(reader.rawdata)
     reader.flush()
-    return reader.blocks
+    return signed(reader.blocks, reader.elements)
+
+
+def signed(blocks: list[Block], elements: list[Element]) -> list[Block]:
+    """The blocks with the evidence of the elements around them.
+
+    An outer element that holds more than half of the page's prose (text outside links) is a wrapper and counts for
+    nothing, unless main elements outside it hold a tenth of its prose. An article or main element that holds half
+    of the prose of all main elements is the chief one, unless main elements outside it and outside any outer one
+    hold a tenth of its prose: outer elements above it count for nothing within it, nor do its own words if it holds
+    a quarter of the page's prose. Main elements within other outer elements are outer.
+    """
+    near, within = [False] * len(elements), [False] * len(elements)  # nearest evidence is main; within an outer element
+    for i, e in enumerate(elements[1:], 1):
+        outer = e.signs[0] or e.signs[1]
+        near[i] = not outer if any(e.signs) else near[e.parent]
+        within[i] = outer or within[e.parent]
+    prose, named, free = ([0.0] * len(elements) for _ in range(3))
+    for b in blocks:
+        size = len(b.text) * (1 - b.links)
+        prose[b.element] += size
+        named[b.element] += size if near[b.element] else 0.0
+        free[b.element] += size if near[b.element] and not within[b.element] else 0.0
+    for i in range(len(elements) - 1, 0, -1):
+        prose[elements[i].parent] += prose[i]
+        named[elements[i].parent] += named[i]
+        free[elements[i].parent] += free[i]
+    found = [(False, False, False, False)] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        a, b, c, d = found[e.parent]
+        p, q = e.signs[:2]
+        if (p or q) and 2 * prose[i] > prose[0] and 10 * (named[0] - named[i]) < prose[i]:
+            p = q = False
+        if e.signs[2] and 10 * (free[0] - free[i]) < prose[i] and 2 * prose[i] >= named[0] and (not q or 4 * prose[i] >= prose[0]):
+            a = b = q = False
+        found[i] = (a or p, b or q, c or e.signs[2], d or e.signs[3])
+    for b in blocks:
+        signs = found[b.element]
+        b.signs = (*signs[:2], False, False) if signs[0] or signs[1] else signs
+    return blocks
 
 
 def form_of(blocks: list[Block]) -> np.ndarray:
@@ -148,26 +206,38 @@ def form_of(blocks: list[Block]) -> np.ndarray:
 
 
 def fit_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
-    """Weights of form and a constant, from SAMPLE_PAGES pages at most in a fixed pseudo-random order.
+    """Weights of form and a constant, then of the four kinds of evidence, from SAMPLE_PAGES pages at most in a
+    fixed pseudo-random order.
 
-    Blocks within article or main and outside any outer element count as content, blocks within outer elements as
-    boilerplate, others not at all. Without both kinds, the weights are 0 and the cut follows fixed evidence only.
+    Blocks within main elements and outside any outer one count as content, blocks within outer elements as
+    boilerplate, others not at all. The form is fitted alone, then the evidence on top of it; as the labels come from
+    that evidence, a kind of evidence that the sample shows gets a weight near its bound, one that it lacks keeps
+    ``FIRST_EVIDENCE``. Without both classes, the form says nothing.
     """
     some = pages.where(F.length(html_col) <= SAMPLE_CHARS).select(id_col, sample_order(id_col).alias("__order")).orderBy("__order", id_col).limit(SAMPLE_PAGES)
     texts = pages.join(F.broadcast(some.select(id_col).distinct()), id_col).where(F.length(html_col) <= SAMPLE_CHARS).select(id_col, html_col).limit(2 * SAMPLE_PAGES).collect()
-    forms, labels = [], []
+    forms, signs, labels = [], [], []
     for r in sorted(texts, key=lambda r: (str(r[0]), r[1])):
         blocks = read_blocks(r[1])
         form = form_of(blocks)
         for b, f in zip(blocks, form, strict=True):
             if b.outer or b.main:
                 forms.append(f)
+                signs.append(b.signs)
                 labels.append(0 if b.outer else 1)
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
-        return np.zeros(9)
+        return np.concatenate([np.zeros(9), FIRST_EVIDENCE])
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
-    return fit_logistic(np.array(forms), y, weight, ridge=1.0)
+    form = fit_logistic(np.array(forms), y, weight, ridge=1.0)
+    signs = np.array(signs, float)
+    known = form_odds(np.array(forms), form) + signs @ FIRST_EVIDENCE
+    learned = FIRST_EVIDENCE + fit_logistic(signs, y, weight, ridge=1.0, known=known)
+    return np.concatenate([form, np.clip(learned, [-MOST_EVIDENCE, -MOST_EVIDENCE, 0, 0], [0, 0, MOST_EVIDENCE, MOST_EVIDENCE])])
+
+
+def form_odds(forms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.clip(forms @ weights[:8] + weights[8], -MOST_FORM, MOST_FORM)
 
 
 def settle(odds: list[float], edges: dict[int, dict[int, float]]) -> list[bool]:
@@ -224,8 +294,8 @@ def extract(html: str, weights: np.ndarray) -> str:
     blocks = read_blocks(html)
     if not blocks:
         return ""
-    form = np.clip(form_of(blocks) @ weights[:-1] + weights[-1], -MOST_FORM, MOST_FORM)
-    odds = [float(f) + (OUTER_EVIDENCE if b.outer else MAIN_EVIDENCE if b.main else 0.0) for f, b in zip(form, blocks, strict=True)]
+    evidence = np.clip(np.array([b.signs for b in blocks], float) @ weights[9:], -MOST_EVIDENCE, MOST_EVIDENCE)
+    odds = (form_odds(form_of(blocks), weights) + evidence).tolist()
     edges: dict[int, dict[int, float]] = {i: {} for i in range(len(blocks))}
 
     def join(i: int, j: int, w: float) -> None:

@@ -315,6 +315,26 @@ def test_main_text(spark):
     assert main_text.extract_pages(odd.limit(0), main_text.fit_blocks(odd.limit(0))).count() == 0
 
 
+PROSE = "The council met on Monday, and it talked about the new bridge. Work begins in spring, they said."
+WRAPPED = {
+    f"<body><form id='aspnetForm'><div id='top'><a href='/'>Home</a></div><div><h1>Bridge</h1><p>{PROSE}</p><p>{PROSE}</p></div></form><footer>c</footer>": [PROSE, PROSE],
+    f"<body><div class='has-sidebar'><article><p>{PROSE}</p></article><div class='sidebar'><p>Other things, also told.</p></div></div><footer><p>{PROSE} {PROSE} {PROSE}</p></footer>": [PROSE],
+    f"<main class='content with-sidebar'><p>{PROSE}</p><section class='comments'><p>Good post.</p></section></main>": [PROSE],
+    f"<article class='post sharing-enabled'><p>{PROSE}</p><p>{PROSE}</p></article><aside><p>Other things, also told.</p></aside>": [PROSE, PROSE],
+    f"<main><article><p>{PROSE}</p></article><div class='comments'><article class='comment'><p>{PROSE} {PROSE}</p></article><article class='comment'><p>{PROSE}</p></article></div></main>": [PROSE],
+}
+
+
+def test_main_text_of_wrapped_pages(spark):
+    weights = main_text.fit_blocks(spark.read.parquet(f"{SF}/pages.parquet"))
+    for html, want in WRAPPED.items():
+        assert [line for line in main_text.extract(html, weights).split("\n") if line != "Bridge"] == want, html
+    # prose that a word calls outer, amid content of the same parent: the edges outvote the word
+    amid = f"<article><p>{PROSE}</p><p class='share'>{PROSE}</p><p>{PROSE}</p></article>"
+    assert main_text.extract(amid, weights).count(PROSE) == 3
+    assert np.abs(weights[9:]).max() <= main_text.MOST_EVIDENCE
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(9)
     for _ in range(80):
