@@ -5,6 +5,8 @@ The posterior of a document's language multiplies
   * the likelihood of the declared markup language given each language,
   * the likelihood of the address suffix (top-level domain and first path part) given each language,
   * the prior of its host, smoothed towards its domain's, and that towards the corpus's.
+A text that no model explains (its mean log-likelihood under all models mixed falls far short of that of held-out
+labelled texts of its best language) and a text without letters are undetermined, whatever else is known of them.
 The trigram models are fitted on a bounded sample of labelled texts. The three other tables are counts over all
 documents by grouped aggregation, each document voting with its text's posterior; a document's own vote is left
 out of its host's prior.
@@ -12,8 +14,9 @@ out of its host's prior.
 
 from __future__ import annotations
 
+import html
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,20 +30,36 @@ BUCKETS, TEMPER = 1 << 16, 0.1
 SMOOTH_GRAM, SMOOTH_TABLE, SMOOTH_HOST, SMOOTH_DOMAIN = 0.5, 1.0, 10.0, 20.0
 PER_LANGUAGE, MOST_LANGUAGES = 600, 64
 UNDETERMINED = "und"
+#: How many deviations a text's mean log-likelihood may fall short of its language's; the least deviation between
+#: texts, that of a language with under FEW held-out texts; and how many trigrams say as much as one.
+SHORTFALL, SPREAD, WIDE_SPREAD, FEW, OVERLAP = 10.0, 0.1, 0.5, 20, 3
 HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
 TAG = re.compile(r"<[^>]*>")
 
 
 @dataclass(frozen=True)
 class TextModel:
-    """log P(trigram bucket | language), one row for each bucket, one column for each language."""
+    """log P(trigram bucket | language), one row for each bucket, one column for each language, and that of the
+    languages mixed. ``usual``: mean, deviation between texts and deviation between trigrams of the mixed
+    log-likelihood of each language's texts."""
 
     languages: tuple[str, ...]
     table: np.ndarray
+    mixed: np.ndarray
+    usual: np.ndarray
 
     def log_likelihoods(self, text: str) -> np.ndarray:
+        return self.evidence(text)[0]
+
+    def evidence(self, text: str) -> tuple[np.ndarray, bool]:
+        """The log likelihoods, and whether the text is in one of the languages at all."""
         grams = trigrams(text)
-        return self.table[grams].sum(axis=0) * TEMPER if len(grams) else np.zeros(len(self.languages))
+        if not len(grams):
+            return np.zeros(len(self.languages)), False
+        found = self.table[grams].sum(axis=0) * TEMPER
+        mean, between, within = self.usual[found.argmax()]
+        least = mean - SHORTFALL * np.sqrt(between**2 + OVERLAP * within**2 / len(grams))
+        return found, bool(self.mixed[grams].mean(dtype=float) >= least)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -65,7 +84,37 @@ def fit_text_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_i
         texts = known.where(F.col("__lang") == lang).join(F.broadcast(rows.select(id_col).distinct()), id_col).select("__text").limit(2 * per_language)
         for r in texts.collect():
             table[:, k] += np.bincount(trigrams(r["__text"] or ""), minlength=BUCKETS)
-    return TextModel(languages or (UNDETERMINED,), np.log(table / table.sum(axis=0)).astype(np.float32))
+    share = table / table.sum(axis=0)
+    model = TextModel(languages or (UNDETERMINED,), np.log(share).astype(np.float32), np.log(share.mean(axis=1)).astype(np.float32), np.tile([-np.inf, SPREAD, 0.0], (table.shape[1], 1)))
+    return replace(model, usual=usual_of(docs, model, lang_col, id_col, text_col, per_language)) if languages else model
+
+
+def usual_of(docs: DataFrame, model: TextModel, lang_col: str, id_col: str, text_col: str, per_language: int) -> np.ndarray:
+    """``usual`` of the model's languages from about ``per_language`` held-out texts of each at most, by medians, so
+    that some texts with a wrong label do not move it. A language without any takes every text."""
+    known = docs.where(held_out(id_col) & (F.length(text_col) <= SAMPLE_CHARS)).select(F.lower(F.trim(F.col(lang_col))).alias("__lang"), sample_order(id_col).alias("__order"), F.col(text_col).alias("__text")).where(F.col("__lang").isin(*model.languages))
+    counts = known.groupBy("__lang").count()
+    below = F.col("__order").cast("double") < F.least(F.lit(1.0), per_language / F.col("count")) * 2.0**64 - 2.0**63
+    some = known.join(F.broadcast(counts), "__lang").where(below | (F.col("count") <= per_language))
+    mixed = model.mixed
+
+    def make():
+        def call(texts):
+            grams = [mixed[trigrams(t)].astype(float) for t in texts]
+            return [[float(g.mean()) if len(g) else None for g in grams], [float(g.std()) if len(g) else None for g in grams]]
+
+        return call
+
+    found: dict[str, list] = {}
+    for r in map_texts(some, "__text", "__mean double, __within double", make, ["__lang"]).where("__mean is not null").collect():
+        found.setdefault(r["__lang"], []).append((r["__mean"], r["__within"]))
+    usual = np.tile([-np.inf, SPREAD, 0.0], (len(model.languages), 1))
+    for k, lang in enumerate(model.languages):
+        if lang in found:
+            means, within = np.array(found[lang]).T
+            mean = np.median(means)
+            usual[k] = mean, max(SPREAD if len(means) >= FEW else WIDE_SPREAD, 1.4826 * np.median(np.abs(means - mean))), np.median(within)
+    return usual
 
 
 def host_of(url: Column) -> Column:
@@ -84,8 +133,9 @@ def declared_of(html: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", 1))
 
 
-def visible(html: str) -> str:
-    return TAG.sub(" ", HIDDEN.sub(" ", html))
+def visible(markup: str) -> str:
+    """The text between the tags, character references decoded (their names are no words of any language)."""
+    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", markup)))
 
 
 def domain_of(host: Column) -> Column:
@@ -94,13 +144,19 @@ def domain_of(host: Column) -> Column:
 
 
 def text_evidence(rows: DataFrame, model: TextModel, keep: list[str], text_col: str, markup: bool) -> DataFrame:
-    """``keep`` and the text's log likelihoods (``__ll``; all 0 for texts without letters)."""
+    """``keep``, the text's log likelihoods (``__ll``; all 0 for texts without letters) and whether it is in one of
+    the model's languages (``__told``)."""
 
     def make():
         clean = visible if markup else str
-        return lambda texts: [[model.log_likelihoods(clean(t)).astype(float).tolist() for t in texts]]
 
-    return map_texts(rows, text_col, "__ll array<double>", make, keep)
+        def call(texts):
+            found = [model.evidence(clean(t)) for t in texts]
+            return [[ll.astype(float).tolist() for ll, _ in found], [told for _, told in found]]
+
+        return call
+
+    return map_texts(rows, text_col, "__ll array<double>, __told boolean", make, keep)
 
 
 def softmax(scores: Column) -> Column:
@@ -119,11 +175,11 @@ def likelihood(counts: Column, by_language: Column, n: int) -> Column:
 
 
 def fuse(evidence: DataFrame, model: TextModel, id_col: str) -> DataFrame:
-    """The posterior of each row of ``evidence`` (id_col, __ll, __declared, __suffix, __host)."""
+    """The posterior of each row of ``evidence`` (id_col, __ll, __told, __declared, __suffix, __host)."""
     n = len(model.languages)
     if n == 0:
         raise ValueError("the model has no language")
-    told = F.exists("__ll", lambda x: x != 0)
+    told = F.col("__told")
     vote = F.when(told, softmax(F.col("__ll"))).otherwise(F.array_repeat(F.lit(0.0), n))
     votes = evidence.withColumns({"__vote": vote, "__domain": domain_of(F.col("__host"))})
     corpus = totals(votes, [], n, "__all").withColumn("__all", F.transform("__all", lambda x: F.coalesce(x, F.lit(0.0))))
@@ -140,7 +196,6 @@ def fuse(evidence: DataFrame, model: TextModel, id_col: str) -> DataFrame:
     prior = smooth(less(F.col("__by_host")), prior, SMOOTH_HOST)
     parts = joined.select(
         *[c for c in evidence.columns if c != "__vote"],
-        told.alias("__told"),
         prior.alias("__prior"),
         F.when(F.col("__declared") != "", likelihood(less(F.col("__by_declared")), F.col("__all"), n)).otherwise(F.array_repeat(F.lit(0.0), n)).alias("__lik_declared"),
         F.when(F.col("__suffix") != "/", likelihood(less(F.col("__by_suffix")), F.col("__all"), n)).otherwise(F.array_repeat(F.lit(0.0), n)).alias("__lik_suffix"),
@@ -149,7 +204,7 @@ def fuse(evidence: DataFrame, model: TextModel, id_col: str) -> DataFrame:
     scored = parts.withColumn("__post", softmax(fused))
     best = F.array_position(F.col("__post"), F.array_max("__post")).cast("int")
     names = F.array(*[F.lit(x) for x in model.languages])
-    silent = ~F.col("__told") & (F.col("__declared") == "")
+    silent = ~F.col("__told")
     return scored.select(
         *[c for c in evidence.columns if not c.startswith("__")],
         F.when(silent, F.lit(UNDETERMINED)).otherwise(F.element_at(names, best)).alias("lang"),
@@ -162,8 +217,8 @@ def fuse(evidence: DataFrame, model: TextModel, id_col: str) -> DataFrame:
 def identify_pages(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Columns id_col, url_col, lang, confidence, declared, host: a row for each row of ``pages``.
 
-    Null html or url count as empty. A page without letters and without a declared language is 'und' with
-    confidence 0. Ties go to the first language in alphabetical order. Extra columns are ignored; rows with null
+    Null html or url count as empty. A page without letters, and one whose text no language of the model
+    explains, is 'und' with confidence 0, whatever it declares. Ties go to the first language in alphabetical order. Extra columns are ignored; rows with null
     or repeated ids keep a row each; an empty table gives an empty result.
     """
     known = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("__html"), declared_of(F.col(html_col)).alias("__declared"), suffix_of(F.col(url_col)).alias("__suffix"), host_of(F.col(url_col)).alias("__host"))

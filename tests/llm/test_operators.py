@@ -366,3 +366,24 @@ def test_language(spark):
     assert language.identify_pages(odd.limit(0), model).count() == 0
     kept = language.keep_identified(docs_of(spark, ["the and of", None, "123 456"]), model).collect()
     assert 0 in {r["doc_id"] for r in kept}
+
+
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았다.",
+    "xq zvkj wpfh qqzx jkvw zzpq hfgk xwvq bnmk qzxj ptkd wqxz kkjv pqzf xvbn",
+    "12 345 -- 6.789 !!",
+]
+
+
+def test_language_of_texts_outside_the_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = docs_of(spark, [t for t in FOREIGN for _ in range(2)] + [FOREIGN[0] * 40], 10_000_000)
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(planted)
+    model = language.fit_text_model(both)
+    kept = {r["doc_id"] for r in language.keep_identified(both, model).select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10_000_000]
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    pages = spark.createDataFrame([(i, "https://x.example.org/en/1", f"<html lang='en'><body><p>{t}</p></body>") for i, t in enumerate(FOREIGN)], "page_id long, url string, html string")
+    assert {(r["lang"], r["confidence"]) for r in language.identify_pages(pages, model).collect()} == {("und", 0.0)}
