@@ -16,19 +16,21 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SAMPLE_CHARS, held_out, map_texts, sample_order, without, written
+from .common import SAMPLE_CHARS, dropped, held_out, map_texts, sample_order, without, written
 
 #: Trigram buckets, and the weight of one trigram's evidence (they overlap, so three say as much as one).
 BUCKETS, TEMPER = 1 << 16, 0.1
 #: Pseudo-counts: of trigrams, of declared and suffix tables, of a domain for its host and of the corpus for a domain.
 SMOOTH_GRAM, SMOOTH_TABLE, SMOOTH_HOST, SMOOTH_DOMAIN = 0.5, 1.0, 10.0, 20.0
-PER_LANGUAGE, MOST_LANGUAGES = 600, 64
+PER_LANGUAGE, LEAST_ROWS = 600, 3
 UNDETERMINED = "und"
 #: How many deviations a text's mean log-likelihood may fall short of its language's; the least deviation between
 #: texts, that of a language with under FEW held-out texts; and how many trigrams say as much as one.
@@ -72,18 +74,46 @@ def trigrams(text: str) -> np.ndarray:
     return (mixed * np.uint32(2_654_435_761)) >> np.uint32(16)
 
 
+def count_trigrams(rows: DataFrame) -> DataFrame:
+    """How often each bucket occurs in the texts of each language: ``rows`` (__lang, __text) to (__lang, bucket, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, list] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(lang, []).append(trigrams(text or ""))
+            for lang, grams in found.items():
+                buckets, n = np.unique(np.concatenate(grams), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(buckets, pa.int32()), pa.array(n, pa.int64())], names=["__lang", "bucket", "n"])
+
+    return rows.select("__lang", "__text").mapInArrow(run, "__lang string, bucket int, n long").groupBy("__lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def sampled(known: DataFrame, counts: DataFrame, per_language: int) -> DataFrame:
+    """About ``per_language`` rows of each language in ``counts`` (__lang, count), all where it has no more: those
+    whose ``__order`` is under the language's share. Nothing is sorted or dealt by language."""
+    below = F.col("__order").cast("double") < per_language / F.col("count") * 2.0**64 - 2.0**63
+    return known.join(F.broadcast(counts), "__lang").where(below | (F.col("count") <= per_language))
+
+
+def labelled(docs: DataFrame, lang_col: str, id_col: str, text_col: str) -> DataFrame:
+    """Texts with a label that are no longer than ``SAMPLE_CHARS``: __lang, __text, __order, __held."""
+    known = docs.where((F.trim(lang_col) != "") & (F.length(text_col) <= SAMPLE_CHARS))
+    return known.select(F.lower(F.trim(F.col(lang_col))).alias("__lang"), F.col(text_col).alias("__text"), sample_order(id_col).alias("__order"), held_out(id_col).alias("__held"))
+
+
 def fit_text_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> TextModel:
-    """The model of the ``MOST_LANGUAGES`` commonest labels, from ``per_language`` texts of each at most (none over
-    ``SAMPLE_CHARS``), in a fixed pseudo-random order of ids outside the held-out third."""
-    known = docs.where(F.col(lang_col).isNotNull() & (F.trim(lang_col) != "") & ~held_out(id_col)).select(F.col(id_col), F.lower(F.trim(F.col(lang_col))).alias("__lang"), F.col(text_col).alias("__text"))
-    counts = known.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MOST_LANGUAGES).collect()
-    languages = tuple(sorted(r["__lang"] for r in counts))
+    """The model of every label with ``LEAST_ROWS`` texts at least, from about ``per_language`` texts of each at most
+    (none over ``SAMPLE_CHARS``), in a fixed pseudo-random order of ids outside the held-out third."""
+    known = labelled(docs, lang_col, id_col, text_col).where("not __held")
+    counts = written(known.groupBy("__lang").count().where(F.col("count") >= LEAST_ROWS))
+    languages = tuple(sorted(r["__lang"] for r in counts.collect()))
     table = np.full((BUCKETS, max(1, len(languages))), SMOOTH_GRAM)
-    for k, lang in enumerate(languages):
-        rows = known.where((F.col("__lang") == lang) & (F.length("__text") <= SAMPLE_CHARS)).select(id_col, sample_order(id_col).alias("__order")).orderBy("__order", id_col).limit(per_language)
-        texts = known.where(F.col("__lang") == lang).join(F.broadcast(rows.select(id_col).distinct()), id_col).select("__text").limit(2 * per_language)
-        for r in texts.collect():
-            table[:, k] += np.bincount(trigrams(r["__text"] or ""), minlength=BUCKETS)
+    if languages:
+        found = count_trigrams(sampled(known, counts, per_language)).toArrow()
+        place = {lang: k for k, lang in enumerate(languages)}
+        table[found["bucket"].to_numpy(), [place[x] for x in found["__lang"].to_pylist()]] += found["n"].to_numpy()
+    dropped(counts)
     share = table / table.sum(axis=0)
     model = TextModel(languages or (UNDETERMINED,), np.log(share).astype(np.float32), np.log(share.mean(axis=1)).astype(np.float32), np.tile([-np.inf, SPREAD, 0.0], (table.shape[1], 1)))
     return replace(model, usual=usual_of(docs, model, lang_col, id_col, text_col, per_language)) if languages else model
@@ -92,10 +122,8 @@ def fit_text_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_i
 def usual_of(docs: DataFrame, model: TextModel, lang_col: str, id_col: str, text_col: str, per_language: int) -> np.ndarray:
     """``usual`` of the model's languages from about ``per_language`` held-out texts of each at most, by medians, so
     that some texts with a wrong label do not move it. A language without any takes every text."""
-    known = docs.where(held_out(id_col) & (F.length(text_col) <= SAMPLE_CHARS)).select(F.lower(F.trim(F.col(lang_col))).alias("__lang"), sample_order(id_col).alias("__order"), F.col(text_col).alias("__text")).where(F.col("__lang").isin(*model.languages))
-    counts = known.groupBy("__lang").count()
-    below = F.col("__order").cast("double") < F.least(F.lit(1.0), per_language / F.col("count")) * 2.0**64 - 2.0**63
-    some = known.join(F.broadcast(counts), "__lang").where(below | (F.col("count") <= per_language))
+    known = labelled(docs, lang_col, id_col, text_col).where("__held")
+    some = sampled(known, known.where(F.col("__lang").isin(*model.languages)).groupBy("__lang").count(), per_language)
     mixed = model.mixed
 
     def make():
@@ -169,9 +197,9 @@ def totals(votes: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
     return votes.groupBy(*keys).agg(F.array(*[F.sum(F.col("__vote")[i]) for i in range(n)]).alias(name))
 
 
-def likelihood(counts: Column, by_language: Column, n: int) -> Column:
+def likelihood(counts: Column, by_language: Column) -> Column:
     """log P(value | language) from the value's votes and the languages' totals, smoothed."""
-    return F.array(*[F.log((counts[i] + SMOOTH_TABLE) / (by_language[i] + SMOOTH_TABLE * 10)) for i in range(n)])
+    return F.zip_with(counts, by_language, lambda c, t: F.log((c + SMOOTH_TABLE) / (t + SMOOTH_TABLE * 10)))
 
 
 def fuse(evidence: DataFrame, model: TextModel, id_col: str) -> DataFrame:
@@ -197,10 +225,12 @@ def fuse(evidence: DataFrame, model: TextModel, id_col: str) -> DataFrame:
     parts = joined.select(
         *[c for c in evidence.columns if c != "__vote"],
         prior.alias("__prior"),
-        F.when(F.col("__declared") != "", likelihood(less(F.col("__by_declared")), F.col("__all"), n)).otherwise(F.array_repeat(F.lit(0.0), n)).alias("__lik_declared"),
-        F.when(F.col("__suffix") != "/", likelihood(less(F.col("__by_suffix")), F.col("__all"), n)).otherwise(F.array_repeat(F.lit(0.0), n)).alias("__lik_suffix"),
+        F.when(F.col("__declared") != "", likelihood(less(F.col("__by_declared")), F.col("__all"))).otherwise(F.array_repeat(F.lit(0.0), n)).alias("__lik_declared"),
+        F.when(F.col("__suffix") != "/", likelihood(less(F.col("__by_suffix")), F.col("__all"))).otherwise(F.array_repeat(F.lit(0.0), n)).alias("__lik_suffix"),
     )
-    fused = F.array(*[F.col("__ll")[i] + F.log(F.col("__prior")[i] + 1e-12) + F.col("__lik_declared")[i] + F.col("__lik_suffix")[i] for i in range(n)])
+    fused = F.zip_with("__ll", "__prior", lambda x, p: x + F.log(p + 1e-12))
+    for part in ("__lik_declared", "__lik_suffix"):
+        fused = F.zip_with(fused, part, lambda x, y: x + y)
     scored = parts.withColumn("__post", softmax(fused))
     best = F.array_position(F.col("__post"), F.array_max("__post")).cast("int")
     names = F.array(*[F.lit(x) for x in model.languages])

@@ -387,3 +387,16 @@ def test_language_of_texts_outside_the_labels(spark):
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
     pages = spark.createDataFrame([(i, "https://x.example.org/en/1", f"<html lang='en'><body><p>{t}</p></body>") for i, t in enumerate(FOREIGN)], "page_id long, url string, html string")
     assert {(r["lang"], r["confidence"]) for r in language.identify_pages(pages, model).collect()} == {("und", 0.0)}
+
+
+def test_language_of_many_labels(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02}": ["".join(rng.choice(letters) for _ in range(5)) for _ in range(30)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(words[lang], k=60)), lang, "src0") for i, lang in enumerate([*words] * 20)] + [(9999, "a lone label", "odd", "src0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fit_text_model(docs)
+    assert set(model.languages) == set(words)
+    blank = language.identify_documents(docs.withColumn("lang", F.lit(None).cast("string")), model).where("doc_id < 9999")
+    found = {r["doc_id"]: r["lang"] for r in blank.collect()}
+    assert all(found[i] == lang for i, _, lang, _ in rows[:-1])
