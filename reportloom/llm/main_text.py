@@ -33,7 +33,7 @@ from .common import fit_logistic, map_texts, sample_order
 SAMPLE_PAGES, SAMPLE_CHARS = 400, 65_536
 #: Elements of HTML by role, and telling words in class, id and role attributes.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-HIDDEN_TAGS = frozenset("head script style noscript template svg math iframe object select textarea button datalist title".split())
+HIDDEN_TAGS = frozenset("head script style noscript template annotation annotation-xml desc metadata iframe select textarea button datalist title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUTER_TAGS = frozenset("nav footer aside form menu dialog".split())

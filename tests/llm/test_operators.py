@@ -335,6 +335,13 @@ def test_main_text_of_wrapped_pages(spark):
     assert np.abs(weights[9:]).max() <= main_text.MOST_EVIDENCE
 
 
+def test_main_text_keeps_formulas_and_fallbacks(spark):
+    weights = main_text.fit_blocks(spark.read.parquet(f"{SF}/pages.parquet"))
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding='application/x-tex'>E=m</annotation></semantics></math>"
+    html = f"<article><p>{PROSE}</p><p>So {formula}, as was shown.</p><object data='a.pdf'><p>{PROSE}</p></object></article>"
+    assert main_text.extract(html, weights).split("\n") == [PROSE, "So E=m, as was shown.", PROSE]
+
+
 def test_minimum_cut_is_least():
     rng = random.Random(9)
     for _ in range(80):
