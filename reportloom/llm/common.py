@@ -7,19 +7,23 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Used only where the session names no shared folder (tests, a single machine).
+#: Used only where all tasks run on this machine and the session names no shared folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/reportloom-checkpoints"
 #: Bytes of text that one call of a batch function gets at most (a single longer text goes alone).
 BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, which a cluster must name."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return LOCAL_CHECKPOINTS
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -27,16 +31,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/reportloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
 
 
 def dropped(*frames: DataFrame) -> None:
     """Remove the files of frames that ``written`` returned and nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-        if folder is not None and "reportloom-" in folder.getName():
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        if path := vars(df).get("_written_to"):
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def held_out(id_col: str) -> Column:
@@ -50,13 +55,14 @@ def sample_order(id_col: str) -> Column:
 
 
 def by_bytes(texts: list[str], most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of at most ``most`` characters each, or of one longer text."""
+    """Ranges of ``texts`` of at most ``most`` bytes (UTF-8) each, or of one longer text."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
+        own = len(t) if t.isascii() else len(t.encode("utf-8", "replace"))
+        if i > start and size + own > most:
             yield start, i
             start, size = i, 0
-        size += len(t)
+        size += own
     if start < len(texts):
         yield start, len(texts)
 
@@ -101,9 +107,20 @@ def map_texts(df: DataFrame, text_col: str, schema: str, make: Callable[[], Call
     return chosen.mapInArrow(run, out)
 
 
-#: Labelled rows of each class that a classifier is fitted on at most, and the longest text (in characters) that
-#: the sample takes. Both bound what reaches the driver; scoring reads every text whole.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 65_536
+#: What a fitted model is trained on at most: so many rows of each class, in a fixed pseudo-random order of ids, and
+#: no further row once those before it have so many characters. Both bound what reaches the driver; no row is left
+#: out for its own length, and scoring reads every text whole.
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 16 << 20
+
+
+def sample_of(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, group_cols: list[str]) -> list:
+    """Rows (id_col, group_cols, __text) of the ids ``picked`` (id_col, group_cols; few), in a fixed order, within
+    ``SAMPLE_CHARS`` for each group. Of a repeated id the least text counts; null texts are empty."""
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    one_each = texts.join(F.broadcast(picked), id_col).groupBy(id_col, *group_cols).agg(F.min("__text").alias("__text"))
+    before = Window.partitionBy(*group_cols).orderBy(sample_order(id_col), id_col).rowsBetween(Window.unboundedPreceding, -1)
+    within = one_each.withColumn("__before", F.sum(F.length("__text")).over(before)).where(f"coalesce(__before, 0) < {SAMPLE_CHARS}")
+    return within.drop("__before").orderBy(id_col).collect()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_ROWS) -> tuple[list[str], list[str], float]:
@@ -120,8 +137,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     for label in (0, 1):
         some = known.where(F.col("__label") == label).orderBy(sample_order(id_col), id_col).limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).where(F.length("__text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(picked), id_col).groupBy(id_col).agg(F.min("__text").alias("__text"), F.max("__label").alias("__label")).orderBy(id_col).collect()
+    rows = sample_of(docs, picked, id_col, text_col, ["__label"])
     bad, good = ([r["__text"] for r in rows if r["__label"] == k] for k in (0, 1))
     return bad, good, shares.get(1, 0) / total if total else 0.5
 
@@ -152,3 +168,10 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
     ids = written(gone.select(F.col("id").alias("__gone")).where("__gone is not null").distinct())
     few = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["__gone"], "left_anti")
+
+
+def only(df: DataFrame, ids: DataFrame, id_col: str, more: list[str] | None = None) -> DataFrame:
+    """The rows of ``df`` whose ``id_col`` is in ``ids``, with the columns ``more`` of ``ids``."""
+    wanted = written(ids.select(id_col, *(more or [])).distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(wanted) if few else wanted, id_col)

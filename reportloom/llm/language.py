@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SAMPLE_CHARS, dropped, held_out, map_texts, sample_order, without, written
+from .common import dropped, held_out, map_texts, sample_order, without, written
 
 #: Trigram buckets, and the weight of one trigram's evidence (they overlap, so three say as much as one).
 BUCKETS, TEMPER = 1 << 16, 0.1
@@ -97,14 +97,14 @@ def sampled(known: DataFrame, counts: DataFrame, per_language: int) -> DataFrame
 
 
 def labelled(docs: DataFrame, lang_col: str, id_col: str, text_col: str) -> DataFrame:
-    """Texts with a label that are no longer than ``SAMPLE_CHARS``: __lang, __text, __order, __held."""
-    known = docs.where((F.trim(lang_col) != "") & (F.length(text_col) <= SAMPLE_CHARS))
+    """Texts with a label: __lang, __text, __order, __held."""
+    known = docs.where((F.trim(lang_col) != "") & F.col(text_col).isNotNull())
     return known.select(F.lower(F.trim(F.col(lang_col))).alias("__lang"), F.col(text_col).alias("__text"), sample_order(id_col).alias("__order"), held_out(id_col).alias("__held"))
 
 
 def fit_text_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> TextModel:
-    """The model of every label with ``LEAST_ROWS`` texts at least, from about ``per_language`` texts of each at most
-    (none over ``SAMPLE_CHARS``), in a fixed pseudo-random order of ids outside the held-out third."""
+    """The model of every label with ``LEAST_ROWS`` texts at least, from about ``per_language`` texts of each at most,
+    in a fixed pseudo-random order of ids outside the held-out third."""
     known = labelled(docs, lang_col, id_col, text_col).where("not __held")
     counts = written(known.groupBy("__lang").count().where(F.col("count") >= LEAST_ROWS))
     languages = tuple(sorted(r["__lang"] for r in counts.collect()))

@@ -27,10 +27,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, map_texts, sample_order
+from .common import fit_logistic, map_texts, sample_of, sample_order
 
-#: Pages that the classifier is trained on at most, and the longest of them in characters.
-SAMPLE_PAGES, SAMPLE_CHARS = 400, 65_536
+#: Pages that the classifier is trained on at most (and ``common.SAMPLE_CHARS`` characters of them).
+SAMPLE_PAGES = 400
 #: Elements of HTML by role, and telling words in class, id and role attributes.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN_TAGS = frozenset("head script style noscript template annotation annotation-xml desc metadata iframe select textarea button datalist title".split())
@@ -214,11 +214,10 @@ def fit_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     that evidence, a kind of evidence that the sample shows gets a weight near its bound, one that it lacks keeps
     ``FIRST_EVIDENCE``. Without both classes, the form says nothing.
     """
-    some = pages.where(F.length(html_col) <= SAMPLE_CHARS).select(id_col, sample_order(id_col).alias("__order")).orderBy("__order", id_col).limit(SAMPLE_PAGES)
-    texts = pages.join(F.broadcast(some.select(id_col).distinct()), id_col).where(F.length(html_col) <= SAMPLE_CHARS).select(id_col, html_col).limit(2 * SAMPLE_PAGES).collect()
+    some = pages.where(F.col(id_col).isNotNull()).select(id_col, sample_order(id_col).alias("__order")).orderBy("__order", id_col).limit(SAMPLE_PAGES)
     forms, signs, labels = [], [], []
-    for r in sorted(texts, key=lambda r: (str(r[0]), r[1])):
-        blocks = read_blocks(r[1])
+    for r in sample_of(pages, some.select(id_col).distinct(), id_col, html_col, []):
+        blocks = read_blocks(r["__text"])
         form = form_of(blocks)
         for b, f in zip(blocks, form, strict=True):
             if b.outer or b.main:

@@ -1,13 +1,16 @@
 """Near-duplicate documents by MinHash, banding and sequential Bayesian verification.
 
-1. Each text gives its set of word shingles (64-bit hashes), the set's key, a MinHash signature and band keys.
-   Texts with equal sets are one class from here on, represented by the smallest id.
-2. Representatives that share a band key are candidates. A bucket, of any size, first links each member to its
-   smallest member only; verified links give first components. Then components that share a bucket are compared
-   as wholes, in blocks. So a bucket of n copies gives n pairs, not n * n, and no link between components is lost.
-3. A pair's signatures are compared batch by batch. After each batch the posterior of the similarity (uniform
-   prior, binomial likelihood) is asked how likely it reaches the threshold; below ``MISS`` the pair is dropped.
-4. Survivors are verified on the full shingle sets, and the links' components are found.
+1. Each text gives its set of word shingles (64-bit hashes), the set's key and a MinHash signature. Texts with equal
+   sets are one node from here on, named by the key.
+2. Nodes that share a band of the signature are candidates. A bucket, of any size, first compares each node with its
+   least node (the lead) only; the links found give first components.
+3. In a bucket whose other nodes are still of several components, the nodes outside its largest one are compared
+   with all others, but for pairs that an earlier band holds and pairs of one component. Both sides are cut into
+   chunks, and a pair of chunks is a cell.
+4. Leads with their buckets and pairs of chunks are compared by the same code, cell by cell and without writing pairs.
+   Signatures are compared batch by batch: after each batch the posterior of the similarity (uniform prior, binomial
+   likelihood) is asked how likely it reaches the threshold; below ``MISS`` the pair is dropped. Only nodes left with
+   a partner are sent on with their texts, for exact verification on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, without, written
+from .common import dropped, map_texts, only, without, written
 from .components import connected_components
 
 #: BANDS * ROWS hashes; two sets of similarity 0.8 share no band with probability (1 - 0.8**6)**32 = 6e-5.
@@ -29,8 +32,8 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 #: Hashes compared between two looks at the posterior, and the chance at which a look may drop a true link.
 BATCH, MISS = 32, 1e-6
-#: Documents of a large component that one task compares with documents of small ones.
-CHUNK = 1024
+#: Sets that a cell holds on either side, and shingles of the side it keeps in memory, about: larger buckets are cut.
+CELL_SETS, CELL_SHINGLES = 1024, 1 << 20
 MEMO_WORDS = 300_000
 _random = np.random.default_rng(20_240_229)
 MULTIPLY = _random.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,25 +87,34 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Columns id_col, n_shingles, set_key, signature, bands (the last three null for empty sets)."""
+    """Columns id_col, n_shingles, set_key, signature (the last two null for empty sets)."""
 
     def make():
         shingler = Shingler(words)
 
         def call(texts):
-            sizes, keys, signatures, bands = [], [], [], []
+            sizes, keys, signatures = [], [], []
             for t in texts:
                 s = shingler(t)
                 sizes.append(len(s))
-                signature = minhash(s) if len(s) else None
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                signatures.append(signature.tobytes() if len(s) else None)
-                bands.append([xxhash.xxh3_64_intdigest(signature[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, HASHES, ROWS)] if len(s) else None)
-            return [sizes, keys, signatures, bands]
+                keys.append(key_of(s) if len(s) else None)
+                signatures.append(minhash(s).tobytes() if len(s) else None)
+            return [sizes, keys, signatures]
 
         return call
 
-    return map_texts(docs, text_col, "n_shingles long, set_key binary, signature binary, bands array<long>", make, [id_col])
+    return map_texts(docs, text_col, "n_shingles long, set_key binary, signature binary", make, [id_col])
+
+
+def key_of(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a set of shingles."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def bands() -> Column:
+    """The keys of a signature's bands, in order; equal keys of one place mean an equal band."""
+    width = 4 * ROWS
+    return F.array(*[F.xxhash64(F.substring("signature", 1 + width * i, width), F.lit(i)) for i in range(BANDS)])
 
 
 def least_matches(threshold: float) -> list[tuple[int, int]]:
@@ -122,89 +134,92 @@ def least_matches(threshold: float) -> list[tuple[int, int]]:
     return out
 
 
-def plausible(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose signatures the sequential test does not rule out."""
+class Cell:
+    """The nodes that a cell holds, for comparison with those that are read after them."""
+
+    def __init__(self, needed: list[tuple[int, int]]):
+        self.needed, self.rows, self.parts, self.number = needed, [], [], {}
+        self.signatures: np.ndarray | None = None
+
+    def part_of(self, part) -> int:
+        return self.number.setdefault(part, len(self.number))
+
+    def hold(self, row: tuple, part, signature: bytes) -> None:
+        self.rows.append([*row, signature])
+        self.parts.append(self.part_of(part))
+
+    def near(self, part, signature: bytes, table: int) -> np.ndarray:
+        """Places of held nodes of other parts that may be similar enough, the likeliest first.
+
+        Pairs that agree on one of the first ``table`` bands are left out: they meet there.
+        """
+        if self.signatures is None:
+            self.signatures = np.frombuffer(b"".join(r[-1] for r in self.rows), np.uint32).reshape(-1, HASHES)
+            self.parts = np.array(self.parts, np.int64)
+        own = np.frombuffer(signature, np.uint32)
+        left, at = np.flatnonzero(self.parts != self.part_of(part)), 0
+        matches = np.zeros(len(self.rows), np.int64)
+        for n, least in self.needed:
+            matches[left] += (self.signatures[left, at:n] == own[at:n]).sum(axis=1)
+            left, at = left[matches[left] >= least], n
+        if table and len(left):
+            end = table * ROWS
+            left = left[~(self.signatures[left, :end] == own[:end]).reshape(len(left), table, ROWS).all(axis=2).any(axis=1)]
+        return left[np.argsort(-matches[left], kind="stable")]
+
+
+#: A row of a cell: which cell (job, i, j), held (0) or read after those (1), bands of earlier tables, node, component.
+CELL = ["job", "i", "j", "role", "idx", "node", "part"]
+
+
+def in_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*CELL, *columns).repartition("job", "i", "j").sortWithinPartitions("job", "i", "j", "role")
+
+
+def with_likely_partner(rows: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+    """The rows of cells (``CELL``), with signatures, that the sequential test leaves a partner in their cell."""
     needed = least_matches(threshold)
+    full = in_cells(rows.join(signatures, "node"), ["signature"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, cell, hit, names = None, Cell(needed), set(), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
-            left, matches, at = np.arange(len(x)), np.zeros(len(x), np.int64), 0
-            for n, least in needed:
-                matches[left] += (x[left, at:n] == y[left, at:n]).sum(axis=1)
-                left, at = left[matches[left] >= least], n
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(left)) for c in batch.columns[:2]], names=["a", "b"])
+            out, names = [], batch.schema
+            for *row, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tuple(row[:3]) != current:
+                    out += [cell.rows[k] for k in hit]
+                    current, cell, hit = tuple(row[:3]), Cell(needed), set()
+                if row[3] == 0:
+                    cell.hold(row, row[6], signature)
+                elif cell.rows and len(found := cell.near(row[6], signature, row[4])):
+                    hit.update(found.tolist())
+                    out.append([*row, signature])
+            yield from as_batch(out, batch.schema)
+        if hit:
+            yield from as_batch([cell.rows[k] for k in hit], names)
 
-    a, b = (sketches.select(F.col("doc").alias(k), F.col("signature").alias(f"{k}_signature")) for k in ("a", "b"))
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "a_signature", "b_signature")
-    return joined.mapInArrow(test, pairs.schema)
+    return full.mapInArrow(test, full.schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) with intersection / union >= threshold on their full shingle sets; ``texts``: doc, text."""
-    per_cent = round(threshold * 100)
+def as_batch(rows: list, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last, of_last = Shingler(words), None, None
-        for batch in batches:
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if a != last or of_last is None:
-                    last, of_last = a, shingler(a or "")
-                of_b = shingler(b or "")
-                both = len(np.intersect1d(of_last, of_b, assume_unique=True))
-                if both and 100 * both >= per_cent * (len(of_last) + len(of_b) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
-
-    needed = texts.join(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "doc", "left_semi")
-    a, b = (needed.select(F.col("doc").alias(k), F.col("text").alias(f"{k}_text")) for k in ("a", "b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(test, pairs.schema)
-
-
-def links_between(shared: DataFrame, found: DataFrame, families: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Links (a, b) between the components ``found`` that share a bucket, enough to join all that are linked.
-
-    ``families`` are the components of all plausible pairs of the first pass, so each holds whole components. In a
-    family of several components the documents outside its largest one are compared with all of it; two components
-    of different families that share a bucket are compared as wholes. Either way one side is dealt into chunks and
-    the other goes to each of them, and a chunk returns at most one link for each component it joins. So neither
-    buckets nor families of any size are expanded into pairs of documents. Pairs of lone documents that the first
-    pass has compared are left out.
+
+def links_of(rows: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links (a, b) that join all components linked within a cell; ``rows`` with signatures, ``texts``: node, text.
+
+    A link is a pair with intersection / union >= threshold on the full sets. A text whose set is not its node's (a
+    repeated id has several) is passed over.
     """
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    parts = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(sizes, "component", "left")
-    family = F.coalesce("family", F.coalesce("component", "doc")).alias("family")
-    parts = parts.join(families.select(F.col("node").alias("doc"), F.col("component").alias("family")), "doc", "left")
-    parts = written(parts.select("band", "lead", "doc", F.coalesce("component", "doc").alias("part"), F.coalesce("size", F.lit(1)).alias("size"), family))
-
-    docs = written(parts.select("doc", "part", "size", "family").distinct())
-    several = docs.groupBy("family").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x != y")
-    open_docs = docs.join(several.select("family", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "family")
-    job = F.concat(F.lit("f"), F.col("family").cast("string")).alias("job")
-    kept = open_docs.select(job, F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"), "doc", "part")
-    sent = open_docs.where("part != main").select(job, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "doc", "part")
-
-    met = parts.select("band", "lead", "part", "size", "family").distinct()
-    p, q = (met.select("band", "lead", F.col("part").alias(x), F.col("size").alias(f"{x}_size"), F.col("family").alias(f"{x}_family")) for x in ("p", "q"))
-    fresh = ~((F.col("p_size") == 1) & (F.col("q_size") == 1) & ((F.col("p") == F.col("lead")) | (F.col("q") == F.col("lead"))))
-    pairs = p.join(q, ["band", "lead"]).where((F.col("p") < F.col("q")) & (F.col("p_family") != F.col("q_family")) & fresh).select("p", "q", "p_size", "q_size").distinct()
-    less = F.col("p_size") < F.col("q_size")
-    work = written(pairs.select(F.when(less, F.col("p")).otherwise(F.col("q")).alias("small"), F.when(less, F.col("q")).otherwise(F.col("p")).alias("big"), F.ceil(F.greatest("p_size", "q_size") / CHUNK).cast("int").alias("chunks")))
-    job = F.concat(F.lit("p"), F.col("big").cast("string")).alias("job")
-    large = work.groupBy("big").agg(F.max("chunks").alias("chunks")).join(docs, F.col("big") == F.col("part")).select(job, F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("role"), "doc", "part")
-    small = work.join(docs, F.col("small") == F.col("part")).select(job, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), "doc", "part")
-
-    rows = kept.unionByName(sent).unionByName(large).unionByName(small)
-    full = rows.join(sketches.select("doc", "signature"), "doc").join(texts, "doc").select("job", "chunk", "role", "doc", "part", "signature", "text")
-    ordered = full.repartition("job", "chunk").sortWithinPartitions("job", "chunk", "role")
     needed, per_cent = least_matches(threshold), round(threshold * 100)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, current = Shingler(words), None
-        ids, of, signatures, sets, joined = [], [], [], [], {}
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, current, cell, joined = Shingler(words), None, Cell(needed), {}
+
+        def own_set(text, node):
+            found = shingler(text or "")
+            return found if key_of(found) == node else found[:0]
 
         def root(part):
             while (up := joined.get(part, part)) != part:
@@ -213,38 +228,51 @@ def links_between(shared: DataFrame, found: DataFrame, families: DataFrame, sket
 
         for batch in batches:
             out = []
-            for job, chunk, role, doc, part, signature, text in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (job, chunk) != current:
-                    current, ids, of, signatures, sets, joined = (job, chunk), [], [], [], [], {}
-                signature = np.frombuffer(signature, np.uint32)
-                if role == 0:
-                    ids.append(doc)
-                    of.append(part)
-                    signatures.append(signature)
-                    sets.append(text)
+            for *row, signature, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tuple(row[:3]) != current:
+                    current, cell, joined = tuple(row[:3]), Cell(needed), {}
+                node, part = row[5:7]
+                if row[3] == 0:
+                    cell.hold([part, node, text], part, signature)
                     continue
-                if isinstance(signatures, list):
-                    signatures = np.array(signatures, np.uint32).reshape(len(ids), HASHES)
-                left, matches, at = np.arange(len(ids)), np.zeros(len(ids), np.int64), 0
-                for n, least in needed:
-                    matches[left] += (signatures[left, at:n] == signature[at:n]).sum(axis=1)
-                    left, at = left[matches[left] >= least], n
                 own = None
-                for i in left[np.argsort(-matches[left], kind="stable")].tolist():
-                    if root(of[i]) == root(part):
+                for k in cell.near(part, signature, row[4]).tolist() if cell.rows else ():
+                    held = cell.rows[k]
+                    if root(held[0]) == root(part):
                         continue
-                    own = shingler(text or "") if own is None else own
-                    if not isinstance(sets[i], np.ndarray):
-                        sets[i] = shingler(sets[i] or "")
-                    both = len(np.intersect1d(own, sets[i], assume_unique=True))
-                    if both and 100 * both >= per_cent * (len(own) + len(sets[i]) - both):
-                        out.append((min(doc, ids[i]), max(doc, ids[i])))
-                        joined[root(of[i])] = root(part)
-            columns = list(zip(*out, strict=True)) if out else [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, batch.column(3).type) for c in columns], names=["a", "b"])
-
-    kind = found.schema["node"].dataType.simpleString()
-    return ordered.mapInArrow(compare, f"a {kind}, b {kind}")
+                    own = own_set(text, node) if own is None else own
+                    if not isinstance(held[2], np.ndarray):
+                        held[2] = own_set(held[2], held[1])
+                    both = len(np.intersect1d(own, held[2], assume_unique=True))
+                    if both and 100 * both >= per_cent * (len(own) + len(held[2]) - both):
+                        out.append((node, held[1]))
+                        joined[root(held[0])] = root(part)
+            yield from as_batch(out, pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+
+    return in_cells(rows.join(texts, "node"), ["signature", "text"]).mapInArrow(test, "a binary, b binary")
+
+
+def star_cells(shared: DataFrame) -> DataFrame:
+    """Each lead against the other nodes of its buckets, in cells of CELL_SETS or so."""
+    pairs = shared.where("node != lead").select("lead", "node").distinct()
+    chunks = pairs.groupBy("lead").agg(F.ceil(F.count("*") / CELL_SETS).cast("int").alias("chunks"))
+    job, zero = F.xxhash64("lead").alias("job"), F.lit(0)
+    held = chunks.select(job, F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("i"), zero.alias("j"), zero.alias("role"), zero.alias("idx"), F.col("lead").alias("node"), F.col("lead").alias("part"))
+    met = pairs.join(chunks, "lead").select(job, F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("i"), zero.alias("j"), F.lit(1).alias("role"), zero.alias("idx"), "node", F.col("node").alias("part"))
+    return held.unionByName(met)
+
+
+def open_cells(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """What stars leave open: in each bucket, without its lead, the nodes outside the largest component against all."""
+    rest = written(shared.where("node != lead").join(found, "node", "left").select("idx", "band", "node", "size", F.coalesce("component", "node").alias("part")))
+    parts = rest.groupBy("band", "part").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    jobs = parts.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")).where("parts > 1")
+    jobs = jobs.select("band", "main", F.ceil((F.col("n") - F.col("most")) / CELL_SETS).cast("int").alias("rows"), F.ceil(F.greatest(F.col("n") / CELL_SETS, F.col("shingles") / CELL_SHINGLES)).cast("int").alias("columns"))
+    dealt = rest.join(jobs, "band").withColumnRenamed("band", "job")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = dealt.select("job", every("rows").alias("i"), F.pmod(F.xxhash64("node"), "columns").cast("int").alias("j"), F.lit(0).alias("role"), "idx", "node", "part")
+    met = dealt.where("part != main").select("job", F.pmod(F.xxhash64("node", F.lit(1)), "rows").cast("int").alias("i"), every("columns").alias("j"), F.lit(1).alias("role"), "idx", "node", "part")
+    return held.unionByName(met)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,31 +288,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     sketches = written(sketch(rows, words, "doc", "text"))
     members = sketches.where("n_shingles > 0 and doc is not null")
-    classes = members.groupBy("set_key").agg(F.min("doc").alias("rep"))
-    of_class = written(members.select("doc", "set_key").join(classes, "set_key").select("doc", "rep").distinct())
-    reps = of_class.where("doc = rep").select("doc").distinct()
-    of_reps = sketches.join(reps, "doc", "left_semi").where("n_shingles > 0")
-    one_each = rows.join(reps, "doc", "left_semi")
-
-    keys = of_reps.select("doc", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.min("doc").alias("lead"), F.max("doc").alias("top")).where("lead < top").select("band", "lead")
-    shared = written(keys.join(buckets, "band"))
-    likely = written(plausible(shared.where("doc != lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), of_reps, threshold))
-    first = written(verified(likely, one_each, words, threshold))
-
+    nodes = written(members.groupBy(F.col("set_key").alias("node")).agg(F.min("doc").alias("rep"), F.first("n_shingles").cast("int").alias("size"), F.first("signature").alias("signature")))
+
+    keys = nodes.select("node", "size", F.posexplode(bands()).alias("idx", "band"))
+    buckets = keys.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top").select("band", "lead")
+    shared = written(keys.join(buckets, "band").select("idx", "band", "lead", "node", "size"))
+    met = written(only(nodes, shared.select("node"), "node"))
+    signatures = met.select("node", "signature")
+
+    def links(cells: DataFrame) -> DataFrame:
+        likely = written(with_likely_partner(cells, signatures, threshold))
+        reps = met.select("node", F.col("rep").alias("doc")).join(likely.select("node").distinct(), "node", "left_semi")
+        texts = only(rows, reps, "doc", ["node"]).select("node", "text")
+        found = written(links_of(likely, texts, words, threshold))
+        dropped(likely)
+        return found
+
+    first = links(star_cells(shared))
     found = connected_components(first)
-    families = connected_components(likely)
-    second = written(links_between(shared, found, families, of_reps, one_each, words, threshold))
+    second = links(open_cells(shared, found))
 
-    # texts of one id in several classes are one document of several texts: the id itself links them
-    same_id = of_class.where("doc != rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    # a document of several texts is one document: its id links them
+    several = members.groupBy("doc").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z")).where("a < z").select("doc", "a")
+    same_id = members.join(several, "doc").select("a", F.col("set_key").alias("b"))
     components = connected_components(first.unionByName(second).unionByName(same_id))
-    final = sketches.select("doc", "n_shingles").join(components, F.col("doc") == F.col("node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc"))
-    return final.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+    in_components = nodes.select("node", "rep").join(components, "node")
+    least = in_components.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = in_components.join(least, "component").select("node", "component_id")
+    of_node = nodes.select("node", "rep").join(linked, "node", "left").select(F.col("node").alias("set_key"), F.coalesce("component_id", "rep").alias("component"))
+    final = sketches.select("doc", "n_shingles", "set_key").join(of_node, "set_key", "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
+    result = written(final.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept")))
+    dropped(sketches, nodes, shared, met, first, second, found, components)
+    return result
 
 
 def keep_one_each(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest of their group; of rows with one id all or none stay."""
-    gone = near_duplicates(docs, words, threshold, id_col, text_col).where("not kept").select(F.col(id_col).alias("id"))
-    return without(docs, gone, id_col)
+    """The rows of ``docs``, all columns, that are the smallest of their group.
+
+    Rows with one id are one document: all or none stay. Rows with a null id, and null, empty and wordless texts,
+    stay. An empty table gives an empty result.
+    """
+    found = near_duplicates(docs, words, threshold, id_col, text_col)
+    return without(docs, found.where("not kept").select(F.col(id_col).alias("id")), id_col)
