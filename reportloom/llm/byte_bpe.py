@@ -34,6 +34,8 @@ NONE = (1 << 31) - 1
 #: White space for str.split() that the patterns below do not take as such.
 CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
 SPACE = regex.compile(r"\s+")
+#: A full stop or comma that continues a run of marks, so that it is no word of its own.
+IN_RUN = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])")
 _loaded: dict[str, "ByteBPE"] = {}
 
 
@@ -81,6 +83,8 @@ class ByteBPE:
         self.ranks = dict(zip(keys.tolist(), range(len(pairs)), strict=True))
         self.first = np.array([vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int32)
         self.last = np.array([vocab[c + self.end] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int32)
+        # ranks of pairs of letters within a word, and at its end
+        self.letter_ranks = [self.pair_ranks(np.repeat(self.first, 256), np.tile(right, 256)).reshape(256, 256) for right in (self.first, self.last)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pieces = {i: (bytes(letters[c] for c in p[:-drop]) + b" " if drop and p.endswith(self.end) else bytes(letters[c] for c in p)) for p, i in vocab.items()}
         pieces |= {i: s.encode() for s, i in self.special.items()}
@@ -100,13 +104,15 @@ class ByteBPE:
         at = np.searchsorted(self.keys, wanted)
         return np.where(self.keys[at] == wanted, self.rank_of[at], NONE)
 
-    def merge_block(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of words of one length: a row of part ids and a row of neighbouring ranks for each word."""
-        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+    def merge_block(self, words: bytes, size: int) -> list[bytes]:
+        """Packed ids of words of ``size`` bytes each: a row of part ids and a row of neighbouring ranks for each word."""
+        raw = np.frombuffer(words, np.uint8).reshape(-1, size)
         parts = self.first[raw]
         parts[:, -1] = self.last[raw[:, -1]]
-        ranks = self.pair_ranks(parts[:, :-1], parts[:, 1:])
-        rows, out = np.arange(len(words)), np.empty(len(words), object)
+        ranks = self.letter_ranks[0][raw[:, :-1], raw[:, 1:]]
+        if size > 1:
+            ranks[:, -1] = self.letter_ranks[1][raw[:, -2], raw[:, -1]]
+        rows, out = np.arange(len(raw)), np.empty(len(raw), object)
         while len(rows):
             width = ranks.shape[1]
             at = ranks.argmin(axis=1) if width else np.zeros(len(rows), np.int64)
@@ -155,32 +161,34 @@ class ByteBPE:
         return array("I", [ids[i] for i in range(n) if live[i]]).tobytes()
 
     def merge(self, words: list[str]) -> dict[str, bytes]:
-        """Packed ids of each word."""
-        out, by_size = {}, {}
+        """Packed ids of each word; words of one length in UTF-8 are merged together."""
+        out: dict[str, bytes] = {}
+        by_size: dict[int, list[str]] = {}
         for w in words:
-            by_size.setdefault(len(raw := w.encode()), []).append(raw)
+            by_size.setdefault(len(w) if w.isascii() else len(w.encode()), []).append(w)
         for size, same in by_size.items():
             if size > LONG_WORD:
-                out.update((raw.decode(), self.merge_long(raw)) for raw in same)
+                out.update((w, self.merge_long(w.encode())) for w in same)
                 continue
             for i in range(0, len(same), BLOCK_WORDS):
                 block = same[i : i + BLOCK_WORDS]
-                out.update(zip([raw.decode() for raw in block], self.merge_block(block), strict=True))
+                out.update(zip(block, self.merge_block("".join(block).encode(), size), strict=True))
         return out
 
-    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+    def chunk_ids(self, chunks: list[str]) -> dict[str, bytes]:
         """Packed ids of chunks that no merge crosses: each chunk's words are found and merged once."""
         if self.end and beyond_latin("".join(chunks)):
             return self.library_ids(chunks)
-        found = [self.words_of(c) for c in chunks]
-        ids = self.merge(list({w for words in found for w in words}))
-        return [ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words]) for words in found]
+        whole = {c for c in chunks if c.isalpha()}
+        found = {c: self.words_of(c) for c in chunks if c not in whole}
+        ids = self.merge(list(whole.union(*found.values())))
+        return ids | {c: b"".join([ids[w] for w in words]) for c, words in found.items()}
 
-    def library_ids(self, chunks: list[str]) -> list[bytes]:
+    def library_ids(self, chunks: list[str]) -> dict[str, bytes]:
         """As ``chunk_ids`` where the library finds the words of chunks beyond Latin, Greek and Cyrillic: what is a
         letter there depends on the Unicode version, and a word's last piece has the suffix."""
         own = [c for c in chunks if not beyond_latin(c)]
-        ids = dict(zip(own, self.chunk_ids(own), strict=True)) if own else {}
+        ids = self.chunk_ids(own) if own else {}
         rest = list({c for c in chunks if c not in ids})
         if self.library is None:
             from tokenizers import Tokenizer
@@ -188,8 +196,7 @@ class ByteBPE:
             self.library = Tokenizer.from_file(self.path)
             self.library.encode_special_tokens = True
         encoded = self.library.encode_batch(rest, add_special_tokens=False)
-        ids.update((c, array("I", e.ids).tobytes()) for c, e in zip(rest, encoded, strict=True))
-        return [ids[c] for c in chunks]
+        return ids | {c: array("I", e.ids).tobytes() for c, e in zip(rest, encoded, strict=True)}
 
     def words_of(self, chunk: str) -> tuple[str, ...] | list[str]:
         """The words of a chunk; letters alone, or with a full stop or comma after them, need no pattern."""
@@ -208,10 +215,14 @@ class ByteBPE:
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
             new = set().union(*listed)
-        fresh = list(new)
-        memo.update(zip(fresh, self.chunk_ids(fresh if self.end else [self.whole(c) for c in fresh]), strict=True))
+        if self.end:
+            memo.update(self.chunk_ids(list(new)))
+        else:
+            meant = {c: self.whole(c) for c in new}
+            ids = self.chunk_ids(list(meant.values()))
+            memo.update((c, ids[w]) for c, w in meant.items())
         out = [b"".join(map(memo.__getitem__, chunks)) for chunks in listed]
-        for c in [c for c in fresh if len(c) > MEMO_CHARS]:
+        for c in [c for c in new if len(c) > MEMO_CHARS]:
             del memo[c]
         return out
 
@@ -229,7 +240,11 @@ class ByteBPE:
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             text = text.lower()
-            return text.split() if not CONTROL_SPACE.search(text) else SPACE.split(text)
+            if CONTROL_SPACE.search(text):
+                return SPACE.split(text)
+            if not IN_RUN.search(text):  # then a mark before a space is a word, and fewer chunks differ
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+            return text.split()
         parts = safe_parts(text)
         parts[0] = " " + parts[0]
         return parts
