@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import filled, strip
+from .text import filled, let, strip
 
 # Units, notation and date rules.
 UNITS = ("원", "명", "건", "개", "대", "회", "시간", "일", "월", "km", "kg", "MB", "GB", "TB")
@@ -15,6 +15,22 @@ SPACING = ((r"(?U)\s*및\s*", " 및 "), (r"(?U)\s*등\s*의\s*", " 등의 "), (r
 MONEY_UNITS = {"조": 1e12, "억": 1e8, "천만": 1e7, "백만": 1e6, "만": 1e4, "천": 1e3}
 NUMBER = r"\d+(?:\.\d+)?"
 MONEY = rf"(?U)((?:{NUMBER}\s*(?:조|억|천만|백만|만|천)\s*)+(?:{NUMBER}\s*)?|{NUMBER}\s*)원"
+# What words stand for, what is allowed, and what softens, bounds or continues a statement.
+NUMBER_WORDS = {"하나": 1, "하루": 1, "한": 1, "첫째": 1, "첫": 1, "둘": 2, "두": 2, "둘째": 2, "세": 3, "셋": 3, "셋째": 3, "네": 4, "넷": 4, "넷째": 4, "다섯": 5, "여섯": 6, "일곱": 7, "여덟": 8, "아홉": 9, "열": 10}
+DURATION_DAYS = {"이틀": 2, "사흘": 3, "나흘": 4, "닷새": 5}
+TERMS = {"캘리브레이션": "Calibration", "워크숍": "워크샵", "프로젝트": "과제"}
+ALLOWED_HANJA = "高低中現可必時順內人月年日前後外約無有要未對比增減新全各上下"
+HEDGES = ("수 있", "우려", "가능성", "것으로 보", "듯")
+HEDGED_LINE = ("수 있", "우려", "가능성", "예상", "전망", "소지", "可", "가능", "약 ", "추정")
+HEDGE_PREDICATES = {"어려": ("어려", "곤란", "난항", "차질", "미달"), "달라": ("달라", "상이", "변동", "차이"), "커": ("커", "증가", "확대", "가중", "高"), "늘": ("늘", "증가", "확대", "증원", "증액"), "줄": ("줄", "감소", "축소"), "생기": ("생기", "발생"), "발생": ("발생",), "지연": ("지연", "늦")}
+HEDGE_STOPWORDS = ("있습", "있어", "있는", "것으", "필요", "합니", "됩니", "보입", "때문", "정도", "경우", "이번", "현재")
+HEDGE_OVERLAP = 2
+BOUNDS, BOUNDS_KEPT = ("이상", "이하", "미만", "초과", "넘"), ("이상", "이하", "미만", "초과", "넘", "↑", "+", "以上")
+PROGRESS, PROGRESS_SHOWN = ("中", "중"), ("중", "하고 있", "하는 중", "진행하고", "진행 중", "검토하고", "협의하고", "운영하고", "있습니다")
+VERBAL_TAILS = ("서", "고", "며", "면", "는", "아", "어", "여", "해", "하", "한", "할", "함", "했", "던", "든", "지", "게", "기", "도록", "니", "으며", "으면")
+KOREAN_DATE = r"(?U)(\d{1,2})\s*월\s*(\d{1,2})\s*일"
+DOTTED_DATE = r"(?<![\d.])(\d{1,2})\.(\d{1,2})(?![\d%])"
+SPACED_DATE = r"(?U)(?:(?<!\d)\d{4}\s*\.\s*|~\s*)(\d{1,2})\s*\.\s*(\d{1,2})(?![\d%])"
 MONTH, DAY = r"0?([1-9]|1[0-2])", r"0?([1-9]|[12]\d|3[01])"
 WEEKDAYS = "월화수목금토일"
 
@@ -83,49 +99,184 @@ def money(text: Column) -> Column:
 
 
 def day_pairs(text: Column) -> Column:
-    """Distinct 'month.day' of Korean and dotted dates, in that order."""
+    """Distinct 'month.day' of Korean, dotted and spaced dates, in that order, then the further days of spans such as
+    '8월 22일부터 이틀간'."""
     t = clean_numbers(text)
+    pair = lambda m, d: F.concat(m.cast("int").cast("string"), F.lit("."), d.cast("int").cast("string"))
     found = []
-    for pattern in (r"(?U)(\d{1,2})\s*월\s*(\d{1,2})\s*일", r"(?<![\d.])(\d{1,2})\.(\d{1,2})(?![\d%])", r"(?U)(?:(?<!\d)\d{4}\s*\.\s*|~\s*)(\d{1,2})\s*\.\s*(\d{1,2})(?![\d%])"):
+    for pattern in (KOREAN_DATE, DOTTED_DATE, SPACED_DATE):
         months, days = (F.regexp_extract_all(t, F.lit(pattern), F.lit(i)) for i in (1, 2))
-        found.append(F.zip_with(months, days, lambda m, d: F.concat(m.cast("int").cast("string"), F.lit("."), d.cast("int").cast("string"))))
-    return F.array_distinct(F.concat(*found))
+        dated = F.zip_with(months, days, lambda m, d: F.when((F.lit(pattern) != SPACED_DATE) | m.cast("int").between(1, 12), pair(m, d)))
+        found.append(F.filter(dated, lambda x: x.isNotNull()))
+    spans = F.regexp_extract_all(t, F.lit(rf"{KOREAN_DATE}\s*부터\s*(?:{'|'.join(DURATION_DAYS)})간"), F.lit(0))
+    return F.array_distinct(F.concat(*found, F.flatten(F.transform(spans, further_days))))
+
+
+def further_days(span: Column) -> Column:
+    """'month.day' of the second day and those after it of a span of days."""
+    month, first = (F.regexp_extract(span, KOREAN_DATE, i).cast("int") for i in (1, 2))
+    days = None
+    for word, n in DURATION_DAYS.items():
+        days = F.when(F.contains(span, F.lit(word)), n) if days is None else days.when(F.contains(span, F.lit(word)), n)
+    return F.transform(F.sequence(F.lit(1), days - 1), lambda k: F.concat(month.cast("string"), F.lit("."), (first + k).cast("string")))
+
+
+def known_numbers(text: Column) -> Column:
+    """Plain numbers that a text states: written ones, months and days of its dates, and number words."""
+    t = filled(text)
+    words = F.array(*[F.when(t.rlike(rf"(?U)(?:^|[\s(]){word}"), F.lit(str(n))) for word, n in NUMBER_WORDS.items()])
+    parts = F.flatten(F.transform(day_pairs(text), lambda d: F.split(d, r"\.")))
+    return F.array_union(numbers(text), F.array_union(parts, F.filter(words, lambda w: w.isNotNull())))
+
+
+def found_in(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
 def missing_numbers(source: Column, output: Column) -> Column:
-    """Numbers of ``source`` that ``output`` has not, rising; amounts and percents carried over by value are there."""
+    """Numbers of ``source`` that ``output`` has not, rising; amounts, percents and dates carried over by value are
+    there."""
     text = clean_numbers(source)
-    kept_money = F.filter(F.regexp_extract_all(text, F.lit(MONEY), F.lit(0)), lambda m: F.array_contains(money(output), money_value(m)))
-    kept_percent = F.filter(F.regexp_extract_all(text, F.lit(rf"(?U){NUMBER}\s*%"), F.lit(0)), lambda p: F.array_contains(percents(output), F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))
-    masked = F.aggregate(F.concat(kept_money, kept_percent), text, lambda t, span: F.replace(t, span, F.lit(" ")))
-    present = F.array_union(numbers(output), F.flatten(F.transform(day_pairs(output), lambda d: F.split(d, r"\."))))
-    return F.array_sort(F.array_except(numbers(masked), present), lambda a, b: F.when(a.cast("double") < b.cast("double"), -1).when(a.cast("double") > b.cast("double"), 1).otherwise(0))
+    kept_money = F.filter(found_in(text, MONEY), lambda m: F.array_contains(money(output), money_value(m)))
+    kept_percent = F.filter(found_in(text, rf"(?U){NUMBER}\s*%"), lambda p: F.array_contains(percents(output), F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))
+    kept_dates = F.filter(found_in(text, KOREAN_DATE), lambda d: F.array_contains(day_pairs(output), F.element_at(day_pairs(d), 1)))
+    masked = F.aggregate(F.concat(kept_money, kept_percent, kept_dates), text, lambda t, span: F.replace(t, span, F.lit(" ")))
+    return F.array_sort(F.array_except(numbers(masked), known_numbers(output)), lambda a, b: F.when(a.cast("double") < b.cast("double"), -1).when(a.cast("double") > b.cast("double"), 1).otherwise(0))
+
+
+def problems(kind: str, shown: Column) -> Column:
+    """ARRAY<STRUCT<kind, shown>> of the strings ``shown``."""
+    return F.transform(shown, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("shown")))
+
+
+def invented_facts(line: Column, source: Column) -> Column:
+    """Percents, amounts, dates and numbers of ``line`` that its ``source`` has not, as ARRAY<STRUCT<kind, shown>>.
+
+    Each kind is compared by value with its own kind, and what one kind has claimed is no match for the next.
+    Option numbers such as (1안) are exempt.
+    """
+
+    def compared(x: Column) -> Column:
+        text, source_text = x["line"], x["source"]
+        percent, known = rf"(?U){NUMBER}\s*%", known_numbers(source_text)
+        rest = [F.regexp_replace(text, r"(?U)\(?\d+\s*안\)?", " ")]
+        for pattern in (percent, MONEY, DOTTED_DATE, KOREAN_DATE):
+            rest.append(F.regexp_replace(rest[-1], pattern, " "))
+        new_date = lambda d: ~F.array_contains(day_pairs(source_text), F.element_at(day_pairs(d), 1))
+        return F.concat(
+            problems("percent", F.filter(found_in(rest[0], percent), lambda p: ~F.array_contains(percents(source_text), F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))),
+            problems("money", F.transform(F.filter(found_in(rest[1], MONEY), lambda m: ~F.array_contains(money(source_text), money_value(m))), strip)),
+            problems("date", F.filter(found_in(rest[2], DOTTED_DATE), lambda d: new_date(d) & ~F.array_contains(known, plain_number(d)))),
+            problems("date", F.filter(found_in(rest[3], KOREAN_DATE), new_date)),
+            problems("number", F.array_distinct(F.filter(found_in(rest[4], NUMBER), lambda n: ~F.array_contains(known, plain_number(n))))),
+        )
+
+    return let(F.struct(clean_numbers(line).alias("line"), filled(source).alias("source")), compared)
 
 
 def invented_numbers(line: Column, source: Column) -> Column:
-    """Numbers of ``line`` that its ``source`` has not; option numbers such as (1안) are exempt."""
-    body = F.regexp_replace(clean_numbers(line), r"(?U)\(?\d+\s*안\)?", " ")
-    return F.array_except(numbers(body), F.array_union(numbers(source), F.flatten(F.transform(day_pairs(source), lambda d: F.split(d, r"\.")))))
+    """What ``invented_facts`` shows, in its order."""
+    return F.transform(invented_facts(line, source), lambda p: p["shown"])
 
 
 def foreign_words(line: Column, source: Column) -> Column:
-    """Latin words of ``line`` that ``source`` has not, whatever their case."""
-    words = lambda t: F.transform(F.regexp_extract_all(filled(t), F.lit("([A-Za-z][A-Za-z&]*)"), F.lit(1)), F.lower)
-    return F.array_except(words(line), words(source))
+    """Latin words of ``line`` that ``source`` has not, whatever their case; the report's words for terms of the source
+    are no foreign ones."""
+    words = lambda t: F.transform(found_in(t, "[A-Za-z][A-Za-z&]*"), F.lower)
+    allowed = words(filled(source))
+    for term, other in TERMS.items():
+        allowed = F.concat(allowed, F.when(F.contains(filled(source), F.lit(term)), words(F.lit(other))).otherwise(F.array().cast("array<string>")))
+    return F.array_except(words(filled(line)), allowed)
+
+
+def foreign_hanja(line: Column, source: Column) -> Column:
+    """Chinese characters of ``line`` that are neither allowed nor in ``source``, in order."""
+    return F.filter(F.array_distinct(found_in(filled(line), "[一-鿿]")), lambda c: ~F.contains(F.lit(ALLOWED_HANJA), c) & ~F.contains(filled(source), c))
+
+
+def stems(text: Column) -> Column:
+    """The first two letters of Korean words, without those that carry no meaning."""
+    return F.filter(F.array_distinct(F.transform(found_in(text, "[가-힣]{2,}"), lambda w: F.left(w, F.lit(2)))), lambda w: ~w.isin(*HEDGE_STOPWORDS))
+
+
+def unhedged(line: Column, source: Column) -> Column:
+    """The clauses of ``source`` that call something possible which ``line`` states flatly; at most the first."""
+
+    def told(x: Column) -> Column:
+        clause, text = x["clause"], x["line"]
+        words = F.filter(F.split(F.regexp_extract(clause, rf"(?s)^(.*?)(?:{'|'.join(HEDGES)})", 1), r"(?U)\s+", -1), lambda w: w != "")
+        predicate = F.regexp_replace(F.element_at(words, -1), "[ㄹ을를]$", "")
+        same = None
+        for start, forms in HEDGE_PREDICATES.items():
+            hit = text.rlike("|".join(forms))
+            same = F.when(predicate.startswith(start), hit) if same is None else same.when(predicate.startswith(start), hit)
+        same = same.otherwise(F.contains(text, F.left(predicate, F.lit(2))))
+        return F.when(F.size(words) == 0, False).otherwise(same) & (F.size(F.array_intersect(stems(text), stems(clause))) >= HEDGE_OVERLAP)
+
+    text = clean_numbers(line)
+    clauses = F.filter(F.split(clean_numbers(source), r"(?U)[,，.]|(?<=[고며서만])\s", -1), lambda c: c.rlike("|".join(HEDGES)))
+    flat = F.filter(clauses, lambda c: let(F.struct(c.alias("clause"), text.alias("line")), told))
+    return F.when(text.rlike("|".join(HEDGED_LINE)), F.array().cast("array<string>")).otherwise(F.transform(F.slice(flat, 1, 1), lambda c: F.left(strip(c), F.lit(24))))
+
+
+def lost_bounds(line: Column, source: Column) -> Column:
+    """Numbers with a bound ('3개월 이상') of ``source`` that ``line`` carries without one."""
+    text, pattern = clean_numbers(line), rf"(?U)({NUMBER})\s*([가-힣]{{0,3}})\s*(?:{'|'.join(BOUNDS)})"
+    kept = "|".join(b.replace("+", r"\+") for b in BOUNDS_KEPT)
+
+    def lost(shown: Column) -> Column:
+        number, unit = F.regexp_extract(shown, pattern, 1), F.regexp_extract(shown, pattern, 2)
+        bare = F.concat(F.lit(r"(?U)(?<![\d.])"), F.replace(number, F.lit("."), F.lit(r"\.")), F.lit(r"\s*"), unit, F.lit(rf"(?!\s*[가-힣]{{0,3}}\s*(?:{kept}))"))
+        return F.regexp_like(text, bare)
+
+    return F.filter(found_in(clean_numbers(source), pattern), lost)
+
+
+def unshown_progress(line: Column, source: Column) -> Column:
+    """Words that ``line`` calls under way ('협의 中') where ``source`` names them without saying so near them."""
+    found = rf"(?U)([가-힣]{{2,}})\s*(?:{'|'.join(PROGRESS)})(?=\s*(?:[)\]\-,/·]|\d|$))"
+
+    def unshown(word: Column) -> Column:
+        near = F.concat(F.lit("(?s)(?=("), F.left(word, F.lit(2)), F.lit(".{0,"), (F.char_length(word) + 10).cast("string"), F.lit("}))"))
+        windows = F.regexp_extract_all(clean_numbers(source), near, F.lit(1))
+        return (F.size(windows) > 0) & ~F.exists(windows, lambda w: w.rlike("|".join(PROGRESS_SHOWN)))
+
+    return F.filter(found_in(clean_numbers(line), found, 1), unshown)
+
+
+def coined_words(line: Column, source: Column) -> Column:
+    """Words in ``line`` made of the beginnings of two neighbouring verb forms of ``source`` that it has not itself."""
+    words, tokens = found_in(filled(source), "[가-힣]+"), found_in(filled(line), "[가-힣]+")
+
+    def beginnings(word: Column) -> Column:
+        places = F.when(F.char_length(word) > 1, F.sequence(F.lit(1), F.char_length(word) - 1)).otherwise(F.array().cast("array<int>"))
+        verbal = F.filter(places, lambda k: F.substring(word, k + 1, F.char_length(word)).rlike(f"^(?:{'|'.join(VERBAL_TAILS)})"))
+        return F.transform(verbal, lambda k: F.left(word, k))
+
+    def found(x: Column) -> Column:
+        pairs = F.zip_with(x["words"], F.slice(x["words"], 2, F.greatest(F.size(x["words"]) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        made = F.flatten(F.transform(F.filter(pairs, lambda p: p["b"].isNotNull()), lambda p: F.flatten(F.transform(beginnings(p["a"]), lambda h: F.transform(beginnings(p["b"]), lambda t: F.concat(h, t))))))
+        fits = lambda m: (F.char_length(m) >= 3) & ~F.contains(x["flat"], m) & F.exists(x["tokens"], lambda t: F.contains(t, m))
+        return F.array_distinct(F.filter(made, fits))
+
+    return let(F.struct(words.alias("words"), tokens.alias("tokens"), F.regexp_replace(filled(source), r"(?U)\s", "").alias("flat")), found)
 
 
 def weekday_problems(text: Column, year: int) -> Column:
-    """Weekdays in '9.5(토)' that the year's calendar contradicts, and dates that it has not."""
-    shown = F.regexp_extract_all(clean_numbers(text), F.lit(rf"(?U)(?<![\d.])\d{{1,2}}\.\d{{1,2}}\s*\([{WEEKDAYS}]\)"), F.lit(0))
+    """Weekdays in '9.5(토)', and in range ends '~ 23(일)' of the last month named so, that the year's calendar
+    contradicts ('weekday'), and dates that it has not ('no_date'), as ARRAY<STRUCT<kind, shown>>."""
+    t = clean_numbers(text)
+    day_form, end_form = rf"(?U)(?<![\d.])(\d{{1,2}})\.(\d{{1,2}})\s*\(([{WEEKDAYS}])\)", rf"(?U)~\s*(\d{{1,2}})\s*\(([{WEEKDAYS}])\)"
+    last_month = F.element_at(F.concat(F.array(F.lit("")), found_in(t, day_form, 1)), -1)
 
-    def problem(s: Column) -> Column:
-        month, day = (F.regexp_extract(s, r"^(\d{1,2})\.(\d{1,2})", i) for i in (1, 2))
+    def problem(shown: Column, month: Column, day: Column, named: Column) -> Column:
         date = F.try_to_date(F.concat_ws("-", F.lit(str(year)), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
         actual = F.substring(F.lit(WEEKDAYS), F.weekday(date) + 1, F.lit(1))
-        named = F.regexp_extract(s, rf"\(([{WEEKDAYS}])\)", 1)
-        return F.when(date.isNull(), F.concat(F.lit("없는 날짜 "), s)).when(actual != named, F.concat(F.lit("요일이 틀림 "), s, F.lit(" (실제 "), actual, F.lit("요일)")))
+        return F.when(date.isNull(), F.struct(F.lit("no_date").alias("kind"), shown.alias("shown"))).when(actual != named, F.struct(F.lit("weekday").alias("kind"), shown.alias("shown")))
 
-    return F.filter(F.transform(shown, problem), lambda p: p.isNotNull())
+    days = F.transform(found_in(t, rf"{day_form}"), lambda s: problem(s, *(F.regexp_extract(s, day_form, i) for i in (1, 2, 3))))
+    ends = F.transform(found_in(t, end_form), lambda s: F.when(last_month != "", problem(s, last_month, F.regexp_extract(s, end_form, 1), F.regexp_extract(s, end_form, 2))))
+    return F.filter(F.concat(days, ends), lambda p: p.isNotNull())
 
 
 def date_shapes(text: Column) -> Column:

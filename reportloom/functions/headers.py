@@ -12,7 +12,7 @@ from .text import SENTENCE_END, filled, let, strip
 DROPPED = ("평균", "향후", "주요", "세부", "관련", "전체", "해당")
 SHORTER = (("담당 부서", "담당"), ("협조 부서", "협조"), ("소요 예산", "예산"), ("추진 일정", "일정"), ("기대 효과", "효과"), ("조치 계획", "조치"))
 KEPT_BEFORE = (" 및 ", "/", "·", ", ")
-PARENTHESES = r"\s*[(（][^)）]*[)）]"
+PARENTHESES = r"(?U)\s*[(\[（][^)\]）]*[)\]）]"
 
 
 def words(text: Column) -> Column:
@@ -93,12 +93,21 @@ def header_candidates(text: Column, siblings: Column) -> Column:
 
 
 def sentence_parts(text: Column) -> Column:
-    """Sentences of a text; parts of punctuation alone go to the sentence before."""
+    """Sentences of a text; parts without any letter or digit join the next sentence, at the end the last one."""
     parts = F.filter(F.split(filled(text), SENTENCE_END, -1), lambda s: strip(s) != "")
-    bare = lambda s: s.rlike(r"(?U)^[\p{P}\p{S}\s]*$")
-    start = F.array().cast("array<string>")
-    join = lambda a, s: F.when((F.size(a) > 0) & bare(s), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.lit(" "), s)))).otherwise(F.concat(a, F.array(s)))
-    return F.aggregate(parts, start, join)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+    joined = lambda held, s: F.when(held == "", s).otherwise(strip(F.concat(held, F.lit(" "), s)))
+
+    def step(a: Column, s: Column) -> Column:
+        bare, whole = ~s.rlike("[0-9A-Za-z가-힣]"), joined(a["held"], s)
+        return F.struct(F.when(bare, a["done"]).otherwise(F.concat(a["done"], F.array(whole))).alias("done"), F.when(bare, whole).otherwise("").alias("held"))
+
+    def end(a: Column) -> Column:
+        n = F.size(a["done"])
+        last = F.when(n == 0, F.array(a["held"])).otherwise(F.concat(F.slice(a["done"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(strip(F.concat(F.get(a["done"], n - 1), F.lit(" "), a["held"])))))
+        return F.when(a["held"] == "", a["done"]).otherwise(last)
+
+    return F.aggregate(parts, start, step, end)
 
 
 def split_at_connective(sentence: Column, most: int) -> Column:
@@ -119,12 +128,22 @@ def split_at_connective(sentence: Column, most: int) -> Column:
     return let(found, cut)
 
 
-def split_long(text: Column, most: int = 60, rounds: int = 4) -> Column:
-    """A text as parts: sentences, and long ones cut at connectives up to ``rounds`` times."""
-    parts = sentence_parts(text)
-    for _ in range(rounds if most > 0 else 0):
-        parts = F.flatten(F.transform(parts, lambda s: split_at_connective(s, most)))
-    return parts
+def split_long(text: Column, most: int = 60) -> Column:
+    """A text as parts: sentences, and those over ``most`` characters cut at connectives. A head that is cut off is
+    final; the rest is cut on while it is too long and has a connective, so a sentence takes at most as many steps as
+    it has connectives with a comma."""
+    if most <= 0:
+        return sentence_parts(text)
+
+    def cut(sentence: Column) -> Column:
+        marks = F.regexp_count(sentence, F.lit(f"(?:{'|'.join(CONNECTIVES)}), "))
+        steps = F.when(marks > 0, F.sequence(F.lit(1), marks)).otherwise(F.array().cast("array<int>"))
+        start = F.struct(F.array().cast("array<string>").alias("done"), sentence.alias("rest"))
+        taken = lambda a, two: F.struct(F.concat(a["done"], F.slice(two, F.lit(1), F.size(two) - 1)).alias("done"), F.element_at(two, -1).alias("rest"))
+        step = lambda a, _: let(split_at_connective(a["rest"], most), lambda two: taken(a, two))
+        return F.aggregate(steps, start, step, lambda a: F.concat(a["done"], F.array(a["rest"])))
+
+    return F.flatten(F.transform(sentence_parts(text), cut))
 
 
 def split_clauses(sentence: Column, least: int = 6) -> Column:

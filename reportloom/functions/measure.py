@@ -38,12 +38,14 @@ def longest_word_width(text: Column, size_emu: int) -> Column:
     return F.greatest(narrow, wide)
 
 
-def wrap_count(text: Column, size_emu: int, max_width: float) -> Column:
+def wrap_count(text: Column, size_emu: int, max_width: Column | float) -> Column:
     """Lines that a text takes within ``max_width``: wide letters break anywhere, other words are kept whole and
-    moved down, words longer than a line are cut."""
-    if max_width <= 0:
-        return F.lit(1)
-    half, full, most = F.lit(0.5 * size_emu), F.lit(float(size_emu)), F.lit(float(max_width))
+    moved down, words longer than a line are cut. Without any width it is one line."""
+    most = max_width if isinstance(max_width, Column) else F.lit(float(max_width))
+    return F.when(most > 0, lines_within(text, F.lit(0.5 * size_emu), F.lit(float(size_emu)), most)).otherwise(F.lit(1))
+
+
+def lines_within(text: Column, half: Column, full: Column, most: Column) -> Column:
     start = F.struct(F.lit(1).alias("n"), F.lit(0.0).alias("used"), F.lit(0.0).alias("word"))
 
     def state(n: Column, used: Column, word: Column) -> Column:

@@ -66,14 +66,23 @@ def blocked_terms(line: Column, source: Column) -> Column:
 
 
 def line_problems(line: Column, source: Column, year: int | None = None) -> Column:
-    """All problems of a line against its source as strings, in a fixed order."""
+    """All problems of a line against its source as ARRAY<STRUCT<kind, shown>>, in a fixed order.
+
+    Kinds: percent, money, date, number (not in the source), weekday, no_date (with a ``year``), latin, hanja (not in
+    the source), opposite, settled, hedge (possible made certain), bound (left out), progress (not shown), blocked.
+    """
+    flag = lambda kind, test: F.when(test, F.array(F.struct(F.lit(kind).alias("kind"), F.lit("").alias("shown")))).otherwise(F.array().cast("array<struct<kind:string,shown:string>>"))
     parts = [
-        F.transform(K.invented_numbers(line, source), lambda n: F.concat(F.lit("원문에 없는 숫자 "), n)),
+        K.invented_facts(line, source),
         *([K.weekday_problems(line, year)] if year else []),
-        F.transform(K.foreign_words(line, source), lambda w: F.concat(F.lit("원문에 없는 영문 '"), w, F.lit("'"))),
-        F.when(polarity_flips(line, source), F.array(F.lit("원문과 방향이 반대인 표현"))).otherwise(F.array().cast("array<string>")),
-        F.when(unearned_settlement(line, source), F.array(F.lit("원문에 없는 확정·완료 표현"))).otherwise(F.array().cast("array<string>")),
-        F.transform(blocked_terms(line, source), lambda t: F.concat(F.lit("원문에 없는 말 '"), t, F.lit("'(다른 뜻으로 읽힘)"))),
+        K.problems("latin", K.foreign_words(line, source)),
+        K.problems("hanja", K.foreign_hanja(line, source)),
+        flag("opposite", polarity_flips(line, source)),
+        flag("settled", unearned_settlement(line, source)),
+        K.problems("hedge", K.unhedged(line, source)),
+        K.problems("bound", K.lost_bounds(line, source)),
+        K.problems("progress", K.unshown_progress(line, source)),
+        K.problems("blocked", blocked_terms(line, source)),
     ]
     return F.concat(*parts)
 

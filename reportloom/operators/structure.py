@@ -84,16 +84,18 @@ def fold_levels(blocks: DataFrame, most: int = 4) -> DataFrame:
     return folded.withColumns({"from_heading": F.col("kind") == "heading", "depth": shifted.cast("int"), "kind": F.when(F.col("kind") == "heading", "item").otherwise(F.col("kind"))}).select(*blocks.columns, *([] if "from_heading" in blocks.columns else ["from_heading"]))
 
 
-def number_items(blocks: DataFrame) -> DataFrame:
-    """``number``: each item's place among items of its depth since the last shallower item (or any other block)."""
-    depths = blocks.select(F.col("depth")).where("depth is not null").agg(F.max("depth")).first()[0]
+def number_items(blocks: DataFrame, depths: int = 5) -> DataFrame:
+    """``number``: each item's place among items of its depth since the last shallower item (or any other block).
+
+    For each of the ``depths`` depths (items below them are not numbered) a running count is taken and what it was at
+    the last reset; all windows share one order, so the blocks are shuffled and sorted once.
+    """
     out = blocks.withColumn("__item", F.col("kind") == "item")
-    value = F.lit(None).cast("long")
-    for d in range((depths if depths is not None else -1) + 1):
-        reset = F.sum((~F.col("__item") | (F.col("depth") < d)).cast("int")).over(so_far())
-        out = out.withColumn(f"__group{d}", reset)
-        counted = F.sum((F.col("__item") & (F.col("depth") == d)).cast("int")).over(Window.partitionBy(DOC, f"__group{d}").orderBy(ORD).rowsBetween(Window.unboundedPreceding, 0))
-        value = F.when(F.col("__item") & (F.col("depth") == d), counted).otherwise(value)
+    own = lambda d: F.col("__item") & (F.col("depth") == d)
+    out = out.withColumns({f"__n{d}": F.count_if(F.coalesce(own(d), F.lit(False))).over(so_far()) for d in range(depths)})
+    reset = lambda d: ~F.col("__item") | (F.col("depth") < d)
+    out = out.withColumns({f"__base{d}": F.coalesce(F.last(F.when(reset(d), F.col(f"__n{d}")), True).over(so_far()), F.lit(0)) for d in range(depths)})
+    value = F.coalesce(*[F.when(own(d), F.col(f"__n{d}") - F.col(f"__base{d}")) for d in range(depths)])
     return out.withColumn("number", value.cast("long")).select(*blocks.columns, "number")
 
 
@@ -149,14 +151,35 @@ def attach_notes(blocks: DataFrame, marks: tuple[str, ...] = ("*", "※", "주)"
     return kept.join(notes.withColumnRenamed("__table", ORD), [DOC, ORD], "left").withColumn("notes", F.when(F.col("kind") == "table", F.coalesce(F.transform("__n", lambda n: n["text"]), F.array().cast("array<string>")))).drop("__n")
 
 
+#: Boundaries that deal rows into ranges of an order: rows looked at, and so ranges at most.
+RANGES = 256
+
+
+def running_totals(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over all rows before, in the order of the columns ``order``.
+
+    Rows are dealt into ranges by at most ``RANGES`` boundaries (rows picked by a hash). Each range is summed, the few
+    sums are added up in order, and a window numbers within each range: no task sees all rows.
+    """
+    key = F.struct(*order)
+    cuts = rows.select(key.alias("k"), F.xxhash64(*order).alias("h")).orderBy("h", "k").limit(RANGES).agg(F.array_sort(F.collect_set("k")).alias("__cuts"))
+    ranged = rows.withColumn("__value", value).join(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= key))).drop("__cuts")
+    sums = ranged.groupBy("__range").agg(F.sum("__value").alias("__sum"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.coalesce(F.sum("__value").over(within), F.lit(0)))
+    return placed.drop("__range", "__value", "__start")
+
+
 def merge_documents(blocks: DataFrame, order: str, breaks: bool = False) -> DataFrame:
     """All documents as one stream of blocks: position in all, a page break or section heading before each document.
 
-    Positions come from each document's length summed over the documents before it, so only one row for each
-    document is ever sorted together. ``order`` is a document-level column.
+    Positions come from each document's length summed over the documents before it, range by range
+    (``running_totals``). ``order`` is a document-level column.
     """
     sizes = blocks.groupBy(DOC, order).agg(F.count("*").alias("__size"))
-    at = sizes.select(DOC, (F.sum(F.col("__size") + 1).over(Window.orderBy(order, DOC).rowsBetween(Window.unboundedPreceding, -1))).alias("__at")).fillna({"__at": 0})
+    at = running_totals(sizes, [order, DOC], F.col("__size") + 1, "__at").select(DOC, "__at")
     own = blocks.withColumn("__no", F.row_number().over(in_order()))
     body = own.join(at, DOC).select(DOC, (F.col("__at") + F.col("__no") + 1).cast("long").alias("position"), "kind", "text")
     head = at.select(DOC, (F.col("__at") + 1).cast("long").alias("position"), F.lit("page_break" if breaks else "heading").alias("kind"), F.lit("" if breaks else None).cast("string").alias("text"))
@@ -186,12 +209,6 @@ def grid_columns(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table_id").applyInPandas(place, schema)
 
 
-def column_demands(cells: DataFrame, width: Column) -> DataFrame:
-    """Least and wished width of each grid column: spanned cells share their width among the columns they cover."""
-    covered = cells.withColumn("__w", width).select("table_id", F.explode(F.sequence(F.col("grid_col"), F.col("grid_col") + F.col("colspan") - 1)).alias("column"), (F.col("__w") / F.col("colspan")).alias("__each"))
-    return covered.groupBy("table_id", F.col("column").cast("long").alias("column")).agg(F.max("__each").alias("demand"))
-
-
 def page_closure(edges: DataFrame, depth: int = 4, most: int = 40) -> DataFrame:
     """Pages reached from each root within ``depth`` inclusions: root, page, depth, path; at most ``most`` a root.
 
@@ -199,10 +216,16 @@ def page_closure(edges: DataFrame, depth: int = 4, most: int = 40) -> DataFrame:
     repeat a page.
     """
     hop = edges.select(F.col("page").alias("__from"), F.col("includes").alias("__to"), F.lpad(F.col("position").cast("string"), 6, "0").alias("__p"))
-    found = hop.select(F.col("__from").alias("root"), F.col("__to").alias("page"), F.lit(1).alias("depth"), F.array("__from", "__to").alias("path"), F.col("__p").alias("key")).where("__from != __to")
-    level = found
+
+    def first_paths(paths: DataFrame) -> DataFrame:
+        """Of all paths of one length to a page the first: what comes behind it depends on the page alone."""
+        return paths.groupBy("root", "page", "depth").agg(F.min_by(F.struct("path", "key"), "key").alias("__first")).select("root", "page", "depth", "__first.*")
+
+    level = first_paths(hop.where("__from != __to").select(F.col("__from").alias("root"), F.col("__to").alias("page"), F.lit(1).alias("depth"), F.array("__from", "__to").alias("path"), F.col("__p").alias("key")))
+    found = level
     for d in range(2, depth + 1):
-        level = level.join(hop, level["page"] == hop["__from"]).where(~F.array_contains("path", F.col("__to"))).select("root", F.col("__to").alias("page"), F.lit(d).alias("depth"), F.concat("path", F.array("__to")).alias("path"), F.concat_ws("/", "key", "__p").alias("key"))
+        on = level.join(hop, level["page"] == hop["__from"]).where(~F.array_contains("path", F.col("__to")))
+        level = first_paths(on.select("root", F.col("__to").alias("page"), F.lit(d).alias("depth"), F.concat("path", F.array("__to")).alias("path"), F.concat_ws("/", "key", "__p").alias("key")))
         found = found.unionByName(level)
-    first = found.withColumn("__n", F.row_number().over(Window.partitionBy("root", "page").orderBy("key"))).where("__n = 1")
+    first = found.groupBy("root", "page").agg(F.min_by(F.struct("depth", "path", "key"), "key").alias("__first")).select("root", "page", "__first.*")
     return first.withColumn("__r", F.row_number().over(Window.partitionBy("root").orderBy("key"))).where(F.col("__r") <= most).select("root", "page", F.col("depth").cast("long").alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))

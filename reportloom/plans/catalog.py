@@ -13,7 +13,9 @@ from ..functions import text as T
 from ..operators import facts as O
 from ..operators import stats as S
 from ..operators import structure as B
+from ..operators import tables as TB
 from ..sources import html as H
+from . import cases
 
 FLAGSHIP = "ending_class_topk"
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,11 +33,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return _queries | cases.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | cases.oracle_sql()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,7 +151,22 @@ def number_forms(spark, sf_dir):
     return S.form_totals(table(spark, sf_dir, "documents"), forms)
 
 
-@query()
+# every character but a digit is doubled, so that one half ends a match and the other may begin the next: RE2 looks
+# neither back nor ahead
+DOUBLED = r"regexp_replace(coalesce(text, ''), '([^0-9])', '\1\1', 'g')"
+SPACES2 = rf"(?:{WS}{WS})*"
+EDGE_BEFORE, EDGE_AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+DATE_FORMS_SQL = {
+    "YYYY.M.D.": rf"{EDGE_BEFORE}(?:19|20)[0-9]{{2}}{SPACES2}\.\.{SPACES2}[0-9]{{1,2}}{SPACES2}\.\.{SPACES2}[0-9]{{1,2}}{SPACES2}\.\.",
+    "YYYY-MM-DD": rf"{EDGE_BEFORE}(?:19|20)[0-9]{{2}}--[0-9]{{1,2}}--[0-9]{{1,2}}{EDGE_AFTER}",
+    "YY.M.D.": rf"(?:^|[^0-9])[0-9]{{2}}{SPACES2}\.\.{SPACES2}[0-9]{{1,2}}{SPACES2}\.\.{SPACES2}[0-9]{{1,2}}{SPACES2}\.\.(?:$|[^0-9])",
+    "YYYY년 M월 D일": rf"(?:19|20)[0-9]{{2}}{SPACES2}년년{SPACES2}[0-9]{{1,2}}{SPACES2}월월{SPACES2}[0-9]{{1,2}}{SPACES2}일일",
+    "M/D": r"(?:^|[^0-9/])[0-9]{1,2}//[0-9]{1,2}(?:$|[^0-9/])",
+    "%": rf"[0-9]{SPACES2}%%(?:$|[^p])",
+}
+
+
+@query(forms_sql(DATE_FORMS_SQL).replace("coalesce(text, '')", DOUBLED))
 def date_forms(spark, sf_dir):
     return S.form_totals(table(spark, sf_dir, "documents"), T.DATE_FORMS | {"%": T.NUMBER_FORMS["%"]})
 
@@ -189,12 +206,33 @@ def charset_share(spark, sf_dir):
     return S.charset(table(spark, sf_dir, "documents"), "lang")
 
 
-@query()
+MARKED = rf"""
+SELECT *, CASE WHEN mark <> '' AND NOT blank AND (symbol <> '' OR sep <> 'none') AND NOT (first <> '' AND first = right(mark, 1)) THEN mark END AS found FROM (
+  SELECT *, CASE WHEN first = chr(9) THEN 'tab' WHEN first IN (' ', '　') THEN 'space' ELSE 'none' END AS sep FROM (
+    SELECT *, substr(regexp_replace(line, '^[ 　\t]*', ''), length(mark) + 1, 1) AS first FROM (
+      SELECT *, CASE WHEN symbol <> '' THEN symbol ELSE regexp_extract(line, '^[ 　\t]*({T.WORDY_MARKS})', 1) END AS mark FROM (
+        SELECT *, regexp_extract(line, '^[ 　\t]*({T.SYMBOL_MARKS})', 1) AS symbol, {BLANK} AS blank FROM ({LINES})))))"""
+MARKER_SQL = f"""
+WITH m AS (SELECT *, coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY ord), false) AS spaced FROM ({MARKED}))
+SELECT found AS mark, CAST(count(*) AS BIGINT) AS lines, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs, array_to_string(list_sort(list(DISTINCT sep)), ',') AS seps,
+  round_even(avg(length(line)), 2) AS mean_len, round_even(count(*) FILTER (WHERE spaced) / count(*), 3) AS spaced_share FROM m WHERE found IS NOT NULL GROUP BY found"""
+
+
+@query(MARKER_SQL)
 def marker_profile(spark, sf_dir):
     return S.marker_profile(lines_of(spark, sf_dir))
 
 
-@query()
+STRIPPED = f"regexp_replace(regexp_replace(line, '^{WS}+', ''), '{WS}+$', '')"
+CAPTION = " OR ".join(f"(starts_with(t, '{a}') AND ends_with(t, '{b}') AND regexp_replace(substr(t, 2, length(t) - 2), '{WS}', '', 'g') <> '')" for a, b in T.BRACKET_PAIRS)
+SKELETON_SQL = rf"""
+WITH v AS (SELECT doc_id, ord, CASE WHEN regexp_matches(t, '^[0-9]{{4}}{WS}*\.{WS}*[0-9]{{1,2}}{WS}*\.{WS}*[0-9]{{1,2}}{WS}*\.?$') THEN 'date' WHEN {CAPTION} THEN 'caption' WHEN found IS NOT NULL THEN found
+  ELSE 'text' || least(length(line) // 20, 5) END AS shape FROM (SELECT *, {STRIPPED} AS t FROM ({MARKED})) WHERE NOT blank),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY ord DESC) AS z FROM v)
+SELECT doc_id, string_agg(shape, '·' ORDER BY ord) AS skeleton FROM p WHERE a <= 6 OR z <= 3 GROUP BY doc_id"""
+
+
+@query(SKELETON_SQL)
 def line_skeleton(spark, sf_dir):
     return S.skeleton(lines_of(spark, sf_dir))
 
@@ -261,7 +299,14 @@ def marker_counters(spark, sf_dir):
     return B.number_items(B.fold_levels(star_blocks(spark, sf_dir))).select("doc_id", "ord", "depth", "number")
 
 
-@query()
+DIGITS = lambda one, five, ten: f"['', '{one}', '{one}{one}', '{one}{one}{one}', '{one}{five}', '{five}', '{five}{one}', '{five}{one}{one}', '{five}{one}{one}{one}', '{one}{ten}']"
+ROMAN_SQL = f"repeat('M', number // 1000) || {DIGITS('C', 'D', 'M')}[number // 100 % 10 + 1] || {DIGITS('X', 'L', 'C')}[number // 10 % 10 + 1] || {DIGITS('I', 'V', 'X')}[number % 10 + 1]"
+TEXTS_SQL = f"""
+SELECT c.doc_id, c.ord, CASE WHEN depth = 0 THEN {ROMAN_SQL} || '.' ELSE repeat(substr('{B.HANGUL_LETTERS}', (number - 1) % {len(B.HANGUL_LETTERS)} + 1, 1), (number - 1) // {len(B.HANGUL_LETTERS)} + 1) || '.' END || ' ' || s.text AS line
+FROM ({COUNTER_SQL}) c JOIN ({STAR}) s ON c.doc_id = s.doc_id AND c.ord = s.ord"""
+
+
+@query(TEXTS_SQL)
 def marker_texts(spark, sf_dir):
     numbered = B.number_items(B.fold_levels(star_blocks(spark, sf_dir)))
     mark = F.when(F.col("depth") == 0, B.format_marker("{ROMAN}.", F.col("number"))).when(F.col("depth") == 1, B.format_marker("{hangul}.", F.col("number"))).otherwise(B.format_marker("{circled}", F.col("number")))
@@ -277,16 +322,35 @@ def turn_pairs(spark, sf_dir):
     return turns.select("conv_id", "turn", F.lag("text").over(w).alias("source"), F.col("text").alias("line")).where("source is not null")
 
 
-@query()
+def order_statements(spark, sf_dir):
+    """Each order as a Korean sentence (quantity, discount, amount, date) and a report line on it, in the report's
+    notation, in which every second to seventh order has one of its facts changed."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    changed = lambda n: (k % n == 0).cast("int")
+    source = F.format_string("수량 %d개, 할인 %d%%, 금액 %d만 원, 기한 %d월 %d일입니다", k % 50 + 100, k % 10 + 1, k % 90 + 10, F.month(day), F.day(day))
+    line = F.format_string("수량 %d개, 할인 %d%%, 금액 %d만원, 기한 %d.%d", k % 50 + 100 + changed(2), k % 10 + 1 + changed(7), k % 90 + 10 + changed(3), F.month(day), F.when(k % 5 == 0, F.day(day) % 28 + 1).otherwise(F.day(day)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", source.alias("source"), line.alias("line"))
+
+
+STATED = """SELECT o_orderkey, o_custkey, k % 50 + 100 AS q, k % 10 + 1 AS d, k % 90 + 10 AS m, month(t) AS mo, day(t) AS da,
+  k % 50 + 100 + CAST(k % 2 = 0 AS INT) AS q2, k % 10 + 1 + CAST(k % 7 = 0 AS INT) AS d2, k % 90 + 10 + CAST(k % 3 = 0 AS INT) AS m2, CASE WHEN k % 5 = 0 THEN day(t) % 28 + 1 ELSE day(t) END AS da2
+  FROM (SELECT o_orderkey, o_custkey, o_orderkey AS k, CAST(o_orderdate AS DATE) AS t FROM orders)"""
+MISSING_SQL = f"""SELECT o_orderkey, o_custkey, array_to_string(list_sort(list_distinct(list_filter(
+  list_concat([q], CASE WHEN d <> d2 THEN [d] ELSE [] END, CASE WHEN m <> m2 THEN [m] ELSE [] END, CASE WHEN da <> da2 THEN [mo, da] ELSE [] END),
+  lambda x: NOT list_contains([q2, d2, m2, mo, da2], x)))), ',') AS missing FROM ({STATED})"""
+
+
+@query(f"""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN d <> d2 THEN d2 || '%' END, CASE WHEN m <> m2 THEN m2 || '만원' END,
+  CASE WHEN da <> da2 THEN mo || '.' || da2 END, CASE WHEN q <> q2 THEN q2 || '' END], lambda x: x IS NOT NULL), ',') AS invented FROM ({STATED})""")
 def invented_numbers(spark, sf_dir):
-    """Numbers of each turn that the turn before it has not."""
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.array_join(K.invented_numbers(F.col("line"), F.col("source")), ",").alias("invented"))
+    """Percents, amounts, dates and numbers of each line that its source has not."""
+    return order_statements(spark, sf_dir).select("o_orderkey", F.array_join(K.invented_numbers(F.col("line"), F.col("source")), ",").alias("invented"))
 
 
-@query()
+@query(f"SELECT o_orderkey, missing FROM ({MISSING_SQL})")
 def missing_numbers(spark, sf_dir):
-    """Numbers of each turn that the next one has not."""
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.array_join(K.missing_numbers(F.col("source"), F.col("line")), ",").alias("missing"))
+    """Numbers of each source that its line does not carry over."""
+    return order_statements(spark, sf_dir).select("o_orderkey", F.array_join(K.missing_numbers(F.col("source"), F.col("line")), ",").alias("missing"))
 
 
 @query(f"SELECT lang, doc_id, array_to_string(list_sort(list_distinct({NUMS.format(c='text')})), ',') AS numbers FROM documents")
@@ -313,12 +377,13 @@ def uncited_sentences(spark, sf_dir):
     return O.uncited_sentences(turns, lines, ["conv_id"])
 
 
-@query()
+@query(f"SELECT o_custkey, o_orderkey AS sent_no, missing FROM ({MISSING_SQL}) WHERE missing <> ''")
 def uncovered_by_source(spark, sf_dir):
-    """Turns cited by the next turn, with the numbers that it does not carry over."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("sent_no"), "text")
-    lines = turns.where("sent_no > 1").select("conv_id", F.col("sent_no").alias("line_no"), "text", F.array(F.col("sent_no") - 1).alias("src"))
-    return O.uncovered_by_source(turns, lines, ["conv_id"]).withColumn("missing", F.array_join("missing", ","))
+    """The orders of a customer as sentences, each cited by its line: numbers that no citing line carries over."""
+    stated = order_statements(spark, sf_dir)
+    sentences = stated.select("o_custkey", F.col("o_orderkey").alias("sent_no"), F.col("source").alias("text"))
+    lines = stated.select("o_custkey", F.col("o_orderkey").alias("line_no"), F.col("line").alias("text"), F.array("o_orderkey").alias("src"))
+    return O.uncovered_by_source(sentences, lines, ["o_custkey"]).withColumn("missing", F.array_join("missing", ","))
 
 
 @query("SELECT n_nationkey, n_name || ' : n_regionkey ' || n_regionkey || CASE WHEN trim(r_name) <> '' THEN ', r_name ' || trim(r_name) ELSE '' END AS sentence FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -332,18 +397,68 @@ def text_widths(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", M.text_width(F.col("p_name"), 12 * M.EMU_PER_PT).alias("width"))
 
 
-@query()
+# the wrapping of a text without wide letters as a fold over its characters; 76200 is half an em of 12 pt
+WRAP_SQL = """
+SELECT p_partkey, CAST(list_reduce(string_split(p_name, ''), lambda s, c: CASE
+    WHEN c = ' ' AND s.used + s.word + 76200 > 1000000 THEN {'n': s.n + 1, 'used': 0.0::DOUBLE, 'word': 0.0::DOUBLE}
+    WHEN c = ' ' THEN {'n': s.n, 'used': s.used + s.word + 76200, 'word': 0.0::DOUBLE}
+    WHEN s.used + s.word + 76200 > 1000000 AND s.word + 76200 > 1000000 THEN {'n': CASE WHEN s.used > 0 THEN s.n + 1 ELSE s.n END + CAST(floor((s.word + 76200) / 1000000) AS INT), 'used': 0.0::DOUBLE, 'word': (s.word + 76200) % 1000000}
+    WHEN s.used + s.word + 76200 > 1000000 THEN {'n': CASE WHEN s.used > 0 THEN s.n + 1 ELSE s.n END, 'used': 0.0::DOUBLE, 'word': s.word + 76200}
+    ELSE {'n': s.n, 'used': s.used, 'word': s.word + 76200} END, {'n': 1, 'used': 0.0::DOUBLE, 'word': 0.0::DOUBLE}).n AS INTEGER) AS lines,
+  CAST(list_max(list_transform(string_split(p_name, ' '), lambda w: length(w))) * 76200 AS DOUBLE) AS longest FROM part"""
+
+
+@query(WRAP_SQL)
 def wrap_counts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", M.wrap_count(F.col("p_name"), 12 * M.EMU_PER_PT, 1_000_000.0).alias("lines"), M.longest_word_width(F.col("p_name"), 12 * M.EMU_PER_PT).alias("longest"))
 
 
-@query("""
-WITH c AS (SELECT n_regionkey AS t, unnest([n_name, CAST(n_nationkey AS VARCHAR)]) AS x, unnest([0, 1]) AS k FROM nation)
-SELECT CAST(t AS BIGINT) AS table_id, CAST(k AS BIGINT) AS "column", CAST(max(length(x) * 0.5 * 152400) AS DOUBLE) AS demand FROM c GROUP BY 1, 2""")
+def nation_cells(spark, sf_dir):
+    """A table for each region: a title over both columns, then a row for each nation (name, key), of which the first
+    name takes two rows, so that the next row has its key cell alone."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    title = region.select(F.col("r_regionkey").cast("long").alias("table_id"), F.lit(0).alias("row_idx"), F.lit(0).alias("cell_idx"), F.concat(F.col("r_name"), F.lit(" "), F.repeat(F.col("r_name"), F.col("r_regionkey").cast("int"))).alias("text"), F.lit(2).alias("colspan"), F.lit(1).alias("rowspan"))
+    n = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    rows = nation.withColumn("n", n).select(F.col("n_regionkey").cast("long").alias("table_id"), F.col("n").alias("row_idx"), F.posexplode(F.array("n_name", F.col("n_nationkey").cast("string"))).alias("cell_idx", "text"))
+    kept = rows.where("not (row_idx = 2 and cell_idx = 0)")
+    return title.unionByName(kept.withColumns({"colspan": F.lit(1), "rowspan": F.when((F.col("row_idx") == 1) & (F.col("cell_idx") == 0), 2).otherwise(1)}))
+
+
+DEMAND_SQL = """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation),
+one AS (SELECT n_regionkey AS t, max(CASE WHEN n <> 2 THEN length(n_name) ELSE 0 END) * 76200.0 AS a, max(length(n_nationkey || '')) * 76200.0 AS b,
+  max(CASE WHEN n <> 2 THEN list_max(list_transform(string_split(n_name, ' '), lambda w: length(w))) ELSE 0 END) * 76200.0 AS la FROM n GROUP BY 1),
+two AS (SELECT *, (length(r_name) * (1 + r_regionkey) + 1) * 76200.0 AS w, list_max(list_transform(string_split(r_name || ' ' || repeat(r_name, r_regionkey), ' '), lambda w: length(w))) * 76200.0 AS l FROM one JOIN region ON t = r_regionkey),
+d AS (SELECT t, la + greatest(0, (l - la - b) / 2) AS l0, b + greatest(0, (l - la - b) / 2) AS l1, a + greatest(0, (w - a - b) / 2) AS w0, b + greatest(0, (w - a - b) / 2) AS w1 FROM two)
+SELECT CAST(t AS BIGINT) AS table_id, CAST(k AS BIGINT) AS "column", CAST(CASE k WHEN 0 THEN l0 ELSE l1 END AS DOUBLE) AS least, CAST(CASE k WHEN 0 THEN greatest(w0, l0) ELSE greatest(w1, l1) END AS DOUBLE) AS wished
+FROM d, (VALUES (0), (1)) AS k(k)"""
+
+
+def nation_demands(spark, sf_dir):
+    size = 12 * M.EMU_PER_PT
+    return TB.column_demands(B.grid_columns(nation_cells(spark, sf_dir)), M.longest_word_width(F.col("text"), size), M.text_width(F.col("text"), size))
+
+
+@query(DEMAND_SQL)
 def column_demands(spark, sf_dir):
-    cells = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("table_id"), F.col("n_nationkey").alias("row_idx"), F.posexplode(F.array("n_name", F.col("n_nationkey").cast("string"))).alias("cell_idx", "text"))
-    placed = B.grid_columns(cells.withColumns({"colspan": F.lit(1), "rowspan": F.lit(1)}))
-    return B.column_demands(placed, M.text_width(F.col("text"), 12 * M.EMU_PER_PT))
+    """The least and wished width of each column, with cells over two columns and over two rows."""
+    return nation_demands(spark, sf_dir)
+
+
+# two columns: filled up to one level, cut down to one level, or scaled
+WIDTH_SQL = f"""
+WITH d AS (SELECT table_id, max(CASE WHEN "column" = 0 THEN least END) AS l0, max(CASE WHEN "column" = 1 THEN least END) AS l1, max(CASE WHEN "column" = 0 THEN wished END) AS w0, max(CASE WHEN "column" = 1 THEN wished END) AS w1 FROM ({DEMAND_SQL}) GROUP BY 1),
+f AS (SELECT *, CASE WHEN w0 + w1 <= 2000000 THEN CASE WHEN greatest(w0, w1) <= 1000000 THEN 1000000 WHEN w0 >= w1 THEN w0 ELSE 2000000 - w1 END
+  WHEN l0 + l1 <= 2000000 THEN CASE WHEN w0 <= 1000000 THEN w0 WHEN w1 <= 1000000 THEN 2000000 - w1 WHEN l0 > 1000000 THEN l0 WHEN l1 > 1000000 THEN 2000000 - l1 ELSE 1000000 END
+  ELSE l0 * 2000000 / (l0 + l1) END AS x FROM d)
+SELECT table_id, CAST(k AS BIGINT) AS "column", CAST(round(CASE k WHEN 0 THEN x ELSE 2000000 - x END, 0) AS BIGINT) AS width, l0 + l1 > 2000000 AS overflow FROM f, (VALUES (0), (1)) AS k(k)"""
+
+
+@query(WIDTH_SQL)
+def table_column_widths(spark, sf_dir):
+    """Column widths of the same tables in 2,000,000 EMU."""
+    widths = TB.column_widths(nation_demands(spark, sf_dir), 2_000_000)
+    return widths.select("table_id", "column", F.round("width", 0).cast("long").alias("width"), "overflow")
 
 
 @query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS BIGINT) AS links, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1))), ' '), '') AS targets FROM pages""")

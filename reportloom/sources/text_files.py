@@ -9,10 +9,12 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import let
+from ..operators.structure import running_totals
 
 BLOCK_SCHEMA = "ord long, kind string, level long, depth long, ordered boolean, number long, lang string, callout_kind string, row_idx long, cell_idx long, colspan long, rowspan long, text string"
 BLOCK_NAMES = [f.split(" ")[0] for f in BLOCK_SCHEMA.split(", ")]
@@ -39,18 +41,67 @@ def read_word_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(path)
     real = files.where(~F.element_at(F.split("path", "/"), -1).startswith("~$"))
     zipped = F.substring("content", 1, 2) == F.lit(b"PK")
-    # one row for each file name is ranked, not the files themselves
-    numbered = real.select("path").withColumn("__n", F.row_number().over(Window.orderBy("path")))
-    return real.join(numbered, "path").select("path", F.format_string("doc%03d", "__n").alias("doc"), F.when(zipped, F.col("content")).alias("content"), F.when(~zipped, "not a Word file (protected or damaged)").alias("reason"))
+    # the file names alone are numbered, range by range
+    numbered = running_totals(real.select("path"), ["path"], F.lit(1), "__before")
+    return real.join(numbered, "path").select("path", F.format_string("doc%03d", F.col("__before") + 1).alias("doc"), F.when(zipped, F.col("content")).alias("content"), F.when(~zipped, "not a Word file (protected or damaged)").alias("reason"))
+
+
+TABLE_ROW, FENCE = r"^\s*\|.*\|\s*$", r"^\s*(?:```|~~~)"
+
+
+def literal_line(line: Column) -> Column:
+    """A line whose leading mark Markdown would take as a list or quote, with that mark escaped."""
+    return F.regexp_replace(F.regexp_replace(T.strip(line), r"^([-*+>#])(\s+)", r"\\$1$2"), r"^(\d{1,9})([.)])(\s+)", r"$1\\$2$3")
+
+
+def tab_table(rows: Column) -> Column:
+    """Tab-separated lines as a Markdown table: the first is the header, later ones are filled up to its width."""
+    cells = lambda line: F.transform(F.split(line, "\t", -1), lambda c: F.replace(T.strip(c), F.lit("|"), F.lit("\\|")))
+
+    def table(parts: Column) -> Column:
+        width = F.size(F.get(parts, 0))
+        row = lambda c: F.concat(F.lit("| "), F.array_join(F.concat(c, F.array_repeat(F.lit(""), F.greatest(width - F.size(c), F.lit(0)))), " | "), F.lit(" |"))
+        return F.array_join(F.concat(F.array(row(F.get(parts, 0)), F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))), F.transform(F.slice(parts, F.lit(2), F.size(parts)), row)), "\n")
+
+    return let(F.transform(rows, cells), table)
 
 
 def plain_to_markdown(text: Column) -> Column:
-    """Plain text as Markdown: leading marks that Markdown would take as lists or quotes are escaped and each line
-    becomes a paragraph of its own; tab-separated lines become table rows."""
-    literal = lambda line: F.regexp_replace(F.regexp_replace(line, r"^([-*+>#])(\s+)", r"\\$1$2"), r"^(\d{1,9})([.)])(\s+)", r"$1\\$2$3")
-    row = lambda line: F.concat(F.lit("| "), F.array_join(F.transform(F.split(line, "\t", -1), lambda c: F.replace(T.strip(c), F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
-    rows = F.transform(T.lines(text), lambda line: F.when(F.contains(line, F.lit("\t")), row(line)).when(T.is_blank(line), F.lit("")).otherwise(F.concat(literal(line), F.lit("\n"))))
-    return F.array_join(rows, "\n")
+    """Plain text as Markdown, a fold over its lines.
+
+    Each line is a paragraph of its own, its leading mark escaped. Two lines or more with tabs, none with more than
+    the first, are a table; rows between bars stay together; fenced lines stay as they are.
+    """
+    names = ("units", "block", "width", "fence")
+    state = lambda *v: F.struct(*[c.alias(n) for c, n in zip(v, names, strict=True)])
+    none, zero = F.array().cast("array<string>"), F.lit(0)
+    put = lambda units, unit: F.concat(units, F.array(unit))
+    join_last = lambda units, line: F.concat(F.slice(units, F.lit(1), F.size(units) - 1), F.array(F.concat(F.element_at(units, -1), F.lit("\n"), line)))
+
+    def closed(a: Column) -> Column:
+        n = F.size(a["block"])
+        return F.when(n == 0, a["units"]).when(n == 1, put(a["units"], literal_line(F.get(a["block"], 0)))).otherwise(put(a["units"], tab_table(a["block"])))
+
+    def step(a: Column, line: Column) -> Column:
+        def placed(x: Column) -> Column:
+            units, tabs = x["units"], x["tabs"]
+            fence, blank = line.rlike(FENCE), T.is_blank(line)
+            goes_on = ~a["fence"] & (F.size(a["block"]) > 0) & ~blank & tabs.between(1, a["width"])
+            after_row = (F.size(units) > 0) & F.element_at(F.concat(F.array(F.lit("")), units), -1).rlike(r"\|\s*$")
+            return (
+                F.when(a["fence"], state(join_last(units, line), none, zero, ~fence))
+                .when(goes_on, state(a["units"], put(a["block"], line), a["width"], F.lit(False)))
+                .when(fence, state(put(units, line), none, zero, F.lit(True)))
+                .when(blank, state(units, none, zero, F.lit(False)))
+                .when(tabs > 0, state(units, F.array(line), tabs, F.lit(False)))
+                .when(line.rlike(TABLE_ROW), state(F.when(after_row, join_last(units, line)).otherwise(put(units, line)), none, zero, F.lit(False)))
+                .otherwise(state(put(units, literal_line(line)), none, zero, F.lit(False)))
+            )
+
+        return let(F.struct(F.when(a["fence"], a["units"]).otherwise(closed(a)).alias("units"), F.regexp_count(line, F.lit("\t")).alias("tabs")), placed)
+
+    lines = F.split(F.regexp_replace(T.filled(text), "\r\n?", "\n"), "\n", -1)
+    return F.array_join(F.aggregate(lines, state(none, none, zero, F.lit(False)), step, closed), "\n\n")
 
 
 def plain_title(text: Column) -> Column:

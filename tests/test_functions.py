@@ -56,7 +56,7 @@ def test_numbers_and_money(spark):
 def test_line_problems(spark):
     rows = spark.createDataFrame([("비용 5명 증가", "비용 4명 감소"), ("그대로", "그대로")], "a string, b string")
     found = [r[0] for r in rows.select(O.line_problems(F.col("a"), F.col("b"))).collect()]
-    assert found[0] == ["원문에 없는 숫자 5", "원문과 방향이 반대인 표현"] and found[1] == []
+    assert [tuple(p) for p in found[0]] == [("number", "5"), ("opposite", "")] and found[1] == []
 
 
 def test_sentences_and_classes(spark):

@@ -44,9 +44,9 @@ def test_markdown_round_trip(spark):
 
 
 def test_plain_text(spark):
-    df = spark.createDataFrame([("보고서\n2026. 1. 2\n- 항목\n이름\t값",), ("- 항목\n2026. 1. 2",)], "t string")
+    df = spark.createDataFrame([("보고서\n2026. 1. 2\n- 항목\n이름\t값\n가\t1",), ("- 항목\n2026. 1. 2",)], "t string")
     got = df.select(text_files.plain_title(F.col("t")), text_files.plain_to_markdown(F.col("t"))).collect()
-    assert got[0][0] == "보고서" and got[1][0] is None and "\\- 항목" in got[0][1] and "| 이름 | 값 |" in got[0][1]
+    assert got[0][0] == "보고서" and got[1][0] is None and "\\- 항목" in got[0][1] and "| 이름 | 값 |\n|---|---|\n| 가 | 1 |" in got[0][1]
 
 
 def word_file(body: str) -> bytes:
