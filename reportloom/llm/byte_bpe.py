@@ -29,7 +29,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG_WORD = 48
 BLOCK_WORDS = 4096
 #: Words that a Python worker remembers at most, and their greatest length.
-MEMO_WORDS, MEMO_CHARS = 600_000, 48
+MEMO_WORDS, MEMO_CHARS = 300_000, 48
 NONE = (1 << 31) - 1
 #: White space for str.split() that the patterns below do not take as such.
 CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -215,12 +215,10 @@ class ByteBPE:
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
             new = set().union(*listed)
-        if self.end:
-            memo.update(self.chunk_ids(list(new)))
-        else:
-            meant = {c: self.whole(c) for c in new}
-            ids = self.chunk_ids(list(meant.values()))
-            memo.update((c, ids[w]) for c, w in meant.items())
+        meant = {c: c if self.end else self.whole(c) for c in new}
+        ids = self.chunk_ids(list(meant.values()))
+        memo.update((c, ids[w]) for c, w in meant.items())
+        del ids
         out = [b"".join(map(memo.__getitem__, chunks)) for chunks in listed]
         for c in [c for c in new if len(c) > MEMO_CHARS]:
             del memo[c]

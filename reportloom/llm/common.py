@@ -13,8 +13,9 @@ from pyspark.sql.types import StructType
 
 #: Used only where all tasks run on this machine and the session names no shared folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/reportloom-checkpoints"
-#: Bytes of text that one call of a batch function gets at most (a single longer text goes alone).
-BATCH_BYTES = 4 << 20
+#: Bytes of text that one call of a batch function gets at most (a single longer text goes alone), and rows of an
+#: Arrow batch that are Python objects at a time.
+BATCH_BYTES, SLICE_ROWS = 4 << 20, 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -78,6 +79,12 @@ def safe_parts(text: str) -> list[str]:
     return SAFE_SPACE.split(text)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, a slice of it at a time."""
+    for i in range(0, batch.num_rows, SLICE_ROWS):
+        yield from zip(*(c.to_pylist() for c in batch.slice(i, SLICE_ROWS).columns), strict=True)
+
+
 def map_texts(df: DataFrame, text_col: str, schema: str, make: Callable[[], Callable[[list[str]], list[list]]], keep: list[str]) -> DataFrame:
     """Add columns computed from a text column, batch by batch, to the columns ``keep``.
 
@@ -93,7 +100,7 @@ def map_texts(df: DataFrame, text_col: str, schema: str, make: Callable[[], Call
         from pyspark.sql.pandas.types import to_arrow_schema
 
         call, arrow = make(), to_arrow_schema(out)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             texts = [t or "" for t in batch.column(len(fields)).to_pylist()]
             parts: list[list] = [[] for _ in extra]
             for a, b in by_bytes(texts):

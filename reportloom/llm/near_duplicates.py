@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_texts, only, without, written
+from .common import dropped, map_texts, only, rows_of, without, written
 from .components import connected_components
 
 #: BANDS * ROWS hashes; two sets of similarity 0.8 share no band with probability (1 - 0.8**6)**32 = 6e-5.
@@ -34,7 +34,7 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
 #: Sets that a cell holds on either side, and shingles of the side it keeps in memory, about: larger buckets are cut.
 CELL_SETS, CELL_SHINGLES = 1024, 1 << 20
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _random = np.random.default_rng(20_240_229)
 MULTIPLY = _random.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _random.integers(0, 1 << 63, HASHES, np.uint64)
@@ -185,7 +185,7 @@ def with_likely_partner(rows: DataFrame, signatures: DataFrame, threshold: float
         current, cell, hit, names = None, Cell(needed), set(), None
         for batch in batches:
             out, names = [], batch.schema
-            for *row, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *row, signature in rows_of(batch):
                 if tuple(row[:3]) != current:
                     out += [cell.rows[k] for k in hit]
                     current, cell, hit = tuple(row[:3]), Cell(needed), set()
@@ -228,7 +228,7 @@ def links_of(rows: DataFrame, texts: DataFrame, words: int, threshold: float) ->
 
         for batch in batches:
             out = []
-            for *row, signature, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *row, signature, text in rows_of(batch):
                 if tuple(row[:3]) != current:
                     current, cell, joined = tuple(row[:3]), Cell(needed), {}
                 node, part = row[5:7]

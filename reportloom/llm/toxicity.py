@@ -26,7 +26,7 @@ from .common import SAMPLE_ROWS, held_out, labelled_sample, map_texts
 LEAST_DOCS, EPOCHS, RIDGE = 4, 100, 2e-4
 #: Weights nearer to 0 than this are left out of the model, which bounds what is sent to executors.
 LEAST_WEIGHT = 0.05
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
 
