@@ -29,7 +29,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG_WORD = 48
 BLOCK_WORDS = 4096
 #: Words that a Python worker remembers at most, and their greatest length.
-MEMO_WORDS, MEMO_CHARS = 300_000, 48
+MEMO_WORDS, MEMO_CHARS = 200_000, 48
 NONE = (1 << 31) - 1
 #: White space for str.split() that the patterns below do not take as such.
 CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 LOCAL_CHECKPOINTS = "/tmp/reportloom-checkpoints"
 #: Bytes of text that one call of a batch function gets at most (a single longer text goes alone), and rows of an
 #: Arrow batch that are Python objects at a time.
-BATCH_BYTES, SLICE_ROWS = 4 << 20, 1024
+BATCH_BYTES, SLICE_ROWS = 2 << 20, 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
