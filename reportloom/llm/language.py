@@ -264,7 +264,11 @@ def identify_documents(docs: DataFrame, model: TextModel, id_col: str = "doc_id"
 
 
 def keep_identified(docs: DataFrame, model: TextModel, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns, but those whose language is undetermined or less likely than ``least``."""
+    """The rows of ``docs``, all columns, but those whose language is undetermined or less likely than ``least``.
+
+    Null, empty and letterless texts are undetermined. Rows of one id are one document: all stay if one of them does.
+    Rows with a null id stay. An empty table gives an empty result.
+    """
     found = identify_documents(docs, model, id_col, text_col, declared_col, host_col)
     ids = found.groupBy(id_col).agg(F.max("confidence").alias("__c")).where(F.col("__c") < least).select(F.col(id_col).alias("id"))
     return without(docs, ids, id_col)

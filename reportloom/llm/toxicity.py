@@ -186,5 +186,9 @@ def locate(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_c
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores under ``threshold``."""
+    """The rows of ``docs``, all columns, whose text scores under ``threshold``.
+
+    Each row is judged by its own text, whatever its id; null and empty texts score 0 and stay. An empty table gives
+    an empty result.
+    """
     return docs.where(score_column(model)(F.col(text_col).cast("string")) < threshold)
