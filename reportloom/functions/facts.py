@@ -124,24 +124,40 @@ def further_days(span: Column) -> Column:
 def known_numbers(text: Column) -> Column:
     """Plain numbers that a text states: written ones, months and days of its dates, and number words."""
     t = filled(text)
-    words = F.array(*[F.when(t.rlike(rf"(?U)(?:^|[\s(]){word}"), F.lit(str(n))) for word, n in NUMBER_WORDS.items()])
+    # of words that begin alike all stand for one number, so the first that fits tells it
+    values = F.create_map(*[F.lit(x) for word, n in NUMBER_WORDS.items() for x in (word, str(n))])
+    words = F.transform(found_in(t, rf"(?U)(?:^|[\s(])({'|'.join(NUMBER_WORDS)})", 1), lambda w: F.try_element_at(values, w))
     parts = F.flatten(F.transform(day_pairs(text), lambda d: F.split(d, r"\.")))
-    return F.array_union(numbers(text), F.array_union(parts, F.filter(words, lambda w: w.isNotNull())))
+    return F.array_union(numbers(text), F.array_union(parts, words))
 
 
 def found_in(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def day_of(date: Column, pattern: str) -> Column:
+    """'month.day' of one date of the form ``pattern``."""
+    return F.concat_ws(".", *(F.regexp_extract(date, pattern, i).cast("int").cast("string") for i in (1, 2)))
+
+
+def stated(text: Column) -> Column:
+    """STRUCT<percents, money, days, known> of a text."""
+    return F.struct(percents(text).alias("percents"), money(text).alias("money"), day_pairs(text).alias("days"), known_numbers(text).alias("known"))
+
+
 def missing_numbers(source: Column, output: Column) -> Column:
     """Numbers of ``source`` that ``output`` has not, rising; amounts, percents and dates carried over by value are
     there."""
-    text = clean_numbers(source)
-    kept_money = F.filter(found_in(text, MONEY), lambda m: F.array_contains(money(output), money_value(m)))
-    kept_percent = F.filter(found_in(text, rf"(?U){NUMBER}\s*%"), lambda p: F.array_contains(percents(output), F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))
-    kept_dates = F.filter(found_in(text, KOREAN_DATE), lambda d: F.array_contains(day_pairs(output), F.element_at(day_pairs(d), 1)))
-    masked = F.aggregate(F.concat(kept_money, kept_percent, kept_dates), text, lambda t, span: F.replace(t, span, F.lit(" ")))
-    return F.array_sort(F.array_except(numbers(masked), known_numbers(output)), lambda a, b: F.when(a.cast("double") < b.cast("double"), -1).when(a.cast("double") > b.cast("double"), 1).otherwise(0))
+
+    def missing(x: Column) -> Column:
+        text, have = x["text"], x["have"]
+        kept_money = F.filter(found_in(text, MONEY), lambda m: F.array_contains(have["money"], money_value(m)))
+        kept_percent = F.filter(found_in(text, rf"(?U){NUMBER}\s*%"), lambda p: F.array_contains(have["percents"], F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))
+        kept_dates = F.filter(found_in(text, KOREAN_DATE), lambda d: F.array_contains(have["days"], day_of(d, KOREAN_DATE)))
+        masked = F.aggregate(F.concat(kept_money, kept_percent, kept_dates), text, lambda t, span: F.replace(t, span, F.lit(" ")))
+        return F.array_sort(F.array_except(numbers(masked), have["known"]), lambda a, b: F.when(a.cast("double") < b.cast("double"), -1).when(a.cast("double") > b.cast("double"), 1).otherwise(0))
+
+    return let(F.struct(clean_numbers(source).alias("text"), stated(output).alias("have")), missing)
 
 
 def problems(kind: str, shown: Column) -> Column:
@@ -157,21 +173,21 @@ def invented_facts(line: Column, source: Column) -> Column:
     """
 
     def compared(x: Column) -> Column:
-        text, source_text = x["line"], x["source"]
-        percent, known = rf"(?U){NUMBER}\s*%", known_numbers(source_text)
-        rest = [F.regexp_replace(text, r"(?U)\(?\d+\s*안\)?", " ")]
+        have, percent = x["have"], rf"(?U){NUMBER}\s*%"
+        rest = [F.regexp_replace(x["line"], r"(?U)\(?\d+\s*안\)?", " ")]
         for pattern in (percent, MONEY, DOTTED_DATE, KOREAN_DATE):
             rest.append(F.regexp_replace(rest[-1], pattern, " "))
-        new_date = lambda d: ~F.array_contains(day_pairs(source_text), F.element_at(day_pairs(d), 1))
+        new_date = lambda d, form: ~F.array_contains(have["days"], day_of(d, form))
+        new_number = lambda n: ~F.array_contains(have["known"], plain_number(n))
         return F.concat(
-            problems("percent", F.filter(found_in(rest[0], percent), lambda p: ~F.array_contains(percents(source_text), F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))),
-            problems("money", F.transform(F.filter(found_in(rest[1], MONEY), lambda m: ~F.array_contains(money(source_text), money_value(m))), strip)),
-            problems("date", F.filter(found_in(rest[2], DOTTED_DATE), lambda d: new_date(d) & ~F.array_contains(known, plain_number(d)))),
-            problems("date", F.filter(found_in(rest[3], KOREAN_DATE), new_date)),
-            problems("number", F.array_distinct(F.filter(found_in(rest[4], NUMBER), lambda n: ~F.array_contains(known, plain_number(n))))),
+            problems("percent", F.filter(found_in(rest[0], percent), lambda p: ~F.array_contains(have["percents"], F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))),
+            problems("money", F.transform(F.filter(found_in(rest[1], MONEY), lambda m: ~F.array_contains(have["money"], money_value(m))), strip)),
+            problems("date", F.filter(found_in(rest[2], DOTTED_DATE), lambda d: new_date(d, DOTTED_DATE) & new_number(d))),
+            problems("date", F.filter(found_in(rest[3], KOREAN_DATE), lambda d: new_date(d, KOREAN_DATE))),
+            problems("number", F.array_distinct(F.filter(found_in(rest[4], NUMBER), new_number))),
         )
 
-    return let(F.struct(clean_numbers(line).alias("line"), filled(source).alias("source")), compared)
+    return let(F.struct(clean_numbers(line).alias("line"), stated(source).alias("have")), compared)
 
 
 def invented_numbers(line: Column, source: Column) -> Column:
