@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .byte_bpe import load
 from .common import map_texts, written
 
-#: Parts in which ranks are counted first; more parts allow more parallel tasks.
-RANK_PARTS = 64
+#: Ranks are counted first within parts: so many at least, and one for each so many pieces.
+RANK_PARTS, PART_PIECES = 64, 1_000_000
 
 
 class RoomTree:
@@ -119,39 +119,39 @@ def place(pieces: DataFrame, window: int = 2048) -> DataFrame:
     """``pieces`` (with ``length``) and their sequence_id and offset.
 
     Ranks among pieces of one length come from counts by (part, length), where parts hash all columns, and a
-    running number within each part: no length, however common, meets in one task.
+    running number within each part: no length, however common, meets in one task. Parts grow in number with the
+    pieces; the driver sees a count for each length only.
     """
     own = pieces.columns
-    dealt = pieces.withColumn("__part", F.pmod(F.xxhash64(*own), F.lit(RANK_PARTS)))
-    counts = dealt.groupBy("__part", "length").agg(F.count("*").alias("__n"))
-    table = counts.toPandas()  # RANK_PARTS x window rows at most
-    if table.empty:
+    parts = max(RANK_PARTS, -(-pieces.count() // PART_PIECES))
+    dealt = pieces.withColumn("__part", F.pmod(F.xxhash64(*own), F.lit(parts)))
+    counts = written(dealt.groupBy("__part", "length").agg(F.count("*").alias("__n")))
+    runs = plan_best_fit({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}, window)
+    if not runs:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    runs = plan_best_fit({int(k): int(v) for k, v in table.groupby("length")["__n"].sum().items()}, window)
-    table = table.sort_values(["length", "__part"])
-    table["__before"] = table.groupby("length")["__n"].cumsum() - table["__n"]
-    before = {(int(p), int(k)): int(b) for p, k, b in zip(table["__part"], table["length"], table["__before"], strict=True)}
     by_length: dict[int, list] = {}
     for run in runs:
         by_length.setdefault(run[0], []).append(run[1:])
     starts = {k: [r[0] for r in v] for k, v in by_length.items()}
 
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__part", "length").orderBy(*own)) - 1)
+    earlier = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__part", "length", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__part", "length").orderBy(*own)) - 1)
+    ranked = within.join(before, ["__part", "length"]).withColumn("__at", F.col("__before") + F.col("__rank"))
     schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             sequence, offset = [], []
-            for part, length, rank in zip(*(rows.column(c).to_pylist() for c in ("__part", "length", "__rank")), strict=True):
-                at = before[part, length] + rank
+            for length, at in zip(*(rows.column(c).to_pylist() for c in ("length", "__at")), strict=True):
                 first_rank, _, each, first, start = by_length[length][bisect_right(starts[length], at) - 1]
                 sequence.append(first + (at - first_rank) // each)
                 offset.append(start + (at - first_rank) % each * length)
             out = rows.select(own).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
             yield from out.to_batches()
 
-    return ranked.mapInArrow(settle, schema)
+    return ranked.select(*own, "__at").mapInArrow(settle, schema)
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
