@@ -2,9 +2,12 @@
 
 1. Rotations are learned on a bounded sample (``SAMPLE`` rows in a fixed pseudo-random order) by iterative
    quantisation: principal axes, then alternating signs and orthogonal Procrustes, so that signs are balanced and
-   near the vectors. Each of ``ROTATIONS`` rotations gives a binary code of as many bits as there are dimensions.
-2. Codes are cut into substrings of ``BITS`` bits; each substring is a hash table. Vectors of one label that
-   agree on a whole substring share a bucket of that table.
+   near the vectors. Each rotation gives a binary code of as many bits as there are dimensions. Vectors of more than
+   ``MOST_DIMS`` components are folded to so many for their codes (and only for these).
+2. Codes are cut into substrings; each substring is a hash table. Vectors of one label that agree on a whole
+   substring share a bucket of that table. Substrings get longer as the largest label grows, so that a balanced
+   bucket holds about ``BUCKET`` vectors; and there are as many rotations as a pair at the threshold needs to miss
+   all tables with probability ``MISS`` at most, if its bits differ independently (see ``table_sizes``).
 3. Within a bucket every pair is reranked with the original vectors in double precision, in blocks: a bucket of
    more than ``BLOCK`` vectors is cut into chunks and each pair of chunks is one task's work. A pair is counted in
    the first table that holds it, so blocks return counts for each vector and a spanning set of links, never pairs.
@@ -13,6 +16,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +28,49 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import sample_order, written
 from .components import connected_components
 
-SAMPLE, ITERATIONS, ROTATIONS, BITS, BLOCK = 10_000, 40, 6, 12, 1024
+SAMPLE, ITERATIONS, BLOCK = 10_000, 40, 1024
+#: Bits of a substring at least, and at most (keys are 32-bit integers); vectors of a bucket; dimensions of a code.
+BITS, MOST_BITS, BUCKET, MISS, MOST_DIMS = 12, 30, 64, 1e-7, 256
 
 
-def learn_rotations(x: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """The mean and ROTATIONS matrices (dims x dims, side by side) learned by iterative quantisation on rows of x."""
+def table_sizes(most: int, dims: int, least: float, bits: int = BITS) -> tuple[int, int]:
+    """Bits of a substring, and rotations, for ``most`` vectors in the largest label."""
+    bits = min(dims, MOST_BITS, max(bits, math.ceil(math.log2(max(1, most / BUCKET)))))
+    agree = (1 - math.acos(max(-1.0, min(least, 1 - 1e-9))) / math.pi) ** bits
+    return bits, math.ceil(math.log(MISS) / math.log1p(-agree) / max(1, dims // bits))
+
+
+def folded(units: list[np.ndarray], dims: int) -> np.ndarray:
+    """Rows of ``dims`` numbers: a vector padded with zeros, or, if it is longer, with its components added up with
+    signs by a fixed pseudo-random place of each, which keeps distances in expectation."""
+    out, places = np.zeros((len(units), dims)), {}
+    for row, u in zip(out, units, strict=True):
+        if len(u) <= dims:
+            row[: len(u)] = u
+        else:
+            if len(u) not in places:
+                rng = np.random.default_rng(5)
+                places[len(u)] = rng.integers(0, dims, len(u)), rng.choice([-1.0, 1.0], len(u))
+            place, sign = places[len(u)]
+            row += np.bincount(place, u * sign, dims)
+    return out
+
+
+def units_of(vectors: pa.Array, scale: pa.Array, norm: pa.Array) -> list[np.ndarray]:
+    """The vectors, none of them null or holding nulls, at length 1."""
+    ends = np.cumsum([len(v) for v in vectors])[:-1]
+    parts = np.split(vectors.flatten().to_numpy(zero_copy_only=False), ends)
+    return [v / s / n for v, s, n in zip(parts, scale.to_pylist(), norm.to_pylist(), strict=True)]
+
+
+def learn_rotations(x: np.ndarray, rotations: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """The mean and ``rotations`` matrices (dims x dims, side by side) learned by iterative quantisation on rows of x."""
     rng, dims = np.random.default_rng(seed), x.shape[1]
     mean = x.mean(axis=0) if len(x) else np.zeros(dims)
     centred = x - mean
     _, axes = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(dims))
     v, out = centred @ axes, []
-    for _ in range(ROTATIONS):
+    for _ in range(rotations):
         r = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
         for _ in range(ITERATIONS if len(x) else 0):
             u, _, wt = np.linalg.svd(v.T @ np.where(v @ r >= 0, 1.0, -1.0))
@@ -86,8 +122,8 @@ def near_embeddings(table: DataFrame, least: float = 0.98, id_col: str = "vec_id
 
     Two rows are linked if their labels are equal and not null and the cosine of their vectors, in double precision,
     is ``least`` or more. Vectors that are null, empty, zero or hold null or non-finite components, and rows with a
-    null id or label, link with nothing. Equal vectors are one class with its count. Vectors of different lengths
-    are not compared. Of rows with one id each is a row of the result; links between them count. Extra columns are
+    null id or label, link with nothing. Vectors are scaled before they are squared, so no finite vector is too long
+    or too short. Equal vectors are one class with its count. Vectors of different lengths are not compared. Of rows with one id each is a row of the result; links between them count. Extra columns are
     ignored; an empty table gives an empty result.
     """
     spark = table.sparkSession
@@ -95,31 +131,42 @@ def near_embeddings(table: DataFrame, least: float = 0.98, id_col: str = "vec_id
     sound = F.forall("__v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("__v", lambda x: x != 0)
     rows = table.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), vector.alias("__v"))
     good = rows.where("id is not null and label is not null and __v is not null").where(sound)
-    largest = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x * x))
-    classes = written(good.groupBy("label", "__v").agg(F.min("id").alias("id"), F.count("*").alias("weight")).withColumn("norm", largest).where("norm > 0").withColumn("cls", F.xxhash64("label", "__v")).withColumn("label", F.concat_ws("\u0001", "label", F.size("__v").cast("string"))))
-    dims = classes.agg(F.max(F.size("__v"))).first()[0] or 1
-    sample = classes.select("id", sample_order("id").alias("o"), "__v", "norm").orderBy("o", "id").limit(SAMPLE).select("__v", "norm").collect()
-    x = np.zeros((len(sample), dims))
-    for i, r in enumerate(sample):
-        x[i, : len(r["__v"])] = np.array(r["__v"]) / r["norm"]
-    mean, rotations = learn_rotations(x)
+    # the power of two below the largest component: dividing by it is exact and keeps squares finite
+    scale = F.pow(F.lit(2.0), F.least(F.floor(F.log2(F.array_max(F.transform("__v", F.abs)))), F.lit(1023)).cast("double"))
+    norm = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda a, x: a + (x / F.col("scale")) * (x / F.col("scale"))))
+    one_each = good.groupBy("label", "__v").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    sized = one_each.withColumn("scale", scale).withColumn("norm", norm).withColumn("cls", F.xxhash64("label", "__v"))
+    classes = written(sized.withColumn("label", F.concat_ws("\u0001", "label", F.size("__v").cast("string"))))
+    by_label = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("__v")).alias("d"))
+    most, longest = by_label.agg(F.max("n"), F.max("d")).first()
+    dims = min(longest or 1, MOST_DIMS)
+    bits, turns = table_sizes(most or 1, dims, least, bits)
+
+    def in_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = folded(units_of(*batch.columns), dims)
+            yield pa.RecordBatch.from_arrays([pa.array([u.tobytes() for u in x], pa.binary())], names=["unit"])
+
+    sample = classes.select("id", sample_order("id").alias("o"), "__v", "scale", "norm").orderBy("o", "id", "__v").limit(SAMPLE)
+    learned = sample.select("__v", "scale", "norm").mapInArrow(in_short, "unit binary").collect()
+    mean, rotations = learn_rotations(np.frombuffer(b"".join(r["unit"] for r in learned)).reshape(-1, dims), turns)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = np.zeros((batch.num_rows, dims))
-            for i, (v, norm) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                units[i, : len(v)] = np.array(v) / norm
-            keys = table_keys(units, mean, rotations, bits)
-            yield pa.RecordBatch.from_arrays([batch.column(5), batch.column(2), batch.column(0), batch.column(3), pa.array([u.tobytes() for u in units], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int32()))], names=["cls", "id", "label", "weight", "unit", "codes", "keys"])
+            label, vectors, id_, weight, scale_, norm_, cls = batch.columns
+            units = units_of(vectors, scale_, norm_)
+            keys = table_keys(folded(units, dims), mean, rotations, bits)
+            yield pa.RecordBatch.from_arrays([cls, id_, label, weight, pa.array([u.tobytes() for u in units], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int32()))], names=["cls", "id", "label", "weight", "unit", "codes", "keys"])
 
     id_type = classes.schema["id"].dataType.simpleString()
-    codes = written(classes.select("label", "__v", "id", "weight", "norm", "cls").mapInArrow(coded, f"cls long, id {id_type}, label string, weight long, unit binary, codes binary, keys array<int>"))
-    slots = codes.select("cls", "label", F.posexplode("keys").alias("table", "key"))
+    codes = written(classes.select("label", "__v", "id", "weight", "scale", "norm", "cls").mapInArrow(coded, f"cls long, id {id_type}, label string, weight long, unit binary, codes binary, keys array<int>"))
+    slots = codes.select("cls", "id", "label", F.posexplode("keys").alias("table", "key"))
     sizes = slots.groupBy("label", "table", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
     shared = slots.join(sizes, ["label", "table", "key"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, "chunk").alias("c"), F.greatest(j, "chunk").alias("d"))))
-    dealt = shared.select("cls", "label", "table", "key", "chunk", met.alias("m")).select("cls", "label", "table", "key", "chunk", "m.c", "m.d")
-    keyed = dealt.join(codes.select("cls", "label", "id", "weight", "unit", "codes"), ["cls", "label"])
+    dealt = shared.select("cls", "id", "label", "table", "key", "chunk", met.alias("m")).select("cls", "id", "label", "table", "key", "chunk", "m.c", "m.d")
+    # a class is known by its hash and its least id together
+    keyed = dealt.join(codes.select("cls", "label", "id", "weight", "unit", "codes"), ["cls", "id", "label"])
     group = ["label", "table", "key", "c", "d"]
     ordered = keyed.select(*group, "id", "weight", "unit", "codes", "chunk", "cls").repartition(*group).sortWithinPartitions(*group, "id")
 
@@ -154,8 +201,8 @@ def near_embeddings(table: DataFrame, least: float = 0.98, id_col: str = "vec_id
 
     links = written(ordered.mapInArrow(compare, f"cls long, links long, id {id_type}, root {id_type}"))
     components = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")).distinct())
-    counted = links.groupBy("cls").agg(F.sum("links").alias("links"))
-    of_class = classes.select("cls", F.col("id").alias("rep"), "label", "__v", "weight").join(counted, "cls", "left").drop("cls").join(components, F.col("rep") == F.col("node"), "left").drop("node")
+    counted = links.groupBy("cls", F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    of_class = classes.select("cls", F.col("id").alias("rep"), "label", "__v", "weight").join(counted, ["cls", "rep"], "left").drop("cls").join(components, F.col("rep") == F.col("node"), "left").drop("node")
     answer = rows.withColumn("label", F.concat_ws("\u0001", "label", F.size("__v").cast("string"))).join(of_class, ["label", "__v"], "left")
     whole = F.coalesce("component", "rep", "id")
     alone = F.col("rep").isNull() | F.col("id").isNull()

@@ -1,5 +1,7 @@
 """Odd rows for every operator, buckets without a common lead, and the pipeline's stages against plain Python."""
 
+import collections
+import itertools
 import random
 import zlib
 from array import array
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reportloom.llm import byte_bpe, fingerprint, language, main_text, near_duplicates, packing, quality, token_counts, toxicity
+from reportloom.llm import byte_bpe, embedding_dedup, fingerprint, language, main_text, near_duplicates, packing, quality, token_counts, toxicity
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -219,3 +221,43 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert pieces == {i: len(x) for i, x in ids.items()}
     for spans in windows.values():
         assert sum(n for _, n in spans) <= 2048 and [o for o, _ in sorted(spans)] == [sum(n for _, n in sorted(spans)[:k]) for k in range(len(spans))]
+
+
+def test_vectors_of_any_size(spark, monkeypatch):
+    """Squares that over- or underflow, one vector of very many components, and codes of folded vectors."""
+    rng = np.random.default_rng(3)
+    base, far = rng.standard_normal(40), rng.standard_normal(40)
+    freak = rng.standard_normal(100_000)
+    rows = [(1, base * 1e200), (2, base * 1e-200), (3, base), (4, far), (5, far * 1e-320), (6, freak), (7, freak * 3), (8, np.full(40, 1.7e308)), (9, np.full(40, 5e-324))]
+    data = [(i, v.tolist(), 1) for i, v in rows]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embedding_dedup, "MOST_DIMS", 16)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_embeddings(df).collect()}
+    tiny = far * 1e-320  # its components have few bits left
+    close = tiny / np.abs(tiny).max() @ far / np.linalg.norm(tiny / np.abs(tiny).max()) / np.linalg.norm(far) >= 0.98
+    assert {i: got[i] for i in (1, 2, 3, 6, 7, 8, 9)} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 6: (1, 6), 7: (1, 6), 8: (1, 8), 9: (1, 8)}
+    assert got[5] == ((1, 4) if close else (0, 5))
+
+
+def test_tables_grow_with_the_largest_label():
+    """Longer substrings for more vectors, and as many tables as the stated probability of a miss needs."""
+    for most, dims in itertools.product((1, 10**5, 10**7, 10**10), (8, 64, 256)):
+        bits, turns = embedding_dedup.table_sizes(most, dims, 0.98)
+        agree = (1 - np.arccos(0.98) / np.pi) ** bits
+        assert bits == min(dims, 30, max(12, int(np.ceil(np.log2(max(1, most / 64))))))
+        assert (1 - agree) ** (turns * (dims // bits)) <= 1e-7 < (1 - agree) ** ((turns - 1) * (dims // bits))
+
+
+def test_places_of_pieces_in_many_parts(spark, monkeypatch):
+    """Each piece has a place of its own and windows are those of the plan, however many parts ranks are counted in."""
+    rng = np.random.default_rng(4)
+    lengths = [int(x) for x in np.minimum(rng.integers(1, 90, 500), 64)]
+    pieces = spark.createDataFrame([(i // 3, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+    for part_pieces in (1_000_000, 3):
+        monkeypatch.setattr(packing, "PART_PIECES", part_pieces)
+        rows = packing.place(pieces, 64).collect()
+        assert collections.Counter((r["doc_id"], r["length"]) for r in rows) == collections.Counter((i // 3, n) for i, n in enumerate(lengths))
+        runs = packing.plan_best_fit(dict(collections.Counter(lengths)), 64)
+        want = sorted((first + j // each, offset + j % each * length, length) for length, _, n, each, first, offset in runs for j in range(n))
+        assert sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows) == want
+    assert packing.place(pieces.limit(0), 64).count() == 0
