@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning: sentences get scores, documents get labels.
 
-A sentence's probability is a logistic function of the summed weights of its words; a document's is the noisy-or
-of its sentences, 1 - prod(1 - p). The weights are trained on document labels alone, by gradient ascent on the
-likelihood of the noisy-or, over a bounded sample of labelled rows (``common.SAMPLE_ROWS`` of each class). The
-same sentence scores then locate the offending sentences.
+A sentence's logistic probability p follows from the summed weights z of its words. What it counts, q, is how far p
+exceeds that of a sentence without any weighted word (z = 0): 1 - q = (1 - p(z)) / (1 - p(0)) if z > 0, else q = 0.
+So a document does not become toxic by its length alone. A document's probability is the noisy-or of its sentences
+with a leak, 1 - (1 - LEAK) * prod(1 - q). The weights are trained on document labels alone, by gradient ascent on
+the likelihood of that same noisy-or, over a bounded sample of labelled rows (``common.SAMPLE_ROWS`` of each class).
+The same q then locate the offending sentences.
 
 A word counts by itself and by its first 4 to 8 letters, so inflected forms that no labelled row holds still
 count. Features of fewer than ``LEAST_DOCS`` sampled documents are left out.
@@ -24,6 +26,8 @@ from .common import SAMPLE_ROWS, held_out, labelled_sample, map_texts
 
 #: RIDGE is the weight of the absolute weights (soft thresholding), which leaves most features out.
 LEAST_DOCS, EPOCHS, RIDGE = 4, 100, 2e-4
+#: Probability of label 1 without any telling sentence. It lets the fit start; chosen on rows that are not held out.
+LEAK = 0.001
 #: Weights nearer to 0 than this are left out of the model, which bounds what is sent to executors.
 LEAST_WEIGHT = 0.05
 MEMO_WORDS = 150_000
@@ -86,10 +90,13 @@ def fit_noisy_or(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Toxicit
     def ascend(w: np.ndarray, b: float, rows: np.ndarray, cols: np.ndarray, ridge: float, epochs: int) -> tuple[np.ndarray, float]:
         speed, speed_b = np.full(len(w), 1e-8), 1e-8
         for _ in range(epochs if n else 0):
-            p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[cols], n), -30, 30)))
-            none = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts)))
-            g = (np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0) * weight)[owner] * p
-            gw, gb = np.bincount(cols, g[rows], len(w)) / total, g.sum() / total
+            z = np.bincount(rows, w[cols], n)
+            p, base = 1 / (1 + np.exp(-np.clip(b + z, -30, 30))), 1 / (1 + math.exp(-b))
+            counts = z >= 0  # with 0, so that the first step has a direction
+            spared = np.where(counts, np.log1p(-np.minimum(p, 1 - 1e-12)) - math.log1p(-base), 0.0)
+            none = (1 - LEAK) * np.exp(np.bincount(owner, spared, len(texts)))
+            g = (np.where(y == 1, none / (1 - none), -1.0) * weight)[owner] * counts
+            gw, gb = np.bincount(cols, (g * p)[rows], len(w)) / total, (g * (p - base)).sum() / total
             speed, speed_b = speed + gw * gw, speed_b + gb * gb
             pace = 0.5 / np.sqrt(speed)
             w = w + pace * gw
@@ -108,7 +115,7 @@ def fit_noisy_or(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Toxicit
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_ROWS) -> ToxicityModel:
-    """The model from labelled rows outside the held-out third; without any label 1, every sentence scores near 0."""
+    """The model from labelled rows outside the held-out third; without any label 1, no sentence scores much."""
     clean, toxic, share = labelled_sample(docs, labels, label_col, id_col, text_col, per_class)
     y = np.array([0] * len(clean) + [1] * len(toxic))
     weight = np.array([(1 - share) / max(1, len(clean))] * len(clean) + [share / max(1, len(toxic))] * len(toxic)) * max(1, len(y))
@@ -116,11 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def make_scorer(model: ToxicityModel):
-    """A function from a text to its sentences' probabilities, and one to the document's.
-
-    A sentence counts by how far its probability exceeds that of a sentence without any weighted word. So a
-    document does not become toxic by its length alone.
-    """
+    """A function from a text to what its sentences count (q), and one to the document's probability."""
     weights, memo, constant = model.weights, {}, model.constant
     base = 1 / (1 + math.exp(-constant))
 
@@ -139,13 +142,13 @@ def make_scorer(model: ToxicityModel):
         return [excess(s) for s in sentences(text.lower())]
 
     def whole(text: str) -> float:
-        return -math.expm1(sum(math.log1p(-min(p, 1 - 1e-12)) for p in map(excess, sentences(text.lower())) if p))
+        return -math.expm1(sum((math.log1p(-min(q, 1 - 1e-12)) for q in map(excess, sentences(text.lower())) if q), math.log1p(-LEAK)))
 
     return each, whole
 
 
 def score_column(model: ToxicityModel):
-    """A pandas function from a text column to document scores; null counts as empty, and empty scores 0."""
+    """A pandas function from a text column to document scores; null counts as empty, and empty scores LEAK."""
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         _, whole = make_scorer(model)
@@ -157,7 +160,7 @@ def score_column(model: ToxicityModel):
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """Columns id_col, held_out, score (0 to 1), predicted (1 if score >= threshold), a row for each row of ``docs``.
 
-    Null and empty texts have no sentence and score 0. Only the text is an input of the score. Extra columns are
+    Null and empty texts have no sentence and score ``LEAK``. Only the text is an input of the score. Extra columns are
     ignored; rows with null or repeated ids keep a row each; an empty table gives an empty result.
     """
 
@@ -188,7 +191,7 @@ def locate(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_c
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores under ``threshold``.
 
-    Each row is judged by its own text, whatever its id; null and empty texts score 0 and stay. An empty table gives
+    Each row is judged by its own text, whatever its id; null and empty texts score ``LEAK`` and stay. An empty table gives
     an empty result.
     """
     return docs.where(score_column(model)(F.col(text_col).cast("string")) < threshold)

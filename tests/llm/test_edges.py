@@ -261,3 +261,26 @@ def test_places_of_pieces_in_many_parts(spark, monkeypatch):
         want = sorted((first + j // each, offset + j % each * length, length) for length, _, n, each, first, offset in runs for j in range(n))
         assert sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows) == want
     assert packing.place(pieces.limit(0), 64).count() == 0
+
+
+def test_toxicity_scores_are_the_noisy_or_that_is_fitted(spark):
+    """Scores against a plain noisy-or with a leak, and their likelihood on the rows that the model was fitted to."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    spared = lambda z: 1 / (1 + np.exp(min(max(model.constant + z, -30), 30)))
+
+    def plain(text):
+        none = 1 - toxicity.LEAK
+        for sentence in toxicity.sentences(text.lower()):
+            z = sum(model.weights.get(f, 0.0) for w in set(toxicity.WORD.findall(sentence)) for f in toxicity.features(w))
+            none *= spared(z) / spared(0.0) if z > 0 else 1.0
+        return 1 - none
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert scores.keys() == texts.keys() and max(abs(scores[i] - plain(t)) for i, t in texts.items()) < 1e-9
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["toxic"] in (0, 1)}
+    share = sum(known.values()) / len(known)
+    likely = lambda p, y: np.log(np.clip(p if y else 1 - p, 1e-9, 1))
+    assert sum(likely(scores[i], y) for i, y in known.items()) > 0.7 * sum(likely(share, y) for y in known.values())
+    assert [r["score"] for r in toxicity.score_toxicity(table(spark, [(1, ""), (2, None)]), model).collect()] == pytest.approx([toxicity.LEAK] * 2)
