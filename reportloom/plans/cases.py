@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import drafts as D
 from ..functions import facts as K
 from ..functions import hangul as G
 from ..functions import headers as H
@@ -118,3 +119,48 @@ cases("plain_text_as_markdown", [
     ("홀로\t선 줄\n끝", "홀로\t선 줄\n\n끝"), ("```\n- a\tb\n```\n뒤", "```\n- a\tb\n```\n\n뒤"), ("| a | b |\n| c | d |", "| a | b |\n| c | d |"),
 ], X.plain_to_markdown)
 cases("marker_formats", [("1", "1. 가. a. I. ①"), ("4", "4. 라. d. IV. ④"), ("15", "15. 가가. o. XV. ⑮"), ("16", "16. 나나. p. XVI. 16"), ("27", "27. 파파. aa. XXVII. 27")], lambda n: F.concat_ws(" ", *[B.format_marker(t, n.cast("int")) for t in ("{n}.", "{hangul}.", "{alpha}.", "{ROMAN}.", "{circled}")]))
+
+
+def cells(table: Column) -> Column:
+    """'a|b;c|d' as rows of cells, '/' as a line end."""
+    return F.transform(F.split(table, ";", -1), lambda r: F.split(F.translate(r, "/", "\n"), r"\|", -1))
+
+
+def table_text(rows: Column) -> Column:
+    return F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), ";")
+
+
+SPAN_SOURCE = "캘리브레이션을 8월 22일부터 이틀간 진행했습니다. 최종 등급은 9월 5일에 확정합니다."
+cases("weekdays_added", [
+    ("최종 등급 확정 : 9.5 인사위원회", "최종 등급은 9월 5일 인사위원회에서 확정합니다.", "최종 등급 확정 : 9.5(토) 인사위원회"), ("만족도 4.3점", "만족도는 4.3점입니다.", "만족도 4.3점"), ("기한 (~9.5일)", "9월 5일까지", "기한 (~9.5일)"),
+    ("기 간 : 8.22 ~ 23 (2일간)", SPAN_SOURCE, "기 간 : 8.22(토) ~ 23(일) (2일간)"), ("기 간 : 8.22(토) ~ 23", SPAN_SOURCE, "기 간 : 8.22(토) ~ 23(일)"), ("2.30 확정", "2월 30일 확정", "2.30 확정"), ("", "", ""), (None, None, ""),
+], lambda line, source: D.weekdays_added(line, source, 2026))
+cases("dates_tidied", [
+    ("8.22.~23. 진행", SPAN_SOURCE, "8.22 ~ 23 진행"), ("최종 확정 9.5. 인사위원회", SPAN_SOURCE, "최종 확정 9.5 인사위원회"), ("만족도 4.3점", SPAN_SOURCE, "만족도 4.3점"), ("기 간 : 8.22.(토) ~ 23.", SPAN_SOURCE, "기 간 : 8.22(토) ~ 23"), ("판 3.1. 공개", SPAN_SOURCE, "판 3.1. 공개"),
+], D.dates_tidied)
+cases("dates_read", [("2026. 9. 12", "2026-09-12"), ("작성 2026년 9월 5일", "2026-09-05"), ("2026-13-01", None), ("2026/2/30", None), ("없음", None), (None, None)], D.date_in)
+cases("changes_mended", [
+    ("납기 : 28주 (기존 26주 → 8월 전력 제한 영향)", "납기 : 기존 26주 → 28주 (8월 전력 제한 영향)"), ("28주 (기존 26주 → 30주)", "28주 (기존 26주 → 30주)"), ("지연 (기존 26주 → 전력 제한)", "지연 (기존 26주 → 전력 제한)"),
+    ("- 비용 : 5억원 (당초 4억원 → 환율 상승)", "- 비용 : 당초 4억원 → 5억원 (환율 상승)"), ("그대로", "그대로"), ("", ""),
+], D.changes_mended)
+cases("number_phrases", [("응답자 312명이 참여", "312", "응답자 312명이"), ("응답자 312명 참여", "312", "응답자 312명"), ("작년 5,200만 원보다", "5200", "작년 5,200만원"), ("담당자는 3명입니다", "3", "3명입"), ("비율 4.5% 상승", "4.5", "비율 4.5%"), ("없음", "7", "7")], D.number_phrase)
+cases("opener_cases", [("【표】", "꺾쇠로 시작"), (" (주)가", "괄호로 시작"), ("2026. 7. 1. 회의", "날짜로 시작"), ("’26.7.1", "날짜로 시작"), ("3건", "숫자로 시작"), ("가", "글자로 시작"), (" ", "기타"), (None, "기타")], D.opener_class)
+cases("table_neighbours", [(" ", None, "빈 줄"), ("<표 1>", None, "표 번호"), ("【현황】", None, "꺾쇠 제목"), ("※ 비고", "※", "※ 주석"), ("* 주", None, "※ 주석"), ("□ 개요", "□", "말머리 □"), ("본문", None, "문단(말머리 없음)")], D.neighbour_kind)
+cases("alternatives", [("방안은 크게 세 가지입니다.", "true"), ("첫째는 가. 둘째는 나.", "true"), ("첫째는 가.", "false"), ("A안은 빠르고 2안은 쌉니다", "true"), ("", "false"), (None, "false")], D.has_alternatives)
+cases("nested_marks", [("□ ① B사", "① B사"), ("- (1) 항목", "(1) 항목"), ("□ - 항목", "□ - 항목"), ("-5% 하락", "-5% 하락"), ("○○ ①", "○○ ①"), ("① 가", "① 가"), ("", "")], D.nested_marks_collapsed)
+cases("annotation_marks", [("＊ 설명", "* 설명"), (" (주석) 설명", "* 설명"), ("* 설명", "* 설명"), ("∗설명", "* 설명"), ("본문", "본문"), (None, None)], D.annotation_marks_unified)
+cases("page_titles", [("(첨부 1) 세부 계획", "세부 계획"), ("[첨부2] 현황", "현황"), ("첨부 3. 예산", "예산"), ("첨부 자료", "첨부 자료"), ("(첨부 1)", "(첨부 1)"), (None, None)], D.page_title_cleaned)
+cases("typed_lines", [("1. 개요", "1. 0 개요"), ("□ 현황", "□ 0 현황"), ("- 항목", "- 1 항목"), ("   - 항목", "- 1 항목"), ("\t\t· 세부", "· 3 세부"), ("-5%", " 0 -5%"), ("본문 ", " 0 본문")], lambda t: F.concat_ws(" ", D.typed_parts(t)["mark"], D.typed_parts(t)["depth"], D.typed_parts(t)["body"]))
+cases("levels_by_order", [("1. □ - □ -", "0 1 2 1 2"), ("□ - □", "1 2 1"), ("□ (1) - ② 3.", "1 2 3 2 0"), ("1. - 2. □ -", "0 1 0 1 2")], lambda t: F.array_join(D.levels_by_order(F.transform(F.split(t, " ", -1), D.mark_kind)).cast("array<string>"), " "))
+cases("titled_sentences", [("추진 현황\n\n가를 했습니다. 나를\n했습니다.\n\n다.", "추진 현황 / 가를 했습니다. | 나를 했습니다. | 다."), ("가를 했습니다.\n\n나.\n다", " / 가를 했습니다. | 나. | 다"), ("", " / ")], lambda t: F.concat(D.titled_sentences(t)["title"], F.lit(" / "), joined(D.titled_sentences(t)["sentences"])))
+cases("requests_cleaned", [("  표로 비교 \n\n \n경과는 짧게  ", "표로 비교\n경과는 짧게"), ("가" * 1200, "가" * 1000), (None, "")], D.request_cleaned)
+cases("pages_to_chars", [("1 2", "660 2200"), ("0 1", "660 1100"), ("3 4", "1980 4400")], lambda t: F.concat_ws(" ", *(D.page_chars(F.get(F.split(t, " "), 0).cast("int"), F.get(F.split(t, " "), 1).cast("int"))[k].cast("string") for k in ("least", "most"))))
+cases("half_mm", [("1.2", "1.0"), ("1.25", "1.0"), ("1.75", "2.0"), ("-0.3", "-0.5"), (None, None)], lambda t: D.half_mm(t.cast("double")))
+cases("tables_unflattened", [("표 '비교' = A사 -> 납기 = 3주; 가격 = 5억원", "A사 : 납기 3주, 가격 5억원"), ("표 '비교' = A사 → 납기 = ", "A사"), ("표 참고", None), (None, None)], D.unflattened)
+cases("tables_oriented", [
+    ("구분|장점|단점;1안|빠름|비쌈;2안|쌈|느림", "구분|1안|2안;장점|빠름|쌈;단점|비쌈|느림"), ("구분|1안|2안;장점|빠름|쌈;단점|비쌈|느림", "구분|1안|2안;장점|빠름|쌈;단점|비쌈|느림"), ("구분|장점|단점;1안|빠름", "구분|장점|단점;1안|빠름"), ("가|나;다|라", "가|나;다|라"),
+], lambda t: table_text(D.table_oriented(cells(t))))
+cases("tables_as_ordinals", [
+    ("구분|(1안) 확대|(2안) 축소|(3안) 유지;내용|- 가/- 나|다|라;비용|- |1억|없음", "① 확대 | - 내용 : 가, 나 | ② 축소 | - 내용 : 다 | - 비용 : 1억 | ③ 유지 | - 내용 : 라 | - 비용 : 없음"), ("구분|1안|2안;내용|가|나", "① 1안 | - 내용 : 가 | ② 2안 | - 내용 : 나"),
+    ("구분|1안|2안;장점|가|나;단점|다|라", None), ("구분|1안|2안;내용|가/나/다/라|마", None), ("구분|가|나;내용|다|라", None),
+], lambda t: joined(F.transform(D.table_as_ordinals(cells(t)), lambda x: F.concat(x["mark"], F.lit(" "), x["text"]))))
