@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import drafts as D
 from ..functions import facts as K
 from ..functions import measure as M
 from ..functions import text as T
@@ -529,3 +530,17 @@ def note_triage(spark, sf_dir):
 def document_totals(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.groupBy("lang").agg(F.sum(F.char_length(T.filled(F.col("text")))).alias("chars"), F.count("*").alias("docs"), F.sum(F.size(T.lines(F.col("text")))).alias("lines"))
+
+
+OPENER_SQL = rf"""
+WITH v AS (SELECT lang, regexp_replace(line, '^{WS}+', '') AS t FROM (SELECT lang, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents))
+SELECT lang, CASE WHEN t = '' THEN '기타' WHEN regexp_matches(t, '^[\[［【〔〈《「『]') THEN '꺾쇠로 시작' WHEN regexp_matches(t, '^[(（]') THEN '괄호로 시작'
+  WHEN regexp_matches(t, '^[’'']?[0-9]{{2,4}}{WS}*[-./년]{WS}*[0-9]{{1,2}}{WS}*[-./월]') THEN '날짜로 시작' WHEN regexp_matches(t, '^[0-9]') THEN '숫자로 시작' ELSE '글자로 시작' END AS opener, count(*) AS lines
+FROM v GROUP BY ALL"""
+
+
+@query(OPENER_SQL)
+def line_openers(spark, sf_dir):
+    """How the lines of all documents open, counted by language."""
+    rows = table(spark, sf_dir, "documents").select("lang", F.explode(T.lines(F.col("text"))).alias("line"))
+    return rows.groupBy("lang", D.opener_class(F.col("line")).alias("opener")).agg(F.count("*").alias("lines"))
