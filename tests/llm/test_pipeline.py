@@ -18,4 +18,4 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 
 def test_queries_are_named():
-    assert [f"op{i}_" for i in range(1, 11)] == [q.split("_")[0] + "_" for q in queries.queries()]
+    assert [f"op{i}_" for i in range(1, 14)] == [q.split("_")[0] + "_" for q in queries.queries()]
