@@ -1,13 +1,17 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-1. Rotations are learned on a bounded sample (``SAMPLE`` rows in a fixed pseudo-random order) by iterative
-   quantisation: principal axes, then alternating signs and orthogonal Procrustes, so that signs are balanced and
-   near the vectors. Each rotation gives a binary code of as many bits as there are dimensions. Vectors of more than
-   ``MOST_DIMS`` components are folded to so many for their codes (and only for these).
+1. Vectors at length 1 are taken relative to the mean of their label (of labels with ``OWN_MEAN`` rows or more in a
+   bounded sample of ``SAMPLE`` rows, else of the sample) and projected on at most ``CODE_DIMS`` principal axes. Rotations
+   are learned there by iterative quantisation: alternating signs and orthogonal Procrustes, so that signs are balanced
+   and near the vectors. Each rotation gives a binary code of as many bits as there are axes.
 2. Codes are cut into substrings; each substring is a hash table. Vectors of one label that agree on a whole
    substring share a bucket of that table. Substrings get longer as the largest label grows, so that a balanced
-   bucket holds about ``BUCKET`` vectors; and there are as many rotations as a pair at the threshold needs to miss
-   all tables with probability ``MISS`` at most, if its bits differ independently (see ``table_sizes``).
+   bucket holds about ``BUCKET`` vectors. A link's ends are at most d apart, d * d = 2 - 2 * least, before and after the
+   projection. Where both are farther than ``near`` from the mean, the angle between them there is 2 * asin(d / 2 / near)
+   at most, and there are as many tables as such a pair needs to miss all of them with probability ``MISS`` at most, if
+   bits differ independently. Vectors within near + d of the mean, where angles say little, meet in one bucket of their
+   own as well, or there alone within ``near`` (see ``plan_tables``): a label that is one narrow cone is compared whole,
+   as most of its pairs are links.
 3. Within a bucket every pair is reranked with the original vectors in double precision, in blocks: a bucket of
    more than ``BLOCK`` vectors is cut into chunks and each pair of chunks is one task's work. A pair is counted in
    the first table that holds it, so blocks return counts for each vector and a spanning set of links, never pairs.
@@ -29,20 +33,41 @@ from .common import sample_order, written
 from .components import connected_components
 
 SAMPLE, ITERATIONS, BLOCK = 10_000, 40, 1024
-#: Bits of a substring at least, and at most (keys are 32-bit integers); vectors of a bucket; dimensions of a code.
-BITS, MOST_BITS, BUCKET, MISS, MOST_DIMS = 12, 30, 64, 1e-7, 256
+#: Bits of a substring at least, and at most (keys are 32-bit integers); vectors of a bucket; probability of a miss.
+BITS, MOST_BITS, BUCKET, MISS = 12, 30, 64, 1e-7
+#: Tables at most, which bounds how near the mean angles are used; share of the vectors beyond that in the middle bucket.
+MOST_TABLES, MIDDLE = 128, 0.01
+#: Dimensions of a code, and those learned on (longer vectors are folded for their codes only); rows of a label with a
+#: mean of its own.
+CODE_DIMS, LEARN_DIMS, OWN_MEAN = 256, 1024, 64
 
 
-def table_sizes(most: int, dims: int, least: float, bits: int = BITS) -> tuple[int, int]:
-    """Bits of a substring, and rotations, for ``most`` vectors in the largest label."""
-    bits = min(dims, MOST_BITS, max(bits, math.ceil(math.log2(max(1, most / BUCKET)))))
-    agree = (1 - math.acos(max(-1.0, min(least, 1 - 1e-9))) / math.pi) ** bits
-    return bits, math.ceil(math.log(MISS) / math.log1p(-agree) / max(1, dims // bits))
+def tables_for(angle: float, bits: int) -> int:
+    """Tables of ``bits`` bits that a pair at ``angle`` needs to miss all of them with probability ``MISS`` at most."""
+    agree = (1 - angle / math.pi) ** bits
+    return math.ceil(math.log(MISS) / math.log1p(-min(agree, 1 - 1e-12))) if agree > 1e-12 else 1 << 40
+
+
+def plan_tables(most: int, dims: int, least: float, radii: np.ndarray) -> tuple[int, int, float, float]:
+    """Bits of a substring, rotations, and two distances from the mean: ``near``, up to which vectors are in the middle
+    bucket alone, and that up to which they are in it too. ``radii``: distances of the sample from their means; ``most``:
+    vectors in the largest label."""
+    bits = min(dims, MOST_BITS, max(BITS, math.ceil(math.log2(max(1, most / BUCKET)))))
+    apart = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+    angle = lambda near: 2 * math.asin(min(1.0, apart / 2 / near))
+    low, high = apart / 2, 2.0
+    for _ in range(60):  # the least distance at which the tables suffice
+        middle = (low + high) / 2
+        low, high = (low, middle) if tables_for(angle(middle), bits) <= MOST_TABLES else (middle, high)
+    beyond = np.sort(radii[radii > high + apart])
+    share = min(MIDDLE, math.sqrt(MOST_TABLES * BUCKET / max(1, most)))
+    near = max(high, beyond[int(share * len(beyond))] - apart if len(beyond) else high)
+    return bits, max(1, math.ceil(tables_for(angle(near), bits) / max(1, dims // bits))), near, near + apart
 
 
 def folded(units: list[np.ndarray], dims: int) -> np.ndarray:
-    """Rows of ``dims`` numbers: a vector padded with zeros, or, if it is longer, with its components added up with
-    signs by a fixed pseudo-random place of each, which keeps distances in expectation."""
+    """Rows of ``dims`` numbers: a vector padded with zeros, or, if it is longer, projected on sums of its components with
+    signs by a fixed pseudo-random place of each (at length 1, so that no distance grows)."""
     out, places = np.zeros((len(units), dims)), {}
     for row, u in zip(out, units, strict=True):
         if len(u) <= dims:
@@ -50,9 +75,10 @@ def folded(units: list[np.ndarray], dims: int) -> np.ndarray:
         else:
             if len(u) not in places:
                 rng = np.random.default_rng(5)
-                places[len(u)] = rng.integers(0, dims, len(u)), rng.choice([-1.0, 1.0], len(u))
-            place, sign = places[len(u)]
-            row += np.bincount(place, u * sign, dims)
+                place = rng.integers(0, dims, len(u))
+                places[len(u)] = place, rng.choice([-1.0, 1.0], len(u)), np.sqrt(np.maximum(np.bincount(place, minlength=dims), 1))
+            place, sign, length = places[len(u)]
+            row += np.bincount(place, u * sign, dims) / length
     return out
 
 
@@ -63,26 +89,41 @@ def units_of(vectors: pa.Array, scale: pa.Array, norm: pa.Array) -> list[np.ndar
     return [v / s / n for v, s, n in zip(parts, scale.to_pylist(), norm.to_pylist(), strict=True)]
 
 
-def learn_rotations(x: np.ndarray, rotations: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """The mean and ``rotations`` matrices (dims x dims, side by side) learned by iterative quantisation on rows of x."""
-    rng, dims = np.random.default_rng(seed), x.shape[1]
-    mean = x.mean(axis=0) if len(x) else np.zeros(dims)
-    centred = x - mean
-    _, axes = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(dims))
-    v, out = centred @ axes, []
+def means_of(x: np.ndarray, labels: list[str]) -> dict[str | None, np.ndarray]:
+    """The mean of each label with ``OWN_MEAN`` rows or more, and, by None, of all rows."""
+    rows: dict[str | None, list[int]] = {}
+    for i, label in enumerate(labels):
+        rows.setdefault(label, []).append(i)
+    found = {label: x[own].mean(axis=0) for label, own in rows.items() if len(own) >= OWN_MEAN}
+    return found | {None: x.mean(axis=0) if len(x) else np.zeros(x.shape[1])}
+
+
+def from_means(x: np.ndarray, labels: list[str], means: dict) -> np.ndarray:
+    return x - np.stack([means.get(label, means[None]) for label in labels]) if len(x) else x
+
+
+def principal_axes(centred: np.ndarray) -> np.ndarray:
+    """At most ``CODE_DIMS`` orthonormal axes as columns, those along which rows differ most."""
+    _, axes = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(centred.shape[1]))
+    return axes[:, ::-1][:, :CODE_DIMS]
+
+
+def learn_rotations(v: np.ndarray, rotations: int, seed: int = 11) -> np.ndarray:
+    """``rotations`` matrices (dims x dims, side by side) learned by iterative quantisation on rows of v."""
+    rng, dims, out = np.random.default_rng(seed), v.shape[1], []
     for _ in range(rotations):
         r = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-        for _ in range(ITERATIONS if len(x) else 0):
+        for _ in range(ITERATIONS if len(v) else 0):
             u, _, wt = np.linalg.svd(v.T @ np.where(v @ r >= 0, 1.0, -1.0))
             r = u @ wt
-        out.append(axes @ r)
-    return mean, np.hstack(out)
+        out.append(r)
+    return np.hstack(out)
 
 
-def table_keys(x: np.ndarray, mean: np.ndarray, rotations: np.ndarray, bits: int) -> np.ndarray:
+def table_keys(v: np.ndarray, rotations: np.ndarray, bits: int) -> np.ndarray:
     """The substrings of each row's codes as integers, a column for each table."""
-    signs = ((x - mean) @ rotations) >= 0
-    dims = x.shape[1]
+    signs = (v @ rotations) >= 0
+    dims = v.shape[1]
     cut = [signs[:, r * dims + i : r * dims + i + bits] for r in range(rotations.shape[1] // dims) for i in range(0, max(1, dims - bits + 1), bits)]
     return np.stack([c @ (1 << np.arange(c.shape[1], dtype=np.int64)) for c in cut], axis=1).astype(np.int32)
 
@@ -90,8 +131,8 @@ def table_keys(x: np.ndarray, mean: np.ndarray, rotations: np.ndarray, bits: int
 def links_of_block(unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, chunk: np.ndarray, table: int, least: float):
     """(row, links counted here, row of the smallest id it reaches within the block) for linked rows.
 
-    Rows come in rising order of ids.
-    Rows of two chunks are compared across them only, rows of one chunk with each other.
+    Rows come in rising order of ids. Rows of two chunks are compared across them only, rows of one chunk with each
+    other. The last column of ``keys`` tells whether a row is in the tables at all; the middle bucket comes after them.
     """
     n = len(unit)
     near = unit @ unit.T >= least
@@ -99,11 +140,12 @@ def links_of_block(unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, chunk
         near &= chunk[:, None] != chunk[None, :]
     np.fill_diagonal(near, False)
     i, j = np.nonzero(near)
-    if table and len(i):
-        fresh = ~(keys[i, :table] == keys[j, :table]).any(axis=1)
-        count_i, count_j = i[fresh], j[fresh]
-    else:
-        count_i, count_j = i, j
+    fresh = np.ones(len(i), bool)
+    for t in range(table):
+        fresh &= keys[i, t] != keys[j, t]
+    if table == keys.shape[1] - 1:
+        fresh |= (keys[i, -1] & keys[j, -1]) == 0
+    count_i, count_j = i[fresh], j[fresh]
     counts = np.bincount(count_i, weight[count_j], n).astype(np.int64)
     root = np.arange(n)
     while len(i):  # least linked row by propagation and jumping
@@ -117,7 +159,7 @@ def links_of_block(unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, chunk
     return linked, counts[linked], root[linked]
 
 
-def near_embeddings(table: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", bits: int = BITS) -> DataFrame:
+def near_embeddings(table: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Columns id_col, n_links (other rows linked directly), component_id (smallest id reachable), kept.
 
     Two rows are linked if their labels are equal and not null and the cosine of their vectors, in double precision,
@@ -139,28 +181,38 @@ def near_embeddings(table: DataFrame, least: float = 0.98, id_col: str = "vec_id
     classes = written(sized.withColumn("label", F.concat_ws("\u0001", "label", F.size("__v").cast("string"))))
     by_label = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("__v")).alias("d"))
     most, longest = by_label.agg(F.max("n"), F.max("d")).first()
-    dims = min(longest or 1, MOST_DIMS)
-    bits, turns = table_sizes(most or 1, dims, least, bits)
+    dims = min(longest or 1, LEARN_DIMS)
 
     def in_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = folded(units_of(*batch.columns), dims)
-            yield pa.RecordBatch.from_arrays([pa.array([u.tobytes() for u in x], pa.binary())], names=["unit"])
+            x = folded(units_of(*batch.columns[:3]), dims)
+            yield pa.RecordBatch.from_arrays([pa.array([u.tobytes() for u in x], pa.binary()), batch.column(3)], names=["unit", "label"])
 
-    sample = classes.select("id", sample_order("id").alias("o"), "__v", "scale", "norm").orderBy("o", "id", "__v").limit(SAMPLE)
-    learned = sample.select("__v", "scale", "norm").mapInArrow(in_short, "unit binary").collect()
-    mean, rotations = learn_rotations(np.frombuffer(b"".join(r["unit"] for r in learned)).reshape(-1, dims), turns)
+    sample = classes.select("id", sample_order("id").alias("o"), "__v", "scale", "norm", "label").orderBy("o", "id", "__v").limit(SAMPLE)
+    learned = sample.select("__v", "scale", "norm", "label").mapInArrow(in_short, "unit binary, label string").collect()
+    x, of_rows = np.frombuffer(b"".join(r["unit"] for r in learned)).reshape(-1, dims), [r["label"] for r in learned]
+    means = means_of(x, of_rows)
+    centred = from_means(x, of_rows, means)
+    axes = principal_axes(centred)
+    projected = centred @ axes
+    bits, turns, near, upto = plan_tables(most or 1, axes.shape[1], least, np.sqrt((projected**2).sum(axis=1)))
+    rotations = learn_rotations(projected, turns)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, vectors, id_, weight, scale_, norm_, cls = batch.columns
             units = units_of(vectors, scale_, norm_)
-            keys = table_keys(folded(units, dims), mean, rotations, bits)
-            yield pa.RecordBatch.from_arrays([cls, id_, label, weight, pa.array([u.tobytes() for u in units], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int32()))], names=["cls", "id", "label", "weight", "unit", "codes", "keys"])
+            v = from_means(folded(units, dims), label.to_pylist(), means) @ axes
+            radius = np.sqrt((v**2).sum(axis=1))
+            keys = np.column_stack([table_keys(v, rotations, bits), (radius > near).astype(np.int32)])
+            tables = keys.shape[1] - 1
+            slots = [[*(enumerate(k[:tables]) if k[tables] else ()), *([(tables, 0)] if r <= upto else ())] for k, r in zip(keys.tolist(), radius, strict=True)]
+            placed = [pa.array([[slot[k] for slot in own] for own in slots], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([cls, id_, label, weight, pa.array([u.tobytes() for u in units], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), *placed], names=["cls", "id", "label", "weight", "unit", "codes", "table", "key"])
 
     id_type = classes.schema["id"].dataType.simpleString()
-    codes = written(classes.select("label", "__v", "id", "weight", "scale", "norm", "cls").mapInArrow(coded, f"cls long, id {id_type}, label string, weight long, unit binary, codes binary, keys array<int>"))
-    slots = codes.select("cls", "id", "label", F.posexplode("keys").alias("table", "key"))
+    codes = written(classes.select("label", "__v", "id", "weight", "scale", "norm", "cls").mapInArrow(coded, f"cls long, id {id_type}, label string, weight long, unit binary, codes binary, table array<int>, key array<int>"))
+    slots = codes.select("cls", "id", "label", F.explode(F.arrays_zip("table", "key")).alias("s")).select("cls", "id", "label", "s.table", "s.key")
     sizes = slots.groupBy("label", "table", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
     shared = slots.join(sizes, ["label", "table", "key"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, "chunk").alias("c"), F.greatest(j, "chunk").alias("d"))))

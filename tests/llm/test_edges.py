@@ -231,7 +231,7 @@ def test_vectors_of_any_size(spark, monkeypatch):
     rows = [(1, base * 1e200), (2, base * 1e-200), (3, base), (4, far), (5, far * 1e-320), (6, freak), (7, freak * 3), (8, np.full(40, 1.7e308)), (9, np.full(40, 5e-324))]
     data = [(i, v.tolist(), 1) for i, v in rows]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
-    monkeypatch.setattr(embedding_dedup, "MOST_DIMS", 16)
+    monkeypatch.setattr(embedding_dedup, "LEARN_DIMS", 16)
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_embeddings(df).collect()}
     tiny = far * 1e-320  # its components have few bits left
     close = tiny / np.abs(tiny).max() @ far / np.linalg.norm(tiny / np.abs(tiny).max()) / np.linalg.norm(far) >= 0.98
@@ -240,12 +240,38 @@ def test_vectors_of_any_size(spark, monkeypatch):
 
 
 def test_tables_grow_with_the_largest_label():
-    """Longer substrings for more vectors, and as many tables as the stated probability of a miss needs."""
-    for most, dims in itertools.product((1, 10**5, 10**7, 10**10), (8, 64, 256)):
-        bits, turns = embedding_dedup.table_sizes(most, dims, 0.98)
-        agree = (1 - np.arccos(0.98) / np.pi) ** bits
+    """Longer substrings for more vectors, and as many tables as the stated probability of a miss needs at the least
+    distance from the mean at which they are used."""
+    for most, dims, far in itertools.product((1, 10**5, 10**7, 10**10), (8, 64, 256), (0.1, 0.5, 1.0)):
+        bits, turns, near, upto = embedding_dedup.plan_tables(most, dims, 0.98, far * np.linspace(0.9, 1.0, 500))
+        agree = (1 - 2 * np.arcsin(0.1 / near) / np.pi) ** bits
         assert bits == min(dims, 30, max(12, int(np.ceil(np.log2(max(1, most / 64))))))
-        assert (1 - agree) ** (turns * (dims // bits)) <= 1e-7 < (1 - agree) ** ((turns - 1) * (dims // bits))
+        assert (1 - agree) ** (turns * (dims // bits)) <= 1.001e-7 and upto >= near + 0.2
+        assert turns == 1 or (turns - 1) * (dims // bits) < embedding_dedup.MOST_TABLES
+
+
+def cone(rng, n, dims, mean, spread=1.0):
+    """Unit noise around a common direction ``mean`` times as long, each vector followed by a near one."""
+    x = mean * np.eye(dims)[0] + spread * rng.standard_normal((n, dims)) / np.sqrt(dims)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal((n, dims))
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    return np.concatenate([x, 0.982 * x + np.sqrt(1 - 0.982**2) * side])
+
+
+@pytest.mark.parametrize("means, dims", [((0, 0.5, 1, 2, 4, 6, 7, 8), 64), ((7,), 64), ((0, 1.5), 768)])
+def test_every_link_on_cones(spark, means, dims):
+    """Recall against brute force, with a label for each cone from wide to narrow, some around other directions."""
+    rng = np.random.default_rng(dims)
+    sizes = [150 if k % 2 else 90 for k in range(len(means))]
+    x = np.concatenate([cone(rng, n, dims, mean) * (1 if k % 3 else -1) for k, (n, mean) in enumerate(zip(sizes, means, strict=True))])
+    label = np.repeat(np.arange(len(means)), [2 * n for n in sizes])
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_embeddings(df).collect()}
+    assert near.sum() >= len(x) and {i: int(n) for i, n in enumerate(near.sum(1))} == got
 
 
 def test_places_of_pieces_in_many_parts(spark, monkeypatch):
