@@ -109,10 +109,12 @@ def heavy_pairs(heavy: DataFrame) -> DataFrame:
     """Columns lang, a, b, v: the sums of tiles over heavy terms (term, lang, gid, p, z, groups)."""
     blocks = F.expr(f"(groups + {TILE_GROUPS - 1}) div {TILE_GROUPS}")
     in_tile = heavy.select("lang", F.xxhash64("term").alias("t"), "term", "gid", "p", "z", F.expr(f"gid div {TILE_GROUPS}").alias("block"), blocks.alias("blocks"))
-    terms = heavy.select("lang", "term").distinct().groupBy("lang").agg(F.expr(f"(count(*) + {TILE_TERMS - 1}) div {TILE_TERMS}").alias("chunks"))
-    dealt = in_tile.join(terms, "lang").withColumn("chunk", F.expr("pmod(t, chunks)"))
+    terms = written(heavy.select("lang", "term").distinct().groupBy("lang").agg(F.expr(f"(count(*) + {TILE_TERMS - 1}) div {TILE_TERMS}").alias("chunks")))
+    few = terms.count() <= BROADCAST_IDS
+    dealt = in_tile.join(F.broadcast(terms) if few else terms, "lang").withColumn("chunk", F.expr("pmod(t, chunks)"))
     met = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "block").alias("c"), F.greatest(j, "block").alias("d")))).alias("m")
     each = dealt.select("lang", "chunk", met, "term", "gid", "p", "z").select("lang", "chunk", "m.c", "m.d", "term", "gid", "p", "z")
+    each = each.repartition("lang", "chunk", "c", "d")  # by the whole key, not by the language that a join may have dealt by
 
     def solve(key, table):
         lang, _, c, d = (k.as_py() for k in key)
