@@ -1,15 +1,16 @@
 """Token counts of whole texts with a SentencePiece model: encode in Arrow batches, return lengths only.
 
-A text is cut at its safe boundaries: a single space between two characters that are no white space. The model
-turns such a space into the word-start mark, no piece has that mark after another character, and the model puts
-the same mark before the first word; so the counts of the parts add up to the count of the text. This holds for
-any model with ``add_dummy_prefix``, no other normalisation and no piece with an inner mark, which
-``check_model`` verifies. Parts are counted once each and kept in a bounded memo; new parts go to the library in
+A text is cut at its safe boundaries: a single space between two characters that are neither white space nor the
+word-start mark U+2581 itself. The model turns such a space into that mark, no piece has it after another character,
+and the model puts the same mark before the first word; so the counts of the parts add up to the count of the text.
+This holds for any model that adds the mark before a text, normalises nothing else and has no piece with an inner
+mark; ``check_model`` reads this from the model and refuses others. Parts are counted once each and kept in a bounded memo; new parts go to the library in
 batches balanced by bytes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -30,10 +31,24 @@ def check_model(processor) -> None:
         piece = processor.id_to_piece(i)
         if "▁" in piece.lstrip("▁"):
             raise ValueError(f"piece {i} has an inner word mark: {piece!r}")
-    if processor.encode(["a b"], num_threads=1)[0] != processor.encode(["a"], num_threads=1)[0] + processor.encode(["b"], num_threads=1)[0]:
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto.FromString(processor.serialized_model_proto())
+    rules = model.normalizer_spec
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
+        raise ValueError(f"the model changes texts by its normalisation ({rules.name})")
+    if not rules.add_dummy_prefix or model.trainer_spec.treat_whitespace_as_suffix:
         raise ValueError("the model does not start each text as it starts a word")
 
 
+MARKED_SPACE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+
+
+def parts_of(text: str) -> list[str]:
+    """``text`` cut at its safe boundaries."""
+    return MARKED_SPACE.split(text) if "▁" in text else safe_parts(text)
+
+
 def make_counter(model_path: str) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts; one for each worker process."""
     if model_path in _counters:
@@ -45,7 +60,7 @@ def make_counter(model_path: str) -> Callable[[list[str]], list[int]]:
     memo: dict[str, int] = {}
 
     def count(texts: list[str]) -> list[int]:
-        cut = [safe_parts(t) for t in texts]
+        cut = [parts_of(t) for t in texts]
         new = list(set().union(*cut).difference(memo))
         if len(memo) + len(new) > MEMO_PARTS:
             memo.clear()

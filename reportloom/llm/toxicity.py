@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SAMPLE_ROWS, held_out, labelled_sample, map_texts
+from .common import SAMPLE_ROWS, SLICE_ROWS, held_out, labelled_sample, map_texts
 
 #: RIDGE is the weight of the absolute weights (soft thresholding), which leaves most features out.
 LEAST_DOCS, EPOCHS, RIDGE = 4, 100, 2e-4
@@ -148,11 +149,17 @@ def make_scorer(model: ToxicityModel):
 
 
 def score_column(model: ToxicityModel):
-    """A pandas function from a text column to document scores; null counts as empty, and empty scores LEAK."""
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    """An Arrow function from a text column to document scores, with one scorer a task; rows become Python objects a
+    slice at a time. Null counts as empty, and empty scores LEAK."""
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         _, whole = make_scorer(model)
-        return pd.Series([whole(t or "") for t in texts], dtype="float64")
+        for texts in batches:
+            scores = []
+            for i in range(0, len(texts), SLICE_ROWS):
+                scores += [whole(t.as_py() or "") for t in texts.slice(i, SLICE_ROWS)]
+            yield pa.array(scores, pa.float64())
 
     return score
 

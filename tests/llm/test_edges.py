@@ -310,3 +310,28 @@ def test_toxicity_scores_are_the_noisy_or_that_is_fitted(spark):
     likely = lambda p, y: np.log(np.clip(p if y else 1 - p, 1e-9, 1))
     assert sum(likely(scores[i], y) for i, y in known.items()) > 0.7 * sum(likely(share, y) for y in known.values())
     assert [r["score"] for r in toxicity.score_toxicity(table(spark, [(1, ""), (2, None)]), model).collect()] == pytest.approx([toxicity.LEAK] * 2)
+
+
+def test_token_counts_of_random_odd_texts():
+    """Literal word marks, controls, byte order marks and all kinds of white space, against the library on whole texts."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    pieces = ["▁", "▁▁", " ", "  ", "\n", "\t", "\ufeff", "\x00", "\x85", "\u3000", "\u200b", "a", "the", "Token", "é", "語", "🙂", ".", "1", "<s>", "</s>", "<unk>", "<0x41>"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14))) for _ in range(6000)] + ["▁ ▁", "▁ \ufeff", "▁ \x00"]
+    assert token_counts.make_counter(P.path("piece_bpe_32k.model"))(texts) == [len(x) for x in lib.encode(texts)]
+
+
+def test_pipeline_filters_on_odd_rows(spark):
+    """Null and repeated ids, null texts, clashing columns and empty tables in the pipeline's filters."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    toxic, text = toxicity.fit_toxicity(docs, labels), language.fit_text_model(docs)
+    df = table(spark, ROWS).withColumns({c: F.lit("clash") for c in ("__gone", "__order", "__text", "__c", "__doc")})
+    filters = {"clean": lambda d: toxicity.keep_clean(d, toxic), "identified": lambda d: language.keep_identified(d, text), "one": lambda d: near_duplicates.keep_one_each(d)}
+    kept = {name: run(df) for name, run in filters.items()}
+    for name, found in kept.items():
+        assert found.columns == df.columns and filters[name](df.limit(0)).count() == 0, name
+    ids = {name: sorted(str(r["doc_id"]) for r in found.collect()) for name, found in kept.items()}
+    assert ids["clean"] == ids["one"] == sorted(str(i) for i, _ in ROWS)
+    assert {"None"} <= set(ids["identified"]) <= {"None", "1", "3"} and "2" not in ids["identified"]
