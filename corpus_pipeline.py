@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reportloom.llm import language, near_duplicates, packing, queries, toxicity
-from reportloom.llm.common import written
+from reportloom.llm.common import dropped, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,5 +39,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; what a stage keeps is written before the next one reads it."""
     docs = queries.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs, before = written(stage(spark, docs, sf_dir)), docs
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
