@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import drafts as D
 from ..functions import facts as K
 from ..functions import measure as M
+from ..functions import runs as R
 from ..functions import text as T
 from ..operators import facts as O
+from ..operators import flow as FL
 from ..operators import stats as S
 from ..operators import structure as B
 from ..operators import tables as TB
 from ..sources import html as H
+from ..sources import text_files as X
 from . import cases
 
 FLAGSHIP = "ending_class_topk"
@@ -544,3 +547,83 @@ def line_openers(spark, sf_dir):
     """How the lines of all documents open, counted by language."""
     rows = table(spark, sf_dir, "documents").select("lang", F.explode(T.lines(F.col("text"))).alias("line"))
     return rows.groupBy("lang", D.opener_class(F.col("line")).alias("opener")).agg(F.count("*").alias("lines"))
+
+
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def decoded(sql: str) -> str:
+    for name, letter in ENTITIES:
+        sql = f"replace({sql}, '{name}', '{letter}')"
+    return rf"trim(regexp_replace({sql}, '\s+', ' ', 'g'))"
+
+
+PAGE_RUNS_SQL = rf"""
+WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '<b>([^<]*)', 1)) AS t, unnest(range(1, len(regexp_extract_all(html, '<b>([^<]*)', 1)) + 1)) AS n FROM pages),
+a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS t,
+  unnest(range(1, len(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>')) + 1)) AS n FROM pages)
+SELECT page_id, 'bold' AS style, n AS number, {decoded("t")} AS text, '**' || regexp_replace({decoded("t")}, '([\\*_`])', '\\\1', 'g') || '**' AS markdown FROM b
+UNION ALL SELECT page_id, 'link', n, {decoded("t")}, '[' || regexp_replace({decoded("t")}, '([\\*_`])', '\\\1', 'g') || '](' || href || ')' FROM a"""
+
+
+@query(PAGE_RUNS_SQL)
+def page_runs(spark, sf_dir):
+    """Bold runs and links of each page in order, as text and as Markdown."""
+    blocks = H.read_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
+    runs = blocks.select("page_id", "ord", F.posexplode("runs").alias("at", "run")).where("run.bold or run.href is not null")
+    style = F.when(F.col("run.bold"), "bold").otherwise("link")
+    number = F.row_number().over(Window.partitionBy("page_id", "style").orderBy("ord", "at")).cast("long")
+    return runs.withColumn("style", style).select("page_id", "style", number.alias("number"), F.col("run.text").alias("text"), R.inline_markdown(F.array("run")).alias("markdown"))
+
+
+PART_RUNS_SQL = """
+SELECT p_partkey, '**' || p_brand || '** 가격 *' || CASE WHEN w < 1000 THEN w::VARCHAR ELSE (w // 1000)::VARCHAR || ',' || lpad((w % 1000)::VARCHAR, 3, '0') END || '원* 및 `' || w || '원` [' || p_name || '](p/' || p_partkey || ')' AS markdown,
+  p_brand || ' 값 ' || w || '원 및 ' || w || '원 ' || p_name AS carried, len(p_brand) AS bold_chars, len(' 값 ') AS between_chars
+FROM (SELECT *, CAST(floor(p_retailprice) AS BIGINT) AS w FROM part)"""
+
+
+@query(PART_RUNS_SQL)
+def part_runs(spark, sf_dir):
+    """A styled line for each part: read from Markdown, notation mended within its runs, written again; and a word
+    replaced in the plain text with the styles carried over."""
+    part = table(spark, sf_dir, "part").withColumn("w", F.floor("p_retailprice").cast("string"))
+    line = F.concat(F.lit("__"), "p_brand", F.lit("__ 가격 *"), "w", F.lit("원* 및 `"), "w", F.lit("원` ["), "p_name", F.lit("](p/"), F.col("p_partkey").cast("string"), F.lit(")"))
+    read = X.with_runs(part.withColumn("line", line), "line")
+    carried = R.carried(F.col("runs"), F.replace(R.plain(F.col("runs")), F.lit("가격"), F.lit("값")))
+    sizes = [F.char_length(F.col("c")[k]["text"]).cast("long") for k in (0, 1)]
+    return read.withColumn("c", carried).select("p_partkey", R.inline_markdown(R.rewritten(F.col("runs"), K.notation)).alias("markdown"), R.plain(F.col("c")).alias("carried"), sizes[0].alias("bold_chars"), sizes[1].alias("between_chars"))
+
+
+FLOW_PAGE, FLOW_WIDTH, FLOW_LINE = 3_000_000, 2_000_000, 152_400
+FLOW_SQL = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, ord, CASE WHEN line = '' THEN 'blank' WHEN contains(line, '|') THEN 'table' ELSE 'paragraph' END AS kind,
+    {FLOW_LINE} * greatest(1, CAST(ceil(length(line) * 69850.0 / {FLOW_WIDTH}) AS BIGINT)) * CASE WHEN contains(line, '|') THEN 2 ELSE 1 END AS h FROM ({LINES})),
+flow AS (
+  SELECT doc_id, ord, kind, h, 0::BIGINT AS y, h AS after, false AS moved FROM l WHERE ord = 1
+  UNION ALL
+  SELECT doc_id, ord, kind, h, top AS y, top + h, top > after FROM (
+    SELECT l.doc_id, l.ord, l.kind, l.h, f.after,
+      CASE WHEN l.kind = 'table' AND l.h <= {FLOW_PAGE} AND f.after + l.h > (f.after // {FLOW_PAGE} + 1) * {FLOW_PAGE} THEN (f.after // {FLOW_PAGE} + 1) * {FLOW_PAGE} ELSE f.after END AS top
+    FROM flow f JOIN l ON l.doc_id = f.doc_id AND l.ord = f.ord + 1))
+SELECT doc_id, ord, y, y // {FLOW_PAGE} AS page, h AS height, moved FROM flow"""
+
+
+def flow_blocks(spark, sf_dir):
+    """The lines of documents as blocks: those with a bar are tables of two rows, empty ones blanks, others paragraphs."""
+    rows = lines_of(spark, sf_dir)
+    lines = F.greatest(F.ceil(F.char_length("line") * F.lit(69850.0) / FLOW_WIDTH), F.lit(1))
+    table_line = F.col("line").contains("|")
+    return rows.select("doc_id", "ord", F.when(F.col("line") == "", "blank").when(table_line, "table").otherwise("paragraph").alias("kind"), (lines * FLOW_LINE * F.when(table_line, 2).otherwise(1)).alias("lines_height"), F.lit(0).alias("fixed"))
+
+
+@query(FLOW_SQL)
+def page_flow(spark, sf_dir):
+    """Page and position of each line of the documents; lines with bars stay whole on a page."""
+    return FL.page_flow(flow_blocks(spark, sf_dir), FLOW_PAGE).select("doc_id", "ord", "y", "page", "height", "moved")
+
+
+@query(f"SELECT page, CAST(count(*) AS BIGINT) AS blocks, CAST(count(*) FILTER (WHERE moved) AS BIGINT) AS moved, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM ({FLOW_SQL}) GROUP BY page")
+def page_flow_totals(spark, sf_dir):
+    """Blocks, tables that moved, and documents on each page number."""
+    return page_flow(spark, sf_dir).groupBy("page").agg(F.count("*").alias("blocks"), F.count_if("moved").alias("moved"), F.count_distinct("doc_id").alias("docs"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,9 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.runs import RUN
+
 KINDS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "li": "item", "td": "cell", "th": "cell", "pre": "code", "blockquote": "callout", "hr": "hr", "title": "title", "caption": "caption"}
 BORDERS = frozenset("address article aside body caption dd div dl dt figure footer form header html main nav ol section table tbody tfoot thead tr ul".split()) | frozenset(KINDS)
 SKIPPED = frozenset(("script", "style", "template"))
+INLINE = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "code": "code"}
 CALLOUTS = {"info": "info", "tip": "info", "note": "note", "important": "note", "warning": "warning", "caution": "warning"}
 
 
@@ -20,38 +24,60 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
 
 
+def tidy_runs(pieces: list[tuple]) -> list[tuple]:
+    """Runs (text, bold, italic, code, href) with neighbours of one style joined and the outer white space cut."""
+    out: list[tuple] = []
+    for text, *style in pieces:
+        if out and list(out[-1][1:]) == style:
+            out[-1] = (out[-1][0] + text, *style)
+        elif text:
+            out.append((text, *style))
+    if out:
+        out[0] = (out[0][0].lstrip(), *out[0][1:])
+        out[-1] = (out[-1][0].rstrip(), *out[-1][1:])
+    return [r for r in out if r[0]]
+
+
 class Reader(HTMLParser):
-    """Block tuples (kind, level, depth, ordered, row, col, callout, text) of one page."""
+    """Block tuples (kind, level, depth, ordered, row, col, callout, text, runs) of one page.
+
+    An inline mark ends with its block at the latest. White space is one space within a run.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple] = []
         self.open: list[str] = []
         self.text: list[str] = []
+        self.pieces: list[tuple] = []
+        self.marks: list[tuple[str, str | None]] = []
         self.lists: list[bool] = []
         self.row, self.col, self.callout, self.skip = -1, -1, None, 0
 
     def flush(self, kind: str | None = None) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text = []
+        text, runs = " ".join("".join(self.text).split()), tidy_runs(self.pieces)
+        self.text, self.pieces = [], []
         if not text and kind != "hr":
             return
         inner = next((t for t in reversed(self.open) if t in KINDS), "p")
         kind = kind or KINDS[inner]
         level = int(inner[1]) if kind == "heading" else None
         item, cell = kind == "item", kind == "cell"
-        self.rows.append((kind, level, len(self.lists) - 1 if item else None, self.lists[-1] if item and self.lists else None, self.row if cell else None, self.col if cell else None, self.callout, text))
+        self.rows.append((kind, level, len(self.lists) - 1 if item else None, self.lists[-1] if item and self.lists else None, self.row if cell else None, self.col if cell else None, self.callout, text, runs))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SKIPPED:
             self.skip += 1
         if tag == "br":
-            self.text.append(" ")
+            self.handle_data(" ")
+        if tag in INLINE or tag == "a":
+            self.marks.append((tag, dict(attrs).get("href")))
         if tag.startswith("ac:structured-macro"):
             self.callout = CALLOUTS.get(dict(attrs).get("ac:name", ""), self.callout)
         if tag not in BORDERS:
             return
         self.flush()
+        self.marks = []
         if tag == "hr":
             self.flush("hr")
             return
@@ -73,8 +99,12 @@ class Reader(HTMLParser):
         if tag.startswith("ac:structured-macro"):
             self.flush()
             self.callout = None
+        last = next((i for i in reversed(range(len(self.marks))) if self.marks[i][0] == tag), None)
+        if last is not None:
+            del self.marks[last]
         if tag in BORDERS:
             self.flush()
+            self.marks = []
             if tag in ("ul", "ol") and self.lists:
                 self.lists.pop()
             if tag in self.open:
@@ -83,6 +113,9 @@ class Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.text.append(data)
+            on = {INLINE.get(t) for t, _ in self.marks}
+            href = next((h for t, h in reversed(self.marks) if t == "a" and h), None)
+            self.pieces.append((re.sub(r"\s+", " ", data), "bold" in on, "italic" in on, "code" in on, href))
 
 
 def read_page(html: str) -> list[tuple]:
@@ -96,8 +129,16 @@ def read_page(html: str) -> list[tuple]:
     return reader.rows
 
 
+#: Runs as Arrow has them.
+RUNS = pa.list_(pa.struct([("text", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("code", pa.bool_()), ("href", pa.string())]))
+
+
+def run_rows(runs: list[tuple]) -> list[dict]:
+    return [dict(zip(("text", "bold", "italic", "code", "href"), r, strict=True)) for r in runs]
+
+
 def read_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """A row for each block of each page: id, ord, kind, level, depth, ordered, row_idx, cell_idx, callout_kind, text."""
+    """A row for each block of each page: id, ord, kind, level, depth, ordered, row_idx, cell_idx, callout_kind, text, runs."""
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +147,11 @@ def read_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
             for key, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = read_page(html or "")
                 ids += [key] * len(rows)
-                out += [(i, *r) for i, r in enumerate(rows, 1)]
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*out, strict=True)) if out else [()] * 9
-            names = [id_col, "ord", "kind", "level", "depth", "ordered", "row_idx", "cell_idx", "callout_kind", "text"]
+                out += [(i, *r[:-1], run_rows(r[-1])) for i, r in enumerate(rows, 1)]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string(), RUNS]
+            columns = list(zip(*out, strict=True)) if out else [()] * 10
+            names = [id_col, "ord", "kind", "level", "depth", "ordered", "row_idx", "cell_idx", "callout_kind", "text", "runs"]
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
 
-    schema = f"{id_col} {id_type}, ord long, kind string, level long, depth long, ordered boolean, row_idx long, cell_idx long, callout_kind string, text string"
+    schema = f"{id_col} {id_type}, ord long, kind string, level long, depth long, ordered boolean, row_idx long, cell_idx long, callout_kind string, text string, runs array<{RUN}>"
     return pages.select(id_col, html_col).mapInArrow(run, schema)

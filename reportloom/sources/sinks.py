@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import runs as R
 from ..functions import text as T
 
 
@@ -14,9 +15,10 @@ def escape_start(text: Column) -> Column:
     return F.regexp_replace(t, r"^(\d{1,9})([.)])(\s)", r"$1\\$2$3")
 
 
-def block_markdown() -> Column:
-    """One block as Markdown: heading marks, item marks with two ideographic spaces for each depth, fences, rules."""
-    text = F.col("text")
+def block_markdown(styled: bool = False) -> Column:
+    """One block as Markdown: heading marks, item marks with two ideographic spaces for each depth, fences, rules. With
+    ``styled``, texts come from the column runs, but for code and blocks without runs."""
+    text = F.when((F.col("kind") == "code") | (F.coalesce(F.size("runs"), F.lit(0)) < 1), F.col("text")).otherwise(R.inline_markdown(F.col("runs"))) if styled else F.col("text")
     mark = F.coalesce(F.when(F.col("ordered"), F.concat(F.coalesce(F.col("number"), F.lit(1)).cast("string"), F.lit("."))), F.lit("-"))
     return (
         F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce(F.col("level"), F.lit(1)).cast("int")), F.lit(" "), text))
@@ -40,8 +42,9 @@ def table_rows(blocks: DataFrame, id_col: str) -> DataFrame:
 
 
 def to_markdown(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One Markdown text for each document: id, markdown. Blocks are parted by an empty line, table rows by none."""
-    lines = blocks.where("kind != 'cell'").select(id_col, "ord", block_markdown().alias("line"), F.lit(False).alias("is_row")).unionByName(table_rows(blocks, id_col))
+    """One Markdown text for each document: id, markdown. Blocks are parted by an empty line, table rows by none. Blocks
+    with a column runs keep their bold, italic, code and links."""
+    lines = blocks.where("kind != 'cell'").select(id_col, "ord", block_markdown("runs" in blocks.columns).alias("line"), F.lit(False).alias("is_row")).unionByName(table_rows(blocks, id_col))
     gathered = F.array_sort(F.collect_list(F.struct("ord", "line", "is_row")))
     start = F.struct(F.lit("").alias("out"), F.lit(False).alias("row"))
     step = lambda a, b: F.struct(F.concat(a["out"], F.when(a["out"] == "", "").when(a["row"] & b["is_row"], "\n").otherwise("\n\n"), b["line"]).alias("out"), b["is_row"].alias("row"))

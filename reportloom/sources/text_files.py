@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.runs import RUN
 from ..functions.text import let
 from ..operators.structure import running_totals
+from .html import RUNS
 
 BLOCK_SCHEMA = "ord long, kind string, level long, depth long, ordered boolean, number long, lang string, callout_kind string, row_idx long, cell_idx long, colspan long, rowspan long, text string"
 BLOCK_NAMES = [f.split(" ")[0] for f in BLOCK_SCHEMA.split(", ")]
@@ -252,3 +254,73 @@ def read_markdown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def read_word(docs: DataFrame, id_col: str = "doc", content_col: str = "content") -> DataFrame:
     return blocks_of(docs, id_col, content_col, word_blocks)
+
+
+#: Inline marks of Markdown in the order in which they are tried: escapes, code, images, links, line ends, emphasis.
+INLINE = re.compile(r"\\([!-/:-@\[-`{-~])|(`+)(.+?)(?<!`)\2(?!`)|!\[([^\]]*)\]\(([^()\s]*)\)|\[((?:\\.|[^\[\]\\])*)\]\(([^()\s]*)\)|(<br\s*/?>|  +\n)|(\n)|(\*+|_+|~~)", re.I | re.S)
+
+
+def markdown_runs(text: str) -> list[tuple]:
+    """Runs (text, bold, italic, code, href) of a Markdown line. Marks of emphasis open before a character that is no
+    white space and close after one; such a mark without a partner is text. A soft line end is a space, a hard one stays."""
+    pieces: list[list] = []  # [text, code, href, mark]; a mark: may open, may close
+
+    def read(part: str, href: str | None) -> None:
+        at = 0
+        for m in INLINE.finditer(part):
+            if m.start() > at:
+                pieces.append([part[at : m.start()], False, href, None])
+            at = m.end()
+            if m[1]:
+                pieces.append([m[1], False, href, None])
+            elif m[2]:
+                pieces.append([m[3], True, href, None])
+            elif m[5] is not None:
+                pass  # an image is no text
+            elif m[7] is not None:
+                read(m[6], m[7])
+            elif m[8] or m[9]:
+                pieces.append(["\n" if m[8] else " ", False, href, None])
+            else:
+                before, after = part[m.start() - 1 : m.start()] if m.start() else "", part[m.end() : m.end() + 1]
+                inside = m[0][0] == "_" and before.isalnum() and after.isalnum()
+                pieces.append([m[0], False, href, None if inside else (bool(after.strip()), bool(before.strip()))])
+        if at < len(part):
+            pieces.append([part[at:], False, href, None])
+
+    read(text, None)
+    bold, italic, waiting = [0] * len(pieces), [0] * len(pieces), []
+    for i, piece in enumerate(pieces):
+        if piece[3] is None:
+            continue
+        opens, closes = piece[3]
+        while closes and piece[0] and (own := [j for j in waiting if pieces[j][0][:1] == piece[0][0]]):
+            j = own[-1]
+            n = 2 if min(len(pieces[j][0]), len(piece[0])) > 1 else 1
+            for k in range(j + 1, i):
+                styled = bold if n == 2 and piece[0][0] != "~" else italic
+                styled[k] += 1
+            pieces[j][0], piece[0] = pieces[j][0][n:], piece[0][n:]
+            del waiting[waiting.index(j) + 1 :]
+            if not pieces[j][0]:
+                waiting.remove(j)
+        if opens and piece[0]:
+            waiting.append(i)
+    out = [(said, bold[i] > 0, italic[i] > 0, code, href) for i, (said, code, href, _) in enumerate(pieces)]
+    joined: list[tuple] = []
+    for said, *style in out:
+        if joined and list(joined[-1][1:]) == style:
+            joined[-1] = (joined[-1][0] + said, *style)
+        elif said:
+            joined.append((said, *style))
+    return joined
+
+
+def with_runs(rows: DataFrame, text_col: str, runs_col: str = "runs") -> DataFrame:
+    """``rows`` with the styled runs of a column of Markdown lines; null gives none."""
+
+    @F.arrow_udf(f"array<{RUN}>")
+    def parsed(texts: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(("text", "bold", "italic", "code", "href"), r, strict=True)) for r in markdown_runs(t.as_py() or "")] for t in texts], RUNS)
+
+    return rows.withColumn(runs_col, parsed(F.col(text_col)))
