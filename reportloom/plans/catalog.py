@@ -16,6 +16,7 @@ from ..operators import facts as O
 from ..operators import flow as FL
 from ..operators import stats as S
 from ..operators import structure as B
+from ..operators import table_fit as TF
 from ..operators import tables as TB
 from ..sources import html as H
 from ..sources import text_files as X
@@ -627,3 +628,59 @@ def page_flow(spark, sf_dir):
 def page_flow_totals(spark, sf_dir):
     """Blocks, tables that moved, and documents on each page number."""
     return page_flow(spark, sf_dir).groupBy("page").agg(F.count("*").alias("blocks"), F.count_if("moved").alias("moved"), F.count_distinct("doc_id").alias("docs"))
+
+
+FIT = TF.Rules(sizes=(152_400, 127_000, 101_600), scales=(1.0, 0.9), margins=(60_000, 30_000), pages=(1.0, 1.4), most_lines=3)
+
+
+def fit_cells(spark, sf_dir):
+    """A table for each size of parts: name, type and a remark of one to six names, under a header; the room grows with
+    the size."""
+    remark = F.array_join(F.array_repeat("p_name", (1 + F.col("p_partkey") % 6).cast("int")), " ")
+    part = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("table_id"), (F.col("p_partkey") + 1).alias("row_idx"), F.posexplode(F.array("p_name", "p_type", remark)).alias("cell_idx", "text"), F.lit(False).alias("is_header"))
+    head = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("table_id")).distinct().select("table_id", F.lit(0).cast("long").alias("row_idx"), F.posexplode(F.array(F.lit("name"), F.lit("type"), F.lit("remarks of clerks"))).alias("cell_idx", "text"), F.lit(True).alias("is_header"))
+    return part.unionByName(head).withColumns({"grid_col": F.col("cell_idx"), "colspan": F.lit(1), "align": F.lit(None).cast("string"), "available": F.lit(1_200_000) + F.col("table_id") * 60_000})
+
+
+def wrap_sql(text: str, half: str, most: str) -> str:
+    """Lines of a text of narrow letters within a width."""
+    state = lambda n, used, word: f"{{'n': {n}, 'used': {used}, 'word': {word}}}"
+    zero, grown = "0.0::DOUBLE", f"s.word + {half}"
+    broken = "CASE WHEN s.used > 0 THEN s.n + 1 ELSE s.n END"
+    return f"""list_reduce(string_split({text}, ''), lambda s, c: CASE
+    WHEN c = ' ' AND s.used + {grown} > {most} THEN {state("s.n + 1", zero, zero)} WHEN c = ' ' THEN {state("s.n", f"s.used + {grown}", zero)}
+    WHEN s.used + {grown} > {most} AND {grown} > {most} THEN {state(f"{broken} + CAST(floor(({grown}) / {most}) AS INT)", zero, f"({grown}) % {most}")}
+    WHEN s.used + {grown} > {most} THEN {state(broken, zero, grown)} ELSE {state("s.n", "s.used", grown)} END, {state(1, zero, zero)}).n"""
+
+
+def fit_sql() -> str:
+    points = ", ".join(f"({i}, {p}, {s}, {c}::DOUBLE, {m}, {FIT.pages[p]}::DOUBLE)" for i, (p, s, c, m) in enumerate(FIT.points()))
+    last = len(FIT.points()) // 2 - 1
+    level = lambda total: f"""(SELECT CASE WHEN i = 1 THEN b[1] ELSE b[i - 1] + (b[i] - b[i - 1]) * coalesce((usable - {total('b[i - 1]')}) / nullif({total('b[i]')} - {total('b[i - 1]')}, 0), 0) END
+      FROM (SELECT bends AS b, list_position(list_transform(bends, lambda v: {total('v')} >= usable), true) AS i))"""
+    raised = lambda v: f"list_sum(list_transform(wished, lambda w: greatest(w, {v})))"
+    cut = lambda v: f"list_sum(list_transform(range(1, 4), lambda k: greatest(least[k], least(wished[k], {v}))))"
+    return f"""
+WITH cells AS (
+  SELECT p_size::BIGINT AS t, p_partkey + 1 AS r, unnest([0, 1, 2]) AS k, unnest([p_name, p_type, array_to_string(list_transform(range(1 + p_partkey % 6), lambda i: p_name), ' ')]) AS x FROM part),
+word AS (SELECT *, list_max(list_transform(string_split(x, ' '), lambda w: len(w))) * 0.5 AS word FROM cells),
+cols AS (SELECT t, k, max(word) AS least, max(len(x)) * 0.5 AS wished FROM (SELECT t, k, word, x FROM word UNION ALL SELECT DISTINCT t, k, CASE k WHEN 2 THEN 3.5 ELSE 2.0 END, CASE k WHEN 2 THEN 'remarks' ELSE 'name' END FROM cells) GROUP BY t, k),
+tabs AS (SELECT t, 1200000 + 60000 * t AS room, list(least ORDER BY k) AS l, list(greatest(wished, least) ORDER BY k) AS w FROM cols GROUP BY t),
+pts AS (
+  SELECT t, room, idx, page, size, scale, margin, floor(room * wide) - 6 * margin AS usable, list_transform(l, lambda v: v * (size * scale)) AS least, list_transform(w, lambda v: v * (size * scale)) AS wished
+  FROM tabs, (VALUES {points}) AS p(idx, page, size, scale, margin, wide)),
+bent AS (SELECT *, list_sort(list_distinct(CASE WHEN list_sum(wished) <= usable THEN [0.0, usable] || wished ELSE [0.0] || least || wished END)) AS bends FROM pts WHERE list_sum(least) <= usable),
+levels AS (SELECT *, list_sum(wished) <= usable AS wide, CASE WHEN list_sum(wished) <= usable THEN {level(raised)} ELSE {level(cut)} END AS lv FROM bent),
+sized AS (SELECT *, list_transform(range(1, 4), lambda k: CASE WHEN wide THEN greatest(wished[k], lv) ELSE greatest(least[k], least(wished[k], lv)) END) AS widths FROM levels),
+worst AS (SELECT z.t, z.idx, max({wrap_sql('c.x', '(0.5 * (size * scale))', 'z.widths[c.k + 1]')}) AS lines FROM sized z JOIN cells c ON c.t = z.t GROUP BY z.t, z.idx),
+pick AS (SELECT t, coalesce(min(idx) FILTER (WHERE lines <= 3), min(idx) FILTER (WHERE idx IN ({last}, {2 * last + 1}))) AS point FROM worst GROUP BY t),
+best AS (SELECT z.*, list_transform(widths, lambda w: CAST(round_even(w, 0) AS BIGINT) + 2 * margin) AS v FROM pick JOIN sized z ON z.t = pick.t AND z.idx = pick.point),
+fill AS (SELECT *, page = 0 AND list_sum(v) < room AS fills, list_transform(v, lambda w: CAST(floor(w * room / list_sum(v)) AS BIGINT)) AS f FROM best)
+SELECT t AS table_id, page, size, scale, margin, idx AS point, array_to_string(CASE WHEN fills THEN [f[1], f[2], CAST(f[3] + room - list_sum(f) AS BIGINT)] ELSE v END, ' ') AS widths FROM fill"""
+
+
+@query(fit_sql())
+def table_fit(spark, sf_dir):
+    """The first layout that holds for a table of each size of parts, with its widths."""
+    layouts, _ = TF.fit_tables(fit_cells(spark, sf_dir), FIT)
+    return layouts.select("table_id", "page", "size", "scale", "margin", "point", F.array_join(F.col("widths").cast("array<string>"), " ").alias("widths"))
