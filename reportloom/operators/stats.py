@@ -28,9 +28,10 @@ def top_shares(df: DataFrame, value: str, by: list[str] | None = None, n: int =
     first = F.min(order) if order else F.min(value)
     counted = df.groupBy(*by, value).agg(amount.alias("count"), first.alias("__first"))
     rank = Window.partitionBy(*by).orderBy(F.desc("count"), "__first")
-    totals = df.groupBy(*by).agg(amount.alias("__total")) if by else df.agg(amount.alias("__total"))
+    total = F.sum("count").alias("__total")  # of the counts, which are there already
+    totals = counted.groupBy(*by).agg(total) if by else counted.agg(total)
     ranked = counted.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
-    joined = ranked.join(F.broadcast(totals), by) if by else ranked.join(F.broadcast(totals))
+    joined = ranked.join(totals, by) if by else ranked.join(F.broadcast(totals))
     return joined.select(*by, value, F.col("count").cast("long").alias("count"), ratio(F.col("count"), F.col("__total")).alias("share"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -91,8 +92,9 @@ def blank_runs(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def charset(docs: DataFrame, by: str, text_col: str = "text") -> DataFrame:
     """Shares of Hangul, Hanja, Latin letters, digits and other among visible characters, in each group."""
-    t = F.regexp_replace(T.filled(F.col(text_col)), r"(?U)\s", "")
-    count = lambda cls: F.sum(F.char_length(F.regexp_replace(t, f"[^{cls}]", "")))
+    docs = docs.select(by, F.regexp_replace(T.filled(F.col(text_col)), r"(?U)\s+", "").alias("__seen"))
+    t = F.col("__seen")
+    count = lambda cls: F.sum(F.char_length(F.regexp_replace(t, f"[^{cls}]+", "")))
     classes = {"hangul": "가-힣ㄱ-ㅎㅏ-ㅣ", "hanja": "一-鿿", "latin": "A-Za-z", "digits": "0-9"}
     sums = docs.groupBy(by).agg(F.sum(F.char_length(t)).alias("chars"), *[count(c).alias(k) for k, c in classes.items()])
     return sums.select(by, F.col("chars").cast("long").alias("chars"), *[ratio(F.col(k), F.col("chars")).alias(f"{k}_share") for k in classes])

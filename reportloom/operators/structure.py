@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+from .lineage import step
+
 DOC, ORD = "doc_id", "ord"
 HANGUL_LETTERS = "가나다라마바사아자차카타파하"
 ROMAN_SIGNS = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))
@@ -209,23 +211,70 @@ def grid_columns(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table_id").applyInPandas(place, schema)
 
 
+def first_paths(edges: DataFrame, depth: int, most: int) -> DataFrame:
+    """Pages reached from each root within ``depth`` inclusions: root, page, depth, path (pages), key (positions); at most
+    ``most`` a root. ``edges``: page, includes, position. Each level is written once, so no level is computed anew."""
+    hop = edges.select(F.col("page").alias("__from"), F.col("includes").alias("__to"), place(F.col("position")).alias("__p"))
+
+    def first(paths: DataFrame) -> DataFrame:
+        """Of all paths of one length to a page the first: what comes behind it depends on the page alone."""
+        return step(paths.groupBy("root", "page", "depth").agg(F.min_by(F.struct("path", "key"), "key").alias("__first")).select("root", "page", "depth", "__first.*"))
+
+    level = first(hop.where("__from != __to").select(F.col("__from").alias("root"), F.col("__to").alias("page"), F.lit(1).alias("depth"), F.array("__from", "__to").alias("path"), F.col("__p").alias("key")))
+    found = level
+    for d in range(2, depth + 1):
+        on = level.join(hop, level["page"] == hop["__from"]).where(~F.array_contains("path", F.col("__to")))
+        level = first(on.select("root", F.col("__to").alias("page"), F.lit(d).alias("depth"), F.concat("path", F.array("__to")).alias("path"), F.concat_ws("/", "key", "__p").alias("key")))
+        found = found.unionByName(level)
+    of_page = found.groupBy("root", "page").agg(F.min_by(F.struct("depth", "path", "key"), "key").alias("__first")).select("root", "page", "__first.*")
+    return of_page.withColumn("__r", F.row_number().over(Window.partitionBy("root").orderBy("key"))).where(F.col("__r") <= most).drop("__r")
+
+
+def place(position: Column) -> Column:
+    """A position as text that sorts like its number."""
+    return F.lpad(position.cast("string"), 6, "0")
+
+
 def page_closure(edges: DataFrame, depth: int = 4, most: int = 40) -> DataFrame:
     """Pages reached from each root within ``depth`` inclusions: root, page, depth, path; at most ``most`` a root.
 
     ``edges``: page, includes, position. A page is met once, on its first path in document order; paths never
     repeat a page.
     """
-    hop = edges.select(F.col("page").alias("__from"), F.col("includes").alias("__to"), F.lpad(F.col("position").cast("string"), 6, "0").alias("__p"))
+    return first_paths(edges, depth, most).select("root", "page", F.col("depth").cast("long").alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
-    def first_paths(paths: DataFrame) -> DataFrame:
-        """Of all paths of one length to a page the first: what comes behind it depends on the page alone."""
-        return paths.groupBy("root", "page", "depth").agg(F.min_by(F.struct("path", "key"), "key").alias("__first")).select("root", "page", "depth", "__first.*")
 
-    level = first_paths(hop.where("__from != __to").select(F.col("__from").alias("root"), F.col("__to").alias("page"), F.lit(1).alias("depth"), F.array("__from", "__to").alias("path"), F.col("__p").alias("key")))
-    found = level
-    for d in range(2, depth + 1):
-        on = level.join(hop, level["page"] == hop["__from"]).where(~F.array_contains("path", F.col("__to")))
-        level = first_paths(on.select("root", F.col("__to").alias("page"), F.lit(d).alias("depth"), F.concat("path", F.array("__to")).alias("path"), F.concat_ws("/", "key", "__p").alias("key")))
-        found = found.unionByName(level)
-    first = found.groupBy("root", "page").agg(F.min_by(F.struct("depth", "path", "key"), "key").alias("__first")).select("root", "page", "__first.*")
-    return first.withColumn("__r", F.row_number().over(Window.partitionBy("root").orderBy("key"))).where(F.col("__r") <= most).select("root", "page", F.col("depth").cast("long").alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+def spliced_pages(blocks: DataFrame, depth: int = 4, most: int = 40, roots: DataFrame | None = None) -> DataFrame:
+    """Each page with the pages that it includes put in place: root, position, page, depth, kind, text, target.
+
+    ``blocks``: page, ord, kind, text, target (the page that a block of kind ``include`` stands for). An included page
+    begins on a new page with its title (the text of its first block of kind ``title``, else its id); its blocks follow,
+    and so on down to ``depth`` inclusions and ``most`` pages. A page is put in once, on its first path in document
+    order. An inclusion that is not followed stays as a block of kind ``note`` whose text says why: ``missing`` (no such
+    page), ``cycle`` (it stands around this one), ``again`` (it is put in elsewhere), ``depth`` or ``most``. ``roots``
+    (page): pages to build, all if none. Inclusions without a target are missing; repeated positions go in any order.
+    """
+    names = blocks.select("page").distinct()
+    edges = blocks.where("kind = 'include' and target is not null").select("page", F.col("target").alias("includes"), F.col("ord").alias("position"))
+    known = edges.join(names.select(F.col("page").alias("__known")), F.col("includes") == F.col("__known"), "left_semi")
+    start = names if roots is None else names.join(roots.select("page").distinct(), "page", "left_semi")
+    paths = first_paths(known, depth, most)
+    paths = paths if roots is None else paths.join(start.select(F.col("page").alias("root")), "root", "left_semi")
+    inside = step(start.select(F.col("page").alias("root"), "page", F.lit(0).alias("depth"), F.array("page").alias("path"), F.lit("").alias("key")).unionByName(paths))
+    of_page = inside.join(blocks, "page").withColumn("__at", F.concat(F.when(F.col("key") == "", "").otherwise(F.concat("key", F.lit("/"))), place(F.col("ord"))))
+
+    put = inside.where("depth > 0").select("root", F.col("key").alias("__at"), F.lit(True).alias("__put"))
+    met = inside.select("root", F.col("page").alias("target"), F.lit(True).alias("__met"))
+    refs = of_page.where("kind = 'include'").join(put, ["root", "__at"], "left").where("__put is null").drop("__put")
+    refs = refs.join(met, ["root", "target"], "left").join(names.select(F.col("page").alias("target"), F.lit(True).alias("__there")), "target", "left")
+    why = F.when(F.col("__there").isNull(), "missing").when(F.array_contains("path", F.col("target")), "cycle").when(F.col("__met"), "again").when(F.col("depth") >= depth, "depth").otherwise("most")
+    columns = ["root", "__at", "page", "depth", "kind", "text", "target"]
+    notes = refs.select("root", "__at", "page", "depth", F.lit("note").alias("kind"), why.alias("text"), "target")
+    nothing = F.lit(None).cast(blocks.schema["target"].dataType)
+    body = of_page.where("kind != 'include'").select("root", "__at", "page", "depth", "kind", "text", nothing.alias("target"))
+    titles = blocks.where("kind = 'title'").groupBy("page").agg(F.min_by("text", "ord").alias("__title"))
+    heads = inside.where("depth > 0").join(titles, "page", "left").select("root", "page", "depth", "key", F.explode(F.array(F.struct(F.lit("page_break").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit("").alias("after")), F.struct(F.lit("heading").alias("kind"), F.coalesce("__title", F.col("page").cast("string")).alias("text"), F.lit("/").alias("after")))).alias("h"))
+    heads = heads.select("root", F.concat("key", "h.after").alias("__at"), "page", "depth", "h.kind", "h.text", nothing.alias("target"))
+    rows = body.where("not (kind = 'title' and depth > 0)").select(columns).unionByName(notes).unionByName(heads)
+    position = F.row_number().over(Window.partitionBy("root").orderBy("__at"))
+    return rows.select("root", position.cast("long").alias("position"), "page", F.col("depth").cast("long").alias("depth"), "kind", "text", "target")

@@ -472,9 +472,24 @@ def html_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("links"), F.array_join(F.array_sort(F.array_distinct(links)), " ").alias("targets"))
 
 
-@query()
+PAGE_BLOCKS = "'<title>([^<]*)|<li>\\s*<a[^>]*>([^<]*)|<div class=\"[^\"]*\">([^<]*)|<h1>([^<]*)|<p>(?:<b>)?([^<]*)|<footer>([^<]*)'"
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def decoded(sql: str) -> str:
+    """SQL of a text from html: character references as characters, white space as one space, trimmed."""
+    for name, letter in ENTITIES:
+        sql = f"replace({sql}, '{name}', '{letter}')"
+    return rf"trim(regexp_replace({sql}, '\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, {PAGE_BLOCKS})) AS tag, {", ".join(f"unnest(regexp_extract_all(html, {PAGE_BLOCKS}, {g})) AS g{g}" for g in range(1, 7))}, unnest(range(1, len(regexp_extract_all(html, {PAGE_BLOCKS})) + 1)) AS n FROM pages),
+t AS (SELECT page_id, n, CASE WHEN tag LIKE '<title%' THEN 'title' WHEN tag LIKE '<li%' THEN 'item' WHEN tag LIKE '<h1%' THEN 'heading' ELSE 'paragraph' END AS kind, {decoded("concat(g1, g2, g3, g4, g5, g6)")} AS text FROM b)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) AS ord, kind, CASE WHEN kind = 'heading' THEN 1::BIGINT END AS level, CASE WHEN kind = 'item' THEN 0::BIGINT END AS depth, CASE WHEN kind = 'item' THEN false END AS ordered,
+  NULL::BIGINT AS row_idx, NULL::BIGINT AS cell_idx, NULL::VARCHAR AS callout_kind, text FROM t WHERE text <> ''""")
 def html_blocks(spark, sf_dir):
-    return H.read_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
+    return H.read_blocks(table(spark, sf_dir, "pages"), "page_id", "html").drop("runs")
 
 
 HOSTS = r"lower(regexp_extract(url, '//([^/:?#]*)', 1))"
@@ -550,15 +565,6 @@ def line_openers(spark, sf_dir):
     return rows.groupBy("lang", D.opener_class(F.col("line")).alias("opener")).agg(F.count("*").alias("lines"))
 
 
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-
-
-def decoded(sql: str) -> str:
-    for name, letter in ENTITIES:
-        sql = f"replace({sql}, '{name}', '{letter}')"
-    return rf"trim(regexp_replace({sql}, '\s+', ' ', 'g'))"
-
-
 PAGE_RUNS_SQL = rf"""
 WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '<b>([^<]*)', 1)) AS t, unnest(range(1, len(regexp_extract_all(html, '<b>([^<]*)', 1)) + 1)) AS n FROM pages),
 a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS t,
@@ -684,3 +690,47 @@ def table_fit(spark, sf_dir):
     """The first layout that holds for a table of each size of parts, with its widths."""
     layouts, _ = TF.fit_tables(fit_cells(spark, sf_dir), FIT)
     return layouts.select("table_id", "page", "size", "scale", "margin", "point", F.array_join(F.col("widths").cast("array<string>"), " ").alias("widths"))
+
+
+SPLICED_SQL = f"""
+WITH b AS (
+  SELECT CAST(page_id AS BIGINT) AS page, unnest([1, 2, 3, 4, 5, 6]) AS ord, unnest(['title', 'include', 'paragraph', 'include', 'include', 'include']) AS kind,
+    unnest([url, NULL, 'page ' || page_id, NULL, NULL, NULL]) AS text, unnest([NULL, page_id * 2 + 1, NULL, page_id * 2 + 2, page_id // 2, page_id + 1000000]) AS target FROM pages),
+n AS (SELECT DISTINCT page FROM b),
+e AS (SELECT page, target AS includes, lpad(CAST(ord AS VARCHAR), 6, '0') AS p FROM b WHERE kind = 'include' AND target IN (SELECT page FROM n)),
+r AS (
+  WITH RECURSIVE r AS (SELECT page AS root, includes AS page, 1 AS depth, [page, includes] AS path, p AS key FROM e WHERE page <> includes
+    UNION ALL SELECT root, e.includes, depth + 1, list_append(path, e.includes), key || '/' || p FROM r JOIN e ON r.page = e.page WHERE depth < 3 AND NOT list_contains(path, e.includes))
+  SELECT * FROM r),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root, page ORDER BY key) AS k FROM r) WHERE k = 1),
+i AS (SELECT root, page, depth, path, key FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY key) AS m FROM f) WHERE m <= 9 UNION ALL SELECT page, page, 0, [page], '' FROM n),
+o AS (SELECT i.root, i.page, i.depth, i.path, b.kind, b.text, b.target, CASE WHEN key = '' THEN '' ELSE key || '/' END || lpad(CAST(ord AS VARCHAR), 6, '0') AS at_ FROM i JOIN b ON b.page = i.page),
+x AS (
+  SELECT root, at_, page, depth, kind, text, NULL::BIGINT AS target FROM o WHERE kind = 'paragraph' OR (kind = 'title' AND depth = 0)
+  UNION ALL SELECT root, at_, page, depth, 'note', CASE WHEN target NOT IN (SELECT page FROM n) THEN 'missing' WHEN list_contains(path, target) THEN 'cycle'
+    WHEN EXISTS (SELECT 1 FROM i WHERE i.root = o.root AND i.page = o.target) THEN 'again' WHEN depth >= 3 THEN 'depth' ELSE 'most' END, target
+    FROM o WHERE kind = 'include' AND NOT EXISTS (SELECT 1 FROM i WHERE i.root = o.root AND i.key = o.at_ AND i.depth > 0)
+  UNION ALL SELECT root, key, page, depth, 'page_break', NULL, NULL FROM i WHERE depth > 0
+  UNION ALL SELECT root, key || '/', i.page, depth, 'heading', url, NULL FROM i JOIN pages ON page_id = i.page WHERE depth > 0)
+SELECT root, row_number() OVER (PARTITION BY root ORDER BY at_) AS position, page, CAST(depth AS BIGINT) AS depth, kind, text, target FROM x"""
+
+
+@query(SPLICED_SQL)
+def pages_spliced(spark, sf_dir):
+    """Pages that include others by rules on their ids, each with the others put in place, three deep and nine at most."""
+    parts = [("title", F.col("url"), None), ("include", None, F.col("page") * 2 + 1), ("paragraph", F.concat(F.lit("page "), F.col("page").cast("string")), None), ("include", None, F.col("page") * 2 + 2), ("include", None, F.floor(F.col("page") / 2)), ("include", None, F.col("page") + 1_000_000)]
+    null = lambda c, kind: (F.lit(None) if c is None else c).cast(kind)
+    each = F.posexplode(F.array(*[F.struct(F.lit(k).alias("kind"), null(t, "string").alias("text"), null(to, "long").alias("target")) for k, t, to in parts])).alias("ord", "b")
+    blocks = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page"), "url").select("page", each).select("page", (F.col("ord") + 1).alias("ord"), "b.*")
+    return B.spliced_pages(blocks, 3, 9)
+
+
+ORDER_LINES = "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, CASE WHEN o_orderstatus = 'F' THEN repeat(' ', o_orderkey % 3) ELSE o_orderpriority END AS line FROM orders"
+
+
+@query(RUNS_SQL.replace(LINES, ORDER_LINES).replace("doc_id", "o_custkey"))
+def blank_runs_of_orders(spark, sf_dir):
+    """Runs of blank lines in lists of each customer's orders, where filled orders are blank."""
+    line = F.when(F.col("o_orderstatus") == "F", F.repeat(F.lit(" "), (F.col("o_orderkey") % 3).cast("int"))).otherwise(F.col("o_orderpriority"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("ord"), line.alias("line"))
+    return S.blank_runs(rows, "o_custkey")

@@ -88,3 +88,60 @@ def test_blank_runs_and_shares(spark):
     assert [(r["run_no"], r["length"]) for r in S.blank_runs(lines).orderBy("run_no").collect()] == [(1, 2), (2, 1)]
     top = S.top_shares(spark.createDataFrame([("x",), ("x",), ("y",), ("z",)], "v string"), "v", n=2).orderBy("rank").collect()
     assert [(r["v"], r["count"], r["share"]) for r in top] == [("x", 2, 0.5), ("y", 1, 0.25)]
+
+
+def test_pages_spliced_against_plain_python(spark):
+    """Random inclusions: what stands in place of each, against a walk over the first paths."""
+
+    import random
+
+    rng = random.Random(5)
+    pages = list(range(12))
+    rows = []
+    for p in pages:
+        rows.append((p, 1, "title", f"title {p}", None) if p % 4 else (p, 1, "paragraph", f"untitled {p}", None))
+        for o in range(2, 2 + rng.randrange(5)):
+            rows.append((p, o, "include", None, rng.choice([*pages, 99, None])) if rng.random() < 0.6 else (p, o, "paragraph", f"{p}.{o}", None))
+    of = {p: sorted(r[1:] for r in rows if r[0] == p) for p in pages}
+    title = {p: next((t for _, k, t, _ in of[p] if k == "title"), str(p)) for p in pages}
+
+    def first_paths(root, depth, most):
+        found, level = {}, [((), (root,))]
+        for _ in range(depth):
+            level = [(key + (o,), path + (to,)) for key, path in level for o, k, _, to in of[path[-1]] if k == "include" and to in of and to not in path]
+            best = {}
+            for key, path in level:
+                best[path[-1]] = min(best.get(path[-1], (key, path)), (key, path))
+            level = list(best.values())
+            for key, path in level:
+                found[path[-1]] = min(found.get(path[-1], (key, path)), (key, path))
+        return dict(sorted(found.items(), key=lambda x: x[1][0])[:most])
+
+    def build(root, depth, most):
+        put = first_paths(root, depth, most)
+
+        def walk(page, key, path):
+            for o, kind, text, to in of[page]:
+                at = key + (o,)
+                if kind != "include":
+                    if not (kind == "title" and key):
+                        yield page, len(key), kind, text, None
+                elif to in put and put[to][0] == at:
+                    yield to, len(at), "page_break", None, None
+                    yield to, len(at), "heading", title[to], None
+                    yield from walk(to, at, path + (to,))
+                else:
+                    why = "missing" if to not in of else "cycle" if to in path else "again" if to in put else "depth" if len(key) >= depth else "most"
+                    yield page, len(key), "note", why, to
+
+        return list(walk(root, (), (root,)))
+
+    df = spark.createDataFrame(rows, "page long, ord int, kind string, text string, target long")
+    for depth, most in ((1, 40), (3, 40), (4, 3)):
+        got = {}
+        for r in B.spliced_pages(df, depth, most).orderBy("root", "position").collect():
+            got.setdefault(r["root"], []).append(tuple(r)[2:])
+        assert got == {p: build(p, depth, most) for p in pages}
+    some = B.spliced_pages(df, 3, 40, spark.createDataFrame([(3,), (4,)], "page long")).collect()
+    assert {r["root"] for r in some} == {3, 4} and len(some) == sum(len(build(p, 3, 40)) for p in (3, 4))
+    assert B.spliced_pages(df.limit(0)).count() == 0
