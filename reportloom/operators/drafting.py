@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import facts as K
+from ..functions import hangul as G
 from ..functions import text as T
+from ..functions.text import let
+from .facts import line_problems
 
 ANSWER = "title string, lines array<struct<m:string,text:string,src:array<int>,rows:array<array<string>>>>, dropped array<int>"
 MARKS = ("1", "□", "-", "∙", "→", "※", "*")
@@ -91,3 +95,93 @@ def align_labels(lines: DataFrame, keys: list[str]) -> DataFrame:
 def length_ratio(drafts: DataFrame, text: str, source: str) -> Column:
     """Visible characters of a draft over those of its source, rounded to three places."""
     return F.bround(F.try_divide(T.width_without_spaces(F.col(text)), T.width_without_spaces(F.col(source))), 3)
+
+
+#: A line that restates so much of its section's title says nothing new; characters of a summary at most.
+ECHO, MOST_SUMMARY = 0.6, 60
+
+
+def best_overlap(rows: DataFrame, targets: DataFrame, scope: list[str], row_id: str, target_id: str, tokens: str = "tokens", least: int = 1) -> DataFrame:
+    """Each row with the one target of its scope that shares most tokens with it: scope, row_id, target_id, overlap.
+
+    ``rows`` and ``targets`` hold arrays of tokens. Both meet by token within their scope (a document, a table), and
+    shared tokens are counted by pair. Where several targets share as many, or none shares ``least``, the target is null.
+    Repeated tokens count once; rows of one id are one row.
+    """
+    spread = lambda df, key: df.select(*scope, key, F.explode(tokens).alias("__token")).distinct()
+    shared = spread(rows, row_id).join(spread(targets, target_id), [*scope, "__token"]).groupBy(*scope, row_id, target_id).agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
+    level = shared.groupBy(*scope, row_id, "overlap").agg(F.count("*").alias("__n"), F.min(target_id).alias(target_id))
+    best = level.groupBy(*scope, row_id).agg(F.max(F.struct("overlap", "__n", target_id)).alias("__b"))
+    met = rows.select(*scope, row_id).distinct().join(best, [*scope, row_id], "left")
+    return met.select(*scope, row_id, F.when(F.col("__b.__n") == 1, F.col(f"__b.{target_id}")).alias(target_id), F.coalesce("__b.overlap", F.lit(0)).cast("long").alias("overlap"))
+
+
+def echo_share(title: Column, text: Column) -> Column:
+    """The share of a title's stems that a text has; null for a title without stems."""
+    own = K.stems(T.filled(title))
+    return F.try_divide(F.size(F.array_intersect(own, K.stems(T.filled(text)))), F.size(own))
+
+
+def drop_echoes(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines without those right below a section's title that only restate it: ``ECHO`` of its stems, no number, and a
+    further line in the section."""
+    w = Window.partitionBy(*keys).orderBy("line_no")
+    title = F.lag(F.when(F.col("mark") == "1", F.col("text"))).over(w)
+    more = F.coalesce(F.lead("mark").over(w) != "1", F.lit(False))
+    echo = (F.col("mark") != "1") & (echo_share(title, F.col("text")) >= ECHO) & (F.size(K.numbers(F.col("text"))) == 0) & more
+    return lines.withColumn("__echo", F.coalesce(echo, F.lit(False))).where("not __echo").drop("__echo")
+
+
+def problems_of(text: Column, source: Column, year: int, summary: Column | None = None) -> Column:
+    """What is wrong with a line: facts that its source does not bear out, hard faults of style, too long a summary; as
+    (kind, shown)."""
+    shown = lambda kind, what: F.struct(kind.alias("kind"), what.alias("shown"))
+    facts = F.transform(line_problems(text, source, year), lambda p: shown(p["kind"], p["shown"]))
+    style = F.transform(G.hard_issues(text), lambda i: shown(F.concat(F.lit("style:"), i["kind"]), F.lit("")))
+    long = F.when(F.char_length(text) > MOST_SUMMARY, F.array(shown(F.lit("long"), F.lit("")))).otherwise(F.array().cast("array<struct<kind:string,shown:string>>"))
+    return F.concat(facts, style, F.when(summary, long).otherwise(F.array().cast("array<struct<kind:string,shown:string>>")) if summary is not None else F.array().cast("array<struct<kind:string,shown:string>>"))
+
+
+def review(lines: DataFrame, keys: list[str], year: int) -> DataFrame:
+    """The problems of a rewrite as rows: keys, line_no, kind, shown. ``lines``: keys, line_no, text, source (the text of the
+    sentences that a line cites; null for none)."""
+    found = lines.select(*keys, "line_no", F.explode(problems_of(F.col("text"), T.filled(F.col("source")), year)).alias("p"))
+    return found.select(*keys, "line_no", "p.kind", "p.shown")
+
+
+def mended(lines: DataFrame, keys: list[str], year: int, summaries: str | None = None) -> DataFrame:
+    """``lines`` with texts that can be answered for, and ``action``, ``problems`` (kinds that stay, in order).
+
+    A line without problems is ``kept``. Else its style is mended by rule, and if nothing is wrong then, it is ``fixed``.
+    Else it is ``restored``: the sentences that it cites, by rule in report style. A line that cites none, and a summary
+    (where the column ``summaries`` is true), is ``dropped`` instead: its text becomes null. What comes out is checked
+    again; a restored line may keep faults that its source has itself.
+    """
+    summary = F.coalesce(F.col(summaries), F.lit(False)) if summaries else F.lit(False)
+    kinds = lambda t, s, y: F.transform(problems_of(t, s, year, y), lambda p: p["kind"])
+
+    def chosen(x: Column) -> Column:
+        out = lambda action, text, left: F.struct(F.lit(action).alias("action"), text.alias("text"), left.alias("problems"))
+        none = F.array().cast("array<string>")
+        fixed = let(G.style_fix(x["text"]), lambda t: F.struct(t.alias("text"), kinds(t, x["source"], x["summary"]).alias("left")))
+        whole = let(G.formal_text(K.notation(x["source"]), True), lambda t: F.struct(t.alias("text"), kinds(t, x["source"], x["summary"]).alias("left")))
+        lost = (x["source"] == "") | x["summary"]
+        again = F.when(lost, out("dropped", F.lit(None).cast("string"), x["found"])).otherwise(let(whole, lambda w: out("restored", w["text"], w["left"])))
+        return F.when(F.size(x["found"]) == 0, out("kept", x["text"], none)).otherwise(let(fixed, lambda f: F.when(F.size(f["left"]) == 0, out("fixed", f["text"], none)).otherwise(again)))
+
+    given = F.struct(T.filled(F.col("text")).alias("text"), T.filled(F.col("source")).alias("source"), summary.alias("summary"), kinds(T.filled(F.col("text")), T.filled(F.col("source")), summary).alias("found"))
+    return lines.withColumn("__m", let(given, chosen)).withColumns({"text": F.col("__m.text"), "action": F.col("__m.action"), "problems": F.col("__m.problems")}).drop("__m")
+
+
+def residue(sentences: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Sentences that no line cites, with the numbers that only they hold: keys, sent_no, text, numbers.
+
+    ``sentences``: keys, sent_no, text; ``lines``: keys, text, src. Lines without a text cite nothing.
+    """
+    live = lines.where("text is not null")
+    cited = live.select(*keys, F.explode("src").cast("long").alias("sent_no")).distinct()
+    left = sentences.withColumn("sent_no", F.col("sent_no").cast("long")).join(cited, [*keys, "sent_no"], "left_anti")
+    said = live.select(*keys, F.explode(K.numbers(F.col("text"))).alias("number")).distinct()
+    numbers = left.select(*keys, "sent_no", F.explode(K.numbers(F.col("text"))).alias("number")).join(said, [*keys, "number"], "left_anti")
+    kept = numbers.groupBy(*keys, "sent_no").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    return left.join(kept, [*keys, "sent_no"], "left").withColumn("numbers", F.coalesce("numbers", F.array().cast("array<string>")))

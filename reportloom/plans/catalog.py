@@ -12,6 +12,7 @@ from ..functions import facts as K
 from ..functions import measure as M
 from ..functions import runs as R
 from ..functions import text as T
+from ..operators import drafting as DR
 from ..operators import facts as O
 from ..operators import flow as FL
 from ..operators import stats as S
@@ -734,3 +735,43 @@ def blank_runs_of_orders(spark, sf_dir):
     line = F.when(F.col("o_orderstatus") == "F", F.repeat(F.lit(" "), (F.col("o_orderkey") % 3).cast("int"))).otherwise(F.col("o_orderpriority"))
     rows = table(spark, sf_dir, "orders").select("o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("ord"), line.alias("line"))
     return S.blank_runs(rows, "o_custkey")
+
+
+TOKENS_SQL = "list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{4,}'), lambda w: lower(w)))"
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, role, {TOKENS_SQL} AS w FROM conversations),
+a AS (SELECT DISTINCT conv_id, turn AS answer FROM t WHERE role = 'assistant'),
+p AS (SELECT x.conv_id, x.turn AS answer, y.turn AS question, len(list_intersect(x.w, y.w)) AS overlap FROM t x JOIN t y ON x.conv_id = y.conv_id WHERE x.role = 'assistant' AND y.role = 'user' AND len(list_intersect(x.w, y.w)) >= 2),
+b AS (SELECT conv_id, answer, max(overlap) AS overlap FROM p GROUP BY 1, 2),
+n AS (SELECT p.conv_id, p.answer, count(*) AS n, min(question) AS question FROM p JOIN b ON p.conv_id = b.conv_id AND p.answer = b.answer AND p.overlap = b.overlap GROUP BY 1, 2)
+SELECT a.conv_id, a.answer, CASE WHEN n = 1 THEN question END AS question, CAST(coalesce(b.overlap, 0) AS BIGINT) AS overlap FROM a LEFT JOIN b USING (conv_id, answer) LEFT JOIN n USING (conv_id, answer)""")
+def answers_assigned(spark, sf_dir):
+    """Each answer of a conversation with the question that shares most words with it; ties and weak ones with none."""
+    tokens = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{4,}"), F.lit(0)), F.lower)
+    turns = table(spark, sf_dir, "conversations").withColumn("tokens", tokens)
+    answers = turns.where("role = 'assistant'").withColumnRenamed("turn", "answer")
+    return DR.best_overlap(answers, turns.where("role = 'user'").withColumnRenamed("turn", "question"), ["conv_id"], "answer", "question", least=2)
+
+
+DRAFTS = (
+    # line, source, action, text, problems that stay
+    ("{k}번 주문 상자 {a}개", "{k}번 주문은 상자 {a}개입니다.", "kept", "{k}번 주문 상자 {a}개", ""), ("{k}번 주문 상자 {b}개", "{k}번 주문의 상자 {a}개를 점검하였습니다.", "restored", "{k}번 주문의 상자 {a}개 점검", ""),
+    ("{k}번 주문의 상자를 옮겼습니다", "{k}번 주문의 상자를 옮겼습니다.", "fixed", "{k}번 주문의 상자를 옮겼음", ""), ("{k}번 주문 배송비 {b}억원", None, "dropped", None, "money,number"), (None, "{k}번 주문", "kept", "", ""),
+)
+
+
+def drafts_sql() -> str:
+    names = cases.NAMES["orders"]
+    pick = lambda i: f"CASE o_orderkey % {len(DRAFTS)} " + " ".join(f"WHEN {j} THEN {cases.spelled(d[i], names)}" for j, d in enumerate(DRAFTS)) + " END"
+    return f"SELECT o_orderkey, {pick(2)} AS action, {pick(3)} AS text, {pick(4)} AS problems FROM orders"
+
+
+@query(drafts_sql())
+def drafts_mended(spark, sf_dir):
+    """Lines of drafts about orders against their sources: kept, mended by rule, restored or dropped."""
+    names = cases.NAMES["orders"]
+    pick = lambda i, name: F.expr(f"CASE o_orderkey % {len(DRAFTS)} " + " ".join(f"WHEN {j} THEN {cases.spelled(d[i], names)}" for j, d in enumerate(DRAFTS)) + " END").alias(name)
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).alias("line_no"), pick(0, "text"), pick(1, "source"))
+    return DR.mended(lines, ["o_orderkey"], 2026).select("o_orderkey", "action", "text", F.array_join("problems", ",").alias("problems"))

@@ -158,12 +158,12 @@ def test_fit_against_a_plain_search(spark):
 def test_spans_alignment_and_even_cells(spark):
     rules = TF.Rules(sizes=(12 * PT, 9 * PT), scales=(1.0, 0.9), most_lines=3, uniform=True, list_marks=("-",), header_lines=1)
     rows = [("구분", "배송 수량(단위: 개)", True), ("가", "- 하나", False), ("나", "1\n2\n3\n4", False)]
-    cells = [(1, r, k, k, 1, head, text, None, 900_000) for r, (*texts, head) in enumerate(rows) for k, text in enumerate(texts)]
-    cells += [(1, 3, 0, 0, 2, False, "둘에 걸친 칸", "center", 900_000)]
+    cells = [(1, r, k, k, 1, head, text, None, 1_600_000) for r, (*texts, head) in enumerate(rows) for k, text in enumerate(texts)]
+    cells += [(1, 3, 0, 0, 2, False, "둘에 걸친 칸", "center", 1_600_000)]
     df = spark.createDataFrame(cells, "table_id long, row_idx long, cell_idx long, grid_col long, colspan int, is_header boolean, text string, align string, available long")
     layouts, looks = TF.fit_tables(df, rules)
     r = layouts.first()
-    assert sum(r["widths"]) == 900_000 and not r["overflow"]
+    assert sum(r["widths"]) == 1_600_000 and not r["overflow"]
     got = {(x["row_idx"], x["cell_idx"]): x for x in looks.collect()}
     assert [got[k]["cell_align"] for k in ((0, 0), (0, 1), (1, 0), (1, 1), (2, 1), (3, 0))] == [None, None, "left", "left", "left", None]
     assert {got[k]["cell_scale"] for k in ((1, 0), (1, 1), (2, 0), (2, 1))} != {None}
