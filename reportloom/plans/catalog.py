@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..operators import drafting as DR
 from ..operators import facts as O
 from ..operators import flow as FL
+from ..operators import line_fit as LF
 from ..operators import stats as S
 from ..operators import structure as B
 from ..operators import table_fit as TF
@@ -22,6 +23,7 @@ from ..operators import tables as TB
 from ..sources import html as H
 from ..sources import text_files as X
 from . import cases
+from . import profiles as PF
 
 FLAGSHIP = "ending_class_topk"
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -775,3 +777,53 @@ def drafts_mended(spark, sf_dir):
     pick = lambda i, name: F.expr(f"CASE o_orderkey % {len(DRAFTS)} " + " ".join(f"WHEN {j} THEN {cases.spelled(d[i], names)}" for j, d in enumerate(DRAFTS)) + " END").alias(name)
     lines = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).alias("line_no"), pick(0, "text"), pick(1, "source"))
     return DR.mended(lines, ["o_orderkey"], 2026).select("o_orderkey", "action", "text", F.array_join("problems", ",").alias("problems"))
+
+
+LINE_RULES = LF.LineRules(size=152_400, first=2_000_000, later=1_700_000, closer=12_700, cut_behind=",")
+LINE_FIT_SQL = """
+WITH RECURSIVE p AS (SELECT p_partkey, array_to_string(list_transform(range(1 + p_partkey % 9), lambda i: p_name), ', ') AS t FROM part),
+e AS (SELECT *, len(t) AS n, list_filter(range(1, len(t) + 1), lambda i: i = len(t) OR t[i + 1] = ' ') AS ends FROM p),
+step AS (
+  SELECT p_partkey, t, n, ends, 0::BIGINT AS line_no, 0::BIGINT AS start, 0::BIGINT AS stop, 0::BIGINT AS steps FROM e
+  UNION ALL
+  SELECT p_partkey, t, n, ends, line_no + 1, pos, stop, CASE WHEN stop = best THEN greatest(0, CAST(ceil(((stop - pos) * 76200.0 - room) / (stop - pos) / 1270 - 1e-9) AS BIGINT)) ELSE 0 END FROM (
+    SELECT *, CASE WHEN best IS NULL THEN least(n, pos + greatest(1, CAST(floor(room / 76200) AS BIGINT))) WHEN comma < best AND best < n AND comma - pos >= 0.5 * (best - pos) THEN comma ELSE best END AS stop FROM (
+      SELECT *, list_max(list_filter(ends, lambda i: i > pos AND (i - pos) * 76200.0 - room <= 12700 * (i - pos))) AS best,
+        list_max(list_filter(ends, lambda i: i > pos AND (i - pos) * 76200.0 <= room AND t[i] = ',')) AS comma FROM (
+        SELECT p_partkey, t, n, ends, line_no, stop + CASE WHEN t[stop + 1] = ' ' THEN 1 ELSE 0 END AS pos, CASE WHEN line_no = 0 THEN 2000000.0 ELSE 1700000.0 END AS room FROM step WHERE stop < n))))
+SELECT p_partkey, line_no, start, stop AS "end", steps FROM step WHERE line_no > 0"""
+
+
+@query(LINE_FIT_SQL)
+def line_fit(spark, sf_dir):
+    """Lists of a part's name cut into lines: closer letters where that saves a word, cuts behind commas."""
+    text = F.array_join(F.array_repeat("p_name", (1 + F.col("p_partkey") % 9).cast("int")), ", ")
+    fitted = LF.with_lines(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "text", LINE_RULES)
+    rows = fitted.select("p_partkey", F.posexplode("lines").alias("n", "line"))
+    return rows.select("p_partkey", (F.col("n") + 1).cast("long").alias("line_no"), F.col("line.start").cast("long").alias("start"), F.col("line.end").cast("long").alias("end"), F.col("line.steps").cast("long").alias("steps"))
+
+
+PROFILES_SQL = """
+WITH RECURSIVE p AS (SELECT c_custkey AS name, CASE WHEN c_custkey = 0 THEN NULL WHEN c_custkey % 100 = 7 THEN c_custkey + 1 WHEN c_custkey % 100 = 8 THEN c_custkey - 1 WHEN c_custkey % 100 = 9 THEN -1 ELSE c_custkey // 3 END AS extends, c_nationkey FROM customer),
+c AS (
+  SELECT name, name AS ancestor, 0 AS depth, [name] AS path, NULL::VARCHAR AS problem FROM p
+  UNION ALL
+  SELECT c.name, p.extends, depth + 1, list_append(path, p.extends), CASE WHEN list_contains(path, p.extends) THEN 'cycle' WHEN p.extends NOT IN (SELECT c_custkey FROM customer) THEN 'missing' END
+  FROM c JOIN p ON p.name = c.ancestor WHERE problem IS NULL AND p.extends IS NOT NULL),
+bad AS (SELECT name, max(problem) AS problem FROM c WHERE problem IS NOT NULL GROUP BY name),
+said AS (
+  SELECT c.name, depth, unnest(['page.width', 'page.margin', 'fonts.n' || c_nationkey % 4, 'levels']) AS path, unnest([CAST(ancestor AS VARCHAR), CASE WHEN ancestor % 2 = 0 THEN CAST(ancestor % 50 AS VARCHAR) END, '"' || c_nationkey || '"', CASE WHEN ancestor % 5 = 0 THEN '[' || ancestor || ', 1]' END]) AS value
+  FROM c JOIN p ON p.name = c.ancestor WHERE c.name NOT IN (SELECT name FROM bad))
+SELECT name, path, min_by(value, depth) AS value, NULL AS problem FROM said WHERE value IS NOT NULL GROUP BY name, path
+UNION ALL SELECT name, NULL, NULL, problem FROM bad"""
+
+
+@query(PROFILES_SQL)
+def profiles_resolved(spark, sf_dir):
+    """Profiles that extend each other by rules on customers' keys, with some cycles and missing ones, resolved as rows."""
+    key, text = F.col("c_custkey"), lambda c: c.cast("string")
+    extends = F.when(key == 0, None).when(key % 100 == 7, key + 1).when(key % 100 == 8, key - 1).when(key % 100 == 9, -1).otherwise(F.floor(key / 3))
+    margin = F.when(key % 2 == 0, F.concat(F.lit(', "margin": '), text(key % 50))).otherwise("")
+    levels = F.when(key % 5 == 0, F.concat(F.lit(', "levels": ['), text(key), F.lit(", 1]"))).otherwise("")
+    body = F.concat(F.lit('{"page": {"width": '), text(key), margin, F.lit('}, "fonts": {"n'), text(F.col("c_nationkey") % 4), F.lit('": "'), text(F.col("c_nationkey")), F.lit('"}'), levels, F.lit("}"))
+    return PF.profile_rows(table(spark, sf_dir, "customer").select(key.alias("name"), extends.cast("long").alias("extends"), body.alias("body")))
