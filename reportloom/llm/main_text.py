@@ -46,7 +46,9 @@ HEAD_WORDS = frozenset("header head".split())
 MAIN_WORDS = frozenset("article main content post entry story".split())
 WORD = re.compile(r"[A-Za-z][a-z]*|\d+")
 #: Smoothness weights, and the most (in log-odds) that a block's form and the elements around it can say.
-NEXT_WEIGHT, PARENT_WEIGHT, MOST_FORM, MOST_EVIDENCE = 0.6, 1.0, 4.0, 6.0
+NEXT_WEIGHT, PARENT_WEIGHT, MOST_FORM, MOST_EVIDENCE = 1.0, 2.0, 4.0, 6.0
+#: What is left of an edge's weight where one block is within an outer element and the other is not.
+CONTRAST = 0.5
 #: Evidence before learning: outer tag, outer word, main tag, main word.
 FIRST_EVIDENCE = np.array([-5.0, -5.0, 5.0, 5.0])
 
@@ -210,7 +212,8 @@ def fit_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     fixed pseudo-random order.
 
     Blocks within main elements and outside any outer one count as content, blocks within outer elements as
-    boilerplate, others not at all. The form is fitted alone, then the evidence on top of it; as the labels come from
+    boilerplate, others not at all. The form is fitted alone, on each block with and without its tag, so that pages of
+    plain divisions have costs by words, links and marks; then the evidence on top of it; as the labels come from
     that evidence, a kind of evidence that the sample shows gets a weight near its bound, one that it lacks keeps
     ``FIRST_EVIDENCE``. Without both classes, the form says nothing.
     """
@@ -228,7 +231,9 @@ def fit_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     if not len(y) or y.min() == y.max():
         return np.concatenate([np.zeros(9), FIRST_EVIDENCE])
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
-    form = fit_logistic(np.array(forms), y, weight, ridge=1.0)
+    blind = np.array(forms)
+    blind[:, 3:6] = 0.0
+    form = fit_logistic(np.vstack([forms, blind]), np.tile(y, 2), np.tile(weight, 2) / 2, ridge=1.0)
     signs = np.array(signs, float)
     known = form_odds(np.array(forms), form) + signs @ FIRST_EVIDENCE
     learned = FIRST_EVIDENCE + fit_logistic(signs, y, weight, ridge=1.0, known=known)
@@ -298,6 +303,7 @@ def extract(html: str, weights: np.ndarray) -> str:
     edges: dict[int, dict[int, float]] = {i: {} for i in range(len(blocks))}
 
     def join(i: int, j: int, w: float) -> None:
+        w *= 1.0 if blocks[i].outer == blocks[j].outer else CONTRAST
         edges[i][j] = edges[i].get(j, 0.0) + w
         edges[j][i] = edges[j].get(i, 0.0) + w
 
