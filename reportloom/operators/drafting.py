@@ -179,7 +179,7 @@ def residue(sentences: DataFrame, lines: DataFrame, keys: list[str]) -> DataFram
     ``sentences``: keys, sent_no, text; ``lines``: keys, text, src. Lines without a text cite nothing.
     """
     live = lines.where("text is not null")
-    cited = live.select(*keys, F.explode("src").cast("long").alias("sent_no")).distinct()
+    cited = live.select(*keys, F.explode(F.col("src").cast("array<bigint>")).alias("sent_no")).distinct()
     left = sentences.withColumn("sent_no", F.col("sent_no").cast("long")).join(cited, [*keys, "sent_no"], "left_anti")
     said = live.select(*keys, F.explode(K.numbers(F.col("text"))).alias("number")).distinct()
     numbers = left.select(*keys, "sent_no", F.explode(K.numbers(F.col("text"))).alias("number")).join(said, [*keys, "number"], "left_anti")
