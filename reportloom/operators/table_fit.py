@@ -160,7 +160,18 @@ def fit_tables(cells: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     points, steps = rules.points(), rules.steps()
     at = tables.withColumn("__points", let(F.struct("least", "wished", "notes", "spanned", "available"), lambda x: lattice(rules, x)))
     met = own.where("not (is_header and __has_body)").join(at.select("table_id", "__points"), "table_id")
-    holds = lambda p: F.when(p["widths"].isNull(), False).otherwise(F.forall("__lines", lambda t: wrapped(t, p["letter"], span_width(p["widths"])) <= rules.most_lines))
+    # a line that fits as it is needs no look, nor does one that its lines cannot hold even with a space lost at each end
+    met = met.withColumn("__wide", most_of(F.col("__lines"), lambda t: M.text_width(t, 1)))
+    wraps = lambda letter, room: F.forall("__lines", lambda t: wrapped(t, letter, room) <= rules.most_lines)
+
+    def holds(p: Column) -> Column:
+        def told_by(x: Column) -> Column:
+            wide = F.col("__wide") * p["letter"]
+            over = wide - rules.most_lines * (x + 0.5 * p["letter"])
+            return F.when(wide <= x, True).when((x > 0) & (over > 1), False).otherwise(wraps(p["letter"], x))
+
+        return F.when(p["widths"].isNull(), False).otherwise(let(span_width(p["widths"]), told_by))
+
     bits = F.aggregate("__points", F.lit(0).cast("long"), lambda m, p: F.when(holds(p), m.bitwiseOR(F.pow(F.lit(2), p["idx"]).cast("long"))).otherwise(m))
     every = F.lit((1 << len(points)) - 1).cast("long")
     told = met.withColumn("__bits", F.when(F.col("__note"), every).otherwise(bits) if rules.most_lines else every).groupBy("table_id").agg(F.bit_and("__bits").alias("__bits"))
