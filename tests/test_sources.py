@@ -77,6 +77,13 @@ def test_html_blocks(spark):
     assert [(r["kind"], r["text"], r["depth"]) for r in rows] == [("heading", "제목", None), ("paragraph", "글 굵게", None), ("paragraph", "다음", None), ("item", "하나", 0), ("item", "둘", 1), ("cell", "a", None), ("cell", "b", None)]
 
 
+def test_html_references_end_with_a_semicolon(spark):
+    page = "<title>a &amp;&amp b &am</title><p>&lt;x&gt; &copy 1 &amp;lt; &#65; &#65 &ampx; &</p><a href='?a=1&copy=2'>c &nosuch; &quot;</a>"
+    rows = H.read_blocks(spark.createDataFrame([(1, page)], "page_id long, html string"), "page_id", "html").orderBy("ord").collect()
+    assert [r["text"] for r in rows] == ["a &&amp b &am", "<x> &copy 1 &lt; A &#65 &ampx; &", 'c &nosuch; "']
+    assert rows[2]["runs"][0]["href"] == "?a=1&copy=2"
+
+
 def test_watch_converts_each_file_once(spark, tmp_path):
     source, sink, memory = (str(tmp_path / d) for d in ("in", "out", "memory"))
     (tmp_path / "in").mkdir()
