@@ -6,7 +6,9 @@
    where the first is itself. So no pair is made, and a group is an aggregate that is summed within tasks.
 3. Insertions and deletions: each word's shortened forms meet the vocabulary. What is found for the longer word and
    for the shorter one is summed up in two aggregates.
-4. A word's form is its commonest near word, if that is ``TIMES`` times as frequent. Forms are far more frequent than
+4. All joins are of two tables of words, which grow with the corpus: both sides are dealt and sorted, never sent whole
+   through the driver (``shuffled``).
+5. A word's form is its commonest near word, if that is ``TIMES`` times as frequent. Forms are far more frequent than
    their words, so following them ends; roots are found by doubling the step until no word moves.
 """
 
@@ -64,6 +66,12 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_COUNT}")
 
 
+def shuffled(words: DataFrame) -> DataFrame:
+    """``words`` as a side of a sort-merge join, however small its files look: a table under Spark's limit for broadcasts
+    in compressed bytes takes many times as much of the driver."""
+    return words.hint("merge")
+
+
 def first_of(word: str, n: str) -> Column:
     """The aggregate that finds the commonest word, ties by code-point order, as a struct (minus, word)."""
     return F.min(F.struct((-F.col(n)).alias("minus"), F.col(word).alias("word")))
@@ -77,7 +85,7 @@ def replacements(words: DataFrame) -> DataFrame:
     # a group has a word for each letter at the most, so its array is as small
     members = F.collect_list(F.struct((-F.col("n")).alias("minus"), "word"))
     groups = keyed.groupBy(*key).agg(F.count("*").alias("size"), F.slice(F.sort_array(members), 1, 2).alias("top")).where("size > 1")
-    met = keyed.join(groups, key)
+    met = keyed.join(shuffled(groups), key)
     other = F.when(F.col("top")[0]["word"] == F.col("word"), F.col("top")[1]).otherwise(F.col("top")[0])
     return met.groupBy("word").agg(F.sum(F.col("size") - 1).alias("n_near"), F.min(other).alias("best"))
 
@@ -86,7 +94,7 @@ def indels(words: DataFrame) -> DataFrame:
     """Columns word, n_near, best: the words of the vocabulary that one deletion turns a word into, or that turn into it."""
     shorter = F.explode(F.array_distinct(F.expr("transform(sequence(1, length(word)), i -> concat(substr(word, 1, i - 1), substr(word, i + 1)))"))).alias("short")
     vocabulary = words.select(F.col("word").alias("short"), F.col("n").alias("short_n"))
-    links = written(words.where(f"length(word) > {LEAST_CHARS}").select("word", "n", shorter).join(vocabulary, "short"))
+    links = written(words.where(f"length(word) > {LEAST_CHARS}").select("word", "n", shorter).join(shuffled(vocabulary), "short"))
     down = links.groupBy("word").agg(F.count("*").alias("n_near"), first_of("short", "short_n").alias("best"))
     up = links.groupBy(F.col("short").alias("word")).agg(F.count("*").alias("n_near"), first_of("word", "n").alias("best"))
     return down.unionByName(up)
@@ -97,7 +105,7 @@ def roots_of(forms: DataFrame) -> DataFrame:
     steps = written(forms.select("word", F.col("form").alias("root")))
     while True:
         ends = steps.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = written(steps.join(ends, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        moved = written(steps.join(shuffled(ends), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         dropped(steps)
         if moved.where("moved").isEmpty():
             return moved.select("word", "root")
@@ -118,6 +126,6 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = written(word_counts(docs, id_col, text_col))
     near = replacements(words).unionByName(indels(words)).groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
     enough = -F.col("best.minus") >= TIMES * F.col("n")
-    with_form = written(words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.word")).alias("form"), F.when(enough, -F.col("best.minus")).alias("form_n")))
+    with_form = written(words.join(shuffled(near), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.word")).alias("form"), F.when(enough, -F.col("best.minus")).alias("form_n")))
     roots = roots_of(with_form.where("form is not null"))
-    return with_form.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return with_form.join(shuffled(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

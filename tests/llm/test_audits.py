@@ -194,3 +194,11 @@ def test_audits_of_megabytes(spark):
     assert (r["n_words"], r["n_repeat_words"], r["base_failed"], r["kept"]) == (300_000, 300_000, True, False)
     assert sorted((r["word"], r["form"] or "", r["root"], r["n"], r["n_near"], r["form_n"] or 0) for r in variants.spelling_variants(df).collect()) == plain_variants(rows)
     assert divergence.source_divergence(df).where("part = 'pair'").count() == 2
+
+
+def test_variants_broadcast_nothing(spark):
+    rows = [(i, "kleiner Garten kleinet Gärten grosses Garden " * 6) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (variants.spelling_variants(docs), variants.replacements(variants.word_counts(docs))):
+        part.collect()
+        assert "Broadcast" not in part._jdf.queryExecution().executedPlan().toString()
