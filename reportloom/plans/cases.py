@@ -103,6 +103,8 @@ cases("formal_endings", "orders", [
 cases("formal_noun_endings", "orders", [
     ("{k}번 주문을 재배정하였습니다.", "{k}번 주문 재배정"), ("{k}번 주문의 포장 공정을 증설할 예정입니다.", "{k}번 주문의 포장 공정 증설 예정"), ("{k}번 주문은 현재 배송 중입니다.", "{k}번 주문은 현재 배송 중"),
     ("{k}번 주문의 반품을 접수해야 합니다.", "{k}번 주문의 반품 접수 필요"), ("{k}번 주문의 창고 점검이 완료되었습니다.", "{k}번 주문의 창고 점검 완료"), ("{k}번 주문의 남은 상자를 줄였습니다.", "{k}번 주문의 남은 상자를 줄였음"),
+    ("{k}번 주문의 지연 문제가 지속적으로 발생하였습니다.", "{k}번 주문의 지연 문제 지속 발생"), ("{k}번 주문에 사용하지 않는 상자 {a}개를 제거했습니다.", "{k}번 주문에 사용하지 않는 상자 {a}개 제거"), ("{k}번 주문의 측정 기준은 운영 로그입니다.", "{k}번 주문의 측정 기준은 운영 로그"), ("{k}번 주문의 미흡 사항은 4분기 과제로 이관합니다.", "{k}번 주문의 미흡 사항은 4분기 과제로 이관"),
+    ("{k}번 주문은 추가 검토를 해야 합니다.", "{k}번 주문은 추가 검토를 해야 함"), ("{k}번 주문의 주가 변동을 분석합니다.", "{k}번 주문의 주가 변동 분석"), ("{k}번 업무 사이 공백을 조정합니다.", "{k}번 업무 사이 공백 조정"), ("{k}번 주문은 그렇게 말했습니다.", "{k}번 주문은 그렇게 말하였음"),
 ], lambda t: G.formal_text(t, True))
 cases("heading_noun_endings", "orders", [("{k}차 출고 개요임", "{k}차 출고 개요"), ("{k}차 출고 성과이다", "{k}차 출고 성과"), ("{k}차 납품 일정입니다", "{k}차 납품 일정"), ("{k}차 출고 현황", "{k}차 출고 현황"), (None, None)], G.heading_noun_ending)
 cases("nominal_forms", "part", [("{name} 포장하", "{name} 포장함"), ("{name} 교체되", "{name} 교체됨"), ("{name} 남", "{name} 남음"), ("{name} 줄", "{name} 줆"), ("{name} 모자라", "{name} 모자람"), ("{kind}", "{kind}음")], G.nominalize)
