@@ -130,6 +130,12 @@ cases("fact_checks", "orders", [
     ("{k}번 주문 상자 {a}개", "{k}번 주문은 상자 {b}개입니다.", "number:{a}"), ("배송비 {a}억원", "배송비는 {b}억 원입니다.", "money:{a}억원"), ("배송비 {a}억원", "배송비는 {a}억 원입니다.", ""), ("출고율 {a}%", "출고율은 {b}%입니다.", "percent:{a}%"),
     ("9.{next}까지 출고", "9월 {day}일까지 출고합니다.", "date:9.{next}"), ("9.{day}까지 출고", "9월 {day}일까지 출고합니다.", ""), ("9.{day} 출고", "9월 {day}일에 출고합니다.", ""), ("2.30(월) 출고", "2월 30일 출고", "no_date:2.30(월)"),
     ("{k}번 주문 배송비 하락", "{k}번 주문은 배송비가 올랐습니다", "opposite"), ("{k}번 주문 인상 확정", "{k}번 주문은 인상안을 검토하고 있습니다", "settled"), ("{k}번 주문 상자 多", "{k}번 주문은 상자가 많습니다", "hanja:多"), ("{k}번 주문 SKU 반영", "{k}번 주문에 반영", "latin:sku"),
+    ("{k}번 기한 ~10.15일, 300만원 → 500만원, 1억 2천만원, 경쟁사(2개), 9월 2주차, 8.22(토) ~23(일)", "{k}번은 10월 15일까지 4명, 300만 원에서 500만 원으로, 약 1억 2천만 원, 경쟁사 두 곳, 9월 둘째 주, 8월 22일부터 이틀간", ""), ("{k}번 설계 {c}명 中 {a}명 확보", "{k}번 설계는 {c}명을 계획했는데 {b}명밖에 확보하지 못했습니다.", "number:{a}"),
+    ("{k}번 9.5(금) 확정", "{k}번은 9월 5일 확정 예정.", "weekday:9.5(금)"), ("{k}번 9.5(토) ~6(토) 확정", "{k}번은 9월 5일부터 이틀간 확정", "weekday:~6(토)"), ("{k}번 Calibration 반영", "{k}번에 캘리브레이션을 반영", ""), ("{k}번 : 연차 물가 연동 조정", "{k}번은 매년 물가 연동으로 조정합니다.", "blocked:연차"),
+    ("{k}번 부담액 : 연 {a},000만원 이상 발생 사례 다수", "{k}번의 일부는 연 {a}천만 원 이상을 부담하고 있습니다.", "opposite"), ("{k}번 부담액 : 연 {a},000만원 이상 발생 사례 일부", "{k}번의 일부는 연 {a}천만 원 이상을 부담하고 있습니다.", ""),
+    ("{k}번의 최종 비용은 환율 변동에 따라 상이", "{k}번의 최종 비용은 환율에 따라 달라질 수 있습니다.", "hedge:{substr(CAST(o_orderkey AS STRING) || '번의 최종 비용은 환율에 따라 달라질 수 있습니다', 1, 24)}"), ("{k}번의 최종 비용은 환율에 따라 변동 가능", "{k}번의 최종 비용은 환율에 따라 달라질 수 있습니다.", ""),
+    ("{k}번 경력자 부족으로 {a}개월 공석 2개", "{k}번은 경력자가 없어서 {a}개월 넘게 공석인 포지션이 두 개 있습니다.", "bound:{a}개월 넘"), ("{k}번 경력자 부족으로 {a}개월 이상 공석 2개", "{k}번은 경력자가 없어서 {a}개월 넘게 공석인 포지션이 두 개 있습니다.", ""),
+    ("{k}번 법무 검토 및 노조 협의 中", "{k}번은 법무 검토와 노조 협의를 거쳐 도입합니다", "progress:협의"), ("{k}번 노조 협의 中", "{k}번은 노조와 협의하고 있습니다", ""), ("{k}번 (1안) 우선 추진", "{k}번은 첫째 안을 우선 추진", ""),
 ], lambda line, source: told(O.line_problems(line, source, 2026)))
 cases("coined_words", "orders", [("{k}번 나눠보관 확대", "{k}번 나눠서 보관하는 방식", "나눠보관"), ("{k}번 상자폭 확대", "{k}번 상자 폭 확대", ""), ("", "", "")], lambda line, source: joined(K.coined_words(line, source)))
 cases("numbers_left_out", "orders", [("상자 {c}개 중 {b}개 출고, {a}개는 대기", "출고 {b}개 / 총 {c}개", "{a}"), ("작년 배송은 {b}%였고 올해는 {c}%입니다", "배송 {c}%", "{b}"), ("배송비는 {a}천만 원 이상", "배송비 {a},000만원 이상", "")], lambda source, line: joined(K.missing_numbers(source, line)))
