@@ -150,7 +150,10 @@ cases("plain_text_as_markdown", "part", [
     ("```\n- {name}\t{n}\n```\n끝", "```\n- {name}\t{n}\n```\n\n끝"), ("| {name} | {n} |\n| a | b |", "| {name} | {n} |\n| a | b |"),
 ], X.plain_to_markdown)
 LETTERS = {"hangul": "substr('가나다라마바사아자차카타파하', CAST((p_size - 1) % 14 AS INTEGER) + 1, 1)", "alpha": "chr(CAST(97 + (p_size - 1) % 26 AS INTEGER))"}
-cases("marker_formats", "part", [("{n}", "{n}. {repeat(" + LETTERS["hangul"] + ", CAST((p_size - 1) // 14 + 1 AS INTEGER))}. {repeat(" + LETTERS["alpha"] + ", CAST((p_size - 1) // 26 + 1 AS INTEGER))}.")], lambda n: F.concat_ws(" ", *[B.format_marker(t, n.cast("int")) for t in ("{n}.", "{hangul}.", "{alpha}.")]))
+#: DuckDB SQL of a size as a Roman numeral and as a circled number.
+ROMAN = "CASE WHEN p_size < 1 THEN 'I' ELSE repeat('M', CAST(p_size // 1000 AS INTEGER)) || " + " || ".join(f"string_split('{signs}', ',')[CAST(p_size // {unit} % 10 AS INTEGER) + 1]" for unit, signs in ((100, ",C,CC,CCC,CD,D,DC,DCC,DCCC,CM"), (10, ",X,XX,XXX,XL,L,LX,LXX,LXXX,XC"), (1, ",I,II,III,IV,V,VI,VII,VIII,IX"))) + " END"
+CIRCLED = "CASE WHEN p_size BETWEEN 1 AND 15 THEN substr('①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮', CAST(p_size AS INTEGER), 1) ELSE CAST(p_size AS VARCHAR) END"
+cases("marker_formats", "part", [("{n}", "{n}. {repeat(" + LETTERS["hangul"] + ", CAST((p_size - 1) // 14 + 1 AS INTEGER))}. {repeat(" + LETTERS["alpha"] + ", CAST((p_size - 1) // 26 + 1 AS INTEGER))}. {" + ROMAN + "}. {" + CIRCLED + "}")], lambda n: F.concat_ws(" ", *[B.format_marker(t, n.cast("int")) for t in ("{n}.", "{hangul}.", "{alpha}.", "{ROMAN}.", "{circled}")]))
 
 
 def cells(table: Column) -> Column:

@@ -113,3 +113,12 @@ def test_markers_and_fill(spark):
     assert got[0] == ("I.", "(가)", "①") and got[3][0] == "IV." and got[14] == ("XV.", "(가가)", "⑮") and got[15][2] == "16"
     level = spark.createDataFrame([([1.0, 2.0, 6.0], 12.0), ([5.0, 5.0], 4.0)], "w array<double>, t double").select(M.fill_up(F.col("w"), F.col("t"))).collect()
     assert level[0][0] == [3.0, 3.0, 6.0] and level[1][0] == [5.0, 5.0]
+
+
+def test_queries_of_stated_cases_keep_all_kinds():
+    from reportloom.plans import cases
+
+    sql = cases.oracle_sql()
+    assert all(f"{kind}:" in sql["fact_checks"] for kind in ("number", "money", "percent", "date", "weekday", "no_date", "hanja", "latin", "hedge", "bound", "progress", "blocked"))
+    assert all(text in sql["formal_noun_endings"] for text in ("지속적으로 발생하였습니다", "측정 기준은 운영 로그입니다", "추가 검토를 해야 합니다", "주가 변동을 분석합니다", "업무 사이 공백을 조정합니다", "그렇게 말했습니다"))
+    assert all(text in sql["marker_formats"] for text in ("XL", "⑮"))
