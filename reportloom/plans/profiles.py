@@ -47,7 +47,8 @@ def lineage(profiles: DataFrame) -> DataFrame:
     level = step(profiles.select("name", F.col("name").alias("ancestor"), F.lit(0).alias("depth"), F.array("name").alias("path"), F.lit(None).cast("string").alias("problem")).distinct())
     found = level
     for depth in range(1, MOST_STEPS + 1):
-        on = level.where("problem is null").join(parents, "ancestor").where("next is not null").join(known, "next", "left")
+        # both sides grow with the profiles: sorted and merged, as a broadcast at each level would pass them through the driver
+        on = level.where("problem is null").join(parents.hint("merge"), "ancestor").where("next is not null").join(known.hint("merge"), "next", "left")
         problem = F.when(F.array_contains("path", F.col("next")) | F.lit(depth == MOST_STEPS), "cycle").when(F.col("__known").isNull(), "missing")
         level = step(on.select("name", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"), F.concat("path", F.array("next")).alias("path"), problem.alias("problem")))
         if level.isEmpty():
@@ -61,7 +62,7 @@ def resolved(profiles: DataFrame) -> DataFrame:
     mapping; null for an empty one). Where a chain has a problem, the profile is null; a body that is no JSON mapping is
     the problem ``broken`` of all that inherit it."""
     chain = lineage(profiles)
-    bodies = chain.join(profiles.select(F.col("name").alias("ancestor"), "body"), "ancestor", "left")
+    bodies = chain.join(profiles.select(F.col("name").alias("ancestor"), "body").hint("merge"), "ancestor", "left")
     gathered = bodies.groupBy("name").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("far"), "body"))).alias("__b"), F.max("problem").alias("problem"))
 
     @F.arrow_udf("string")

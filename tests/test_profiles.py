@@ -41,3 +41,10 @@ def test_job_states_over_batches(spark, tmp_path):
     assert second["j1"] == ("done", 0.5, "ok", 4, "10:10") and second["j4"] == ("read", 0.0, "", 1, "11:30") and second["j2"][0] in ("read", "lost")
     third = heard("3.json", [("j4", f"{day}11:31:00Z", "fit", 0.3, "y")])
     assert third["j2"] == ("lost", 0.2, "x", 1, "10:01") and third["j1"][0] == "done" and third["j4"] == ("fit", 0.3, "y", 2, "11:31")
+
+
+def test_chains_are_not_broadcast(spark):
+    df = spark.createDataFrame([(1, None, '{"a": 1}'), (2, 1, '{"b": 2}')], "name long, extends long, body string")
+    out = PF.resolved(df)
+    assert sorted(r["profile"] for r in out.collect()) == ['{"a": 1, "b": 2}', '{"a": 1}']
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
