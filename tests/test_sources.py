@@ -84,6 +84,12 @@ def test_html_references_end_with_a_semicolon(spark):
     assert rows[2]["runs"][0]["href"] == "?a=1&copy=2"
 
 
+def test_pages_of_a_batch_come_in_slices(spark):
+    df = spark.range(3 * H.SLICE_PAGES + 1).coalesce(1).selectExpr("id AS page_id", "concat('<p>', id, '</p>') AS html")
+    rows = H.read_blocks(df, "page_id", "html").collect()
+    assert [(r["page_id"], r["text"]) for r in rows] == [(i, str(i)) for i in range(3 * H.SLICE_PAGES + 1)]
+
+
 def test_watch_converts_each_file_once(spark, tmp_path):
     source, sink, memory = (str(tmp_path / d) for d in ("in", "out", "memory"))
     (tmp_path / "in").mkdir()
