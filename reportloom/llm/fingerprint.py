@@ -26,6 +26,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 SAMPLES = 128
 #: (word, count) pairs whose samples a worker remembers at most; 8 * SAMPLES bytes each.
 MEMO_TERMS = 100_000
+#: Terms whose samples are computed at a time, and rows of a batch that are Python objects at a time.
+TERMS, ROWS = 2048, 1024
 #: Rows of a range of neighbouring ids, about, until there are MOST_RANGES ranges, and ids looked at for each boundary;
 #: a range is read in order by one task.
 BUCKET_ROWS, MOST_RANGES, IDS_PER_CUT = 2000, 20_000, 20
@@ -113,8 +115,10 @@ class Sampler:
             terms = [t for t in terms if t not in self.old]
         at = len(self.young)
         if terms:
-            seeds = np.array([xxhash.xxh64_intdigest(w) for w, _ in terms], np.uint64)
-            self.samples[at : at + len(terms)] = term_samples(seeds, np.array([n for _, n in terms], np.float64))
+            for i in range(0, len(terms), TERMS):
+                some = terms[i : i + TERMS]
+                seeds = np.array([xxhash.xxh64_intdigest(w) for w, _ in some], np.uint64)
+                self.samples[at + i : at + i + len(some)] = term_samples(seeds, np.array([n for _, n in some], np.float64))
             self.young.update(zip(terms, range(at, at + len(terms)), strict=True))
 
     def signature(self, text: str) -> np.ndarray:
@@ -198,7 +202,7 @@ def follow(batches: Iterator[pa.RecordBatch], out: StructType) -> Iterator[pa.Re
     from pyspark.sql.pandas.types import to_arrow_schema
 
     sampler, schema, waiting = Sampler(), to_arrow_schema(out), None
-    for batch in batches:
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         rows = []
         for key, text, bucket, tail in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             own = None if tail and (waiting is None or waiting[0] != bucket) else sampler.signature(text)
