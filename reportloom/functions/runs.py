@@ -127,31 +127,31 @@ def carried(runs: Column, text: Column) -> Column:
     what is new between gets the style of the run in which the change begins."""
 
     def edit(x: Column) -> Column:
-        old, new = plain(x["runs"]), x["text"]
-        head = common_start(old, new)
+        old, new, size = x["old"], x["new"], F.char_length(x["old"])
 
-        def ends(h: Column) -> Column:
-            room = F.least(F.char_length(old), F.char_length(new)) - h["head"]
-            return F.least(common_start(F.reverse(old), F.reverse(new)), room)
+        def headed(head: Column) -> Column:
+            room = F.least(size, F.char_length(new)) - head
+            tail = F.least(common_start(F.reverse(old), F.reverse(new)), room)
+            return let(F.struct(head.alias("head"), tail.cast("int").alias("tail")), spans)
 
         def spans(h: Column) -> Column:
-            tail, size = ends(h), F.char_length(old)
+            head, tail = h["head"], h["tail"]
             start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("placed"), F.array().cast(f"array<{RUN}>").alias("done"))
 
             def step(s: Column, r: Column) -> Column:
                 n = F.char_length(r["text"])
-                before = F.substr(r["text"], F.lit(1), F.greatest(F.least(n, h["head"] - s["at"]), F.lit(0)))
+                before = F.substr(r["text"], F.lit(1), F.greatest(F.least(n, head - s["at"]), F.lit(0)))
                 kept = F.greatest(F.least(n, s["at"] + n - (size - tail)), F.lit(0))
                 after = F.when(kept > 0, F.substr(r["text"], n - kept + 1)).otherwise("")
-                here = ~s["placed"] & ((s["at"] + n > h["head"]) | ((s["at"] + n >= size) & (h["head"] >= size)))
-                middle = F.when(here, F.substr(new, h["head"] + 1, F.char_length(new) - h["head"] - tail)).otherwise("")
+                here = ~s["placed"] & ((s["at"] + n > head) | ((s["at"] + n >= size) & (head >= size)))
+                middle = F.when(here, F.substr(new, head + 1, F.char_length(new) - head - tail)).otherwise("")
                 return F.struct((s["at"] + n).cast("int").alias("at"), (s["placed"] | here).alias("placed"), F.concat(s["done"], F.array(with_text(r, F.concat(before, middle, after)))).alias("done"))
 
             return filled_only(F.aggregate(x["runs"], start, step, lambda s: s["done"]))
 
-        return let(F.struct(head.cast("int").alias("head")), spans)
+        return let(common_start(old, new).cast("int"), headed)
 
-    return let(F.struct(runs.alias("runs"), text.alias("text")), edit)
+    return let(F.struct(runs.alias("runs"), plain(runs).alias("old"), text.alias("new")), edit)
 
 
 def escaped(text: Column) -> Column:

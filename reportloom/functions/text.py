@@ -35,8 +35,11 @@ NUMBER_FORMS = {
 
 
 def let(value: Column, then) -> Column:
-    """``then(value)`` with ``value`` computed once, however often ``then`` uses it."""
-    return F.transform(F.array(value), then)[0]
+    """``then(value)`` with ``value`` computed once, however often ``then`` uses it.
+
+    Not ``[0]``: Spark works out the type of what that is taken from anew for each row, over the whole of ``then``.
+    """
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def filled(text: Column) -> Column:

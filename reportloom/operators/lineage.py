@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many partitions as a shuffle has, all cores at least: for rows that cost much more
+    than moving them, as a small file with many rows is read in few splits and keeps few cores busy."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def step(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, whatever reads it and whichever executor is lost."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/reportloom-{uuid.uuid4().hex}"

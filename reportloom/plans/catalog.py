@@ -20,6 +20,7 @@ from ..operators import stats as S
 from ..operators import structure as B
 from ..operators import table_fit as TF
 from ..operators import tables as TB
+from ..operators.lineage import dealt
 from ..sources import html as H
 from ..sources import text_files as X
 from . import cases
@@ -596,7 +597,7 @@ FROM (SELECT *, CAST(floor(p_retailprice) AS BIGINT) AS w FROM part)"""
 def part_runs(spark, sf_dir):
     """A styled line for each part: read from Markdown, notation mended within its runs, written again; and a word
     replaced in the plain text with the styles carried over."""
-    part = table(spark, sf_dir, "part").withColumn("w", F.floor("p_retailprice").cast("string"))
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", F.floor("p_retailprice").cast("string").alias("w")), "p_partkey")
     line = F.concat(F.lit("__"), "p_brand", F.lit("__ 가격 *"), "w", F.lit("원* 및 `"), "w", F.lit("원` ["), "p_name", F.lit("](p/"), F.col("p_partkey").cast("string"), F.lit(")"))
     read = X.with_runs(part.withColumn("line", line), "line")
     carried = R.carried(F.col("runs"), F.replace(R.plain(F.col("runs")), F.lit("가격"), F.lit("값")))
@@ -646,7 +647,8 @@ def fit_cells(spark, sf_dir):
     """A table for each size of parts: name, type and a remark of one to six names, under a header; the room grows with
     the size."""
     remark = F.array_join(F.array_repeat("p_name", (1 + F.col("p_partkey") % 6).cast("int")), " ")
-    part = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("table_id"), (F.col("p_partkey") + 1).alias("row_idx"), F.posexplode(F.array("p_name", "p_type", remark)).alias("cell_idx", "text"), F.lit(False).alias("is_header"))
+    rows = dealt(table(spark, sf_dir, "part").select("p_size", "p_partkey", "p_name", "p_type"), "p_partkey")
+    part = rows.select(F.col("p_size").cast("long").alias("table_id"), (F.col("p_partkey") + 1).alias("row_idx"), F.posexplode(F.array("p_name", "p_type", remark)).alias("cell_idx", "text"), F.lit(False).alias("is_header"))
     head = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("table_id")).distinct().select("table_id", F.lit(0).cast("long").alias("row_idx"), F.posexplode(F.array(F.lit("name"), F.lit("type"), F.lit("remarks of clerks"))).alias("cell_idx", "text"), F.lit(True).alias("is_header"))
     return part.unionByName(head).withColumns({"grid_col": F.col("cell_idx"), "colspan": F.lit(1), "align": F.lit(None).cast("string"), "available": F.lit(1_200_000) + F.col("table_id") * 60_000})
 
@@ -775,7 +777,7 @@ def drafts_mended(spark, sf_dir):
     """Lines of drafts about orders against their sources: kept, mended by rule, restored or dropped."""
     names = cases.NAMES["orders"]
     pick = lambda i, name: F.expr(f"CASE o_orderkey % {len(DRAFTS)} " + " ".join(f"WHEN {j} THEN {cases.spelled(d[i], names)}" for j, d in enumerate(DRAFTS)) + " END").alias(name)
-    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).alias("line_no"), pick(0, "text"), pick(1, "source"))
+    lines = dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.lit(1).alias("line_no"), pick(0, "text"), pick(1, "source"))
     return DR.mended(lines, ["o_orderkey"], 2026).select("o_orderkey", "action", "text", F.array_join("problems", ",").alias("problems"))
 
 
