@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ UNITS = ("원", "명", "건", "개", "대", "회", "시간", "일", "월", "km",
 STRIPPED = (r"(?U)Unknown macro:\s*\{[^}]*\}", r"\[edit\]", r"\(edit\)", r"(?U)!\[\]\(\s*\)", r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]")
 LITERALS = (("：", ": "), ("，", ", "), ("∼", "~"), ("º", "°"), (" ,", ","), (" .", "."))
 SPACING = ((r"(?U)\s*및\s*", " 및 "), (r"(?U)\s*등\s*의\s*", " 등의 "), (r"(?U)\(\s+", "("), (r"(?U)\s+\)", ")"), (r"(?U)\s{2,}", " "))
+#: What a text has where any of STRIPPED, of the rules of dates and thousands, or of SPACING finds something.
+STRIPPED_SIGN, DIGITS_SIGN, SPACING_SIGN = r"Unknown macro:|\[edit\]|\(edit\)|!\[\]\(|" + STRIPPED[-1], r"(?U)\d{4}", r"(?U)[및등]|\(\s|\s\)|\s{2}"
 MONEY_UNITS = {"조": 1e12, "억": 1e8, "천만": 1e7, "백만": 1e6, "만": 1e4, "천": 1e3}
 NUMBER = r"\d+(?:\.\d+)?"
 MONEY = rf"(?U)((?:{NUMBER}\s*(?:조|억|천만|백만|만|천)\s*)+(?:{NUMBER}\s*)?|{NUMBER}\s*)원"
@@ -35,6 +39,17 @@ MONTH, DAY = r"0?([1-9]|1[0-2])", r"0?([1-9]|[12]\d|3[01])"
 WEEKDAYS = "월화수목금토일"
 
 
+def where_has(text: Column, sign: str, found: Column, kind: str = "array<string>") -> Column:
+    """The array ``found`` where ``text`` has ``sign``, which all of its finds hold; else none, without a search."""
+    return F.when(F.contains(text, F.lit(sign)), found).otherwise(F.array().cast(kind))
+
+
+def replaced(text: Column, sign: str, pattern: str, other: str) -> Column:
+    """``text`` (named thrice, so a plain column) with ``pattern`` replaced, searched for only where ``sign`` is, which
+    all of its finds hold."""
+    return F.when(F.contains(text, F.lit(sign)), F.regexp_replace(text, pattern, other)).otherwise(text)
+
+
 def dates(text: Column, form: str = "$1. $2. $3.") -> Column:
     """Dates such as 2026-07-05, 2026/7/5 or 2026년 7월 5일 in one form; impossible ones stay."""
     t = F.regexp_replace(text, rf"(?U)(?<!\d)(\d{{4}})\s*[-./]\s*{MONTH}\s*[-./]\s*{DAY}\.?(?!\d)", form)
@@ -51,35 +66,39 @@ def thousands(text: Column, units: tuple[str, ...] = UNITS) -> Column:
 
 def notation(text: Column) -> Column:
     """All notation rules in their order: remains stripped, literals, dates, thousands, spacing, ends trimmed."""
-    t = filled(text)
-    for pattern in STRIPPED:
-        t = F.regexp_replace(t, pattern, "")
+    folded = lambda t, rules: reduce(lambda u, r: F.regexp_replace(u, *r), rules, t)
+    where = lambda t, sign, then: F.when(t.rlike(sign), then).otherwise(t)
+    spaced = lambda t: where(t, SPACING_SIGN, folded(t, SPACING))
+    t = where(filled(text), STRIPPED_SIGN, folded(filled(text), [(pattern, "") for pattern in STRIPPED]))
     for before, after in LITERALS:
         t = F.replace(t, F.lit(before), F.lit(after))
-    t = thousands(dates(t))
-    for pattern, other in SPACING:
-        t = F.regexp_replace(t, pattern, other)
+    t = let(let(t, lambda t: where(t, DIGITS_SIGN, thousands(dates(t)))), spaced)
     return F.when(strip(filled(text)) == "", text).otherwise(strip(t))
 
 
 def clean_numbers(text: Column) -> Column:
     """Without the commas between thousands."""
-    return F.regexp_replace(filled(text), r"(?<=\d),(?=\d{3})", "")
+    return replaced(filled(text), ",", r"(?<=\d),(?=\d{3})", "")
 
 
 def plain_number(number: Column) -> Column:
     """A number in its shortest form: no leading zeros, no zeros behind the last decimal, no bare point."""
-    whole = F.regexp_replace(number, r"^0+(?=\d)", "")
+    whole = F.when(number.startswith("0"), F.regexp_replace(number, r"^0+(?=\d)", "")).otherwise(number)
     return F.when(F.contains(number, F.lit(".")), F.regexp_replace(F.regexp_replace(whole, "0+$", ""), r"\.$", "")).otherwise(whole)
 
 
 def numbers(text: Column) -> Column:
     """Distinct plain numbers of a text in order of appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(clean_numbers(text), F.lit(f"({NUMBER})"), F.lit(1)), plain_number))
+    return numbers_in(clean_numbers(text))
 
 
-def percents(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(clean_numbers(text), F.lit(rf"(?U)({NUMBER})\s*%"), F.lit(1)), lambda x: x.cast("double")))
+def numbers_in(clean: Column) -> Column:
+    return F.array_distinct(F.transform(found_in(clean, NUMBER), plain_number))
+
+
+def percents_in(clean: Column) -> Column:
+    """Distinct percents of a text without commas between thousands."""
+    return F.array_distinct(F.transform(where_has(clean, "%", found_in(clean, rf"(?U)({NUMBER})\s*%", 1)), lambda x: x.cast("double")))
 
 
 def money_value(phrase: Column) -> Column:
@@ -91,24 +110,28 @@ def money_value(phrase: Column) -> Column:
         unit = F.regexp_extract(part, "(조|억|천만|백만|만|천)$", 1)
         return F.regexp_extract(part, f"({NUMBER})", 1).cast("double") * F.when(unit == "", F.lit(1.0)).otherwise(F.try_element_at(units, unit))
 
-    return F.when(F.size(parts) > 0, F.aggregate(F.transform(parts, value), F.lit(0.0), lambda a, b: a + b))
+    return let(F.transform(parts, value), lambda p: F.when(F.size(p) > 0, F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))
 
 
-def money(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(clean_numbers(text), F.lit(MONEY), F.lit(1)), money_value))
+def money_in(clean: Column) -> Column:
+    """Distinct amounts of a text without commas between thousands."""
+    return F.array_distinct(F.transform(where_has(clean, "원", found_in(clean, MONEY, 1)), money_value))
 
 
-def day_pairs(text: Column) -> Column:
+def day_pairs_in(clean: Column) -> Column:
     """Distinct 'month.day' of Korean, dotted and spaced dates, in that order, then the further days of spans such as
-    '8월 22일부터 이틀간'."""
-    t = clean_numbers(text)
-    pair = lambda m, d: F.concat(m.cast("int").cast("string"), F.lit("."), d.cast("int").cast("string"))
-    found = []
-    for pattern in (KOREAN_DATE, DOTTED_DATE, SPACED_DATE):
-        months, days = (F.regexp_extract_all(t, F.lit(pattern), F.lit(i)) for i in (1, 2))
-        dated = F.zip_with(months, days, lambda m, d: F.when((F.lit(pattern) != SPACED_DATE) | m.cast("int").between(1, 12), pair(m, d)))
-        found.append(F.filter(dated, lambda x: x.isNotNull()))
-    spans = F.regexp_extract_all(t, F.lit(rf"{KOREAN_DATE}\s*부터\s*(?:{'|'.join(DURATION_DAYS)})간"), F.lit(0))
+    '8월 22일부터 이틀간', of a text without commas between thousands."""
+
+    def dated(sign: str, pattern: str) -> Column:
+        def pair(date: Column) -> Column:
+            month, day = (F.regexp_extract(date, pattern, i).cast("int") for i in (1, 2))
+            told = F.concat(month.cast("string"), F.lit("."), day.cast("string"))
+            return F.when(month.between(1, 12), told) if pattern == SPACED_DATE else told
+
+        return F.filter(F.transform(where_has(clean, sign, found_in(clean, pattern)), pair), lambda x: x.isNotNull())
+
+    found = [dated("월", KOREAN_DATE), dated(".", DOTTED_DATE), dated(".", SPACED_DATE)]
+    spans = where_has(clean, "부터", found_in(clean, rf"{KOREAN_DATE}\s*부터\s*(?:{'|'.join(DURATION_DAYS)})간"))
     return F.array_distinct(F.concat(*found, F.flatten(F.transform(spans, further_days))))
 
 
@@ -121,14 +144,13 @@ def further_days(span: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), days - 1), lambda k: F.concat(month.cast("string"), F.lit("."), (first + k).cast("string")))
 
 
-def known_numbers(text: Column) -> Column:
-    """Plain numbers that a text states: written ones, months and days of its dates, and number words."""
-    t = filled(text)
+def known_numbers(text: Column, clean: Column, days: Column) -> Column:
+    """Plain numbers that a text states: written ones, months and days of its dates, and number words. ``clean`` and
+    ``days``: the text without commas between thousands, and its dates."""
     # of words that begin alike all stand for one number, so the first that fits tells it
     values = F.create_map(*[F.lit(x) for word, n in NUMBER_WORDS.items() for x in (word, str(n))])
-    words = F.transform(found_in(t, rf"(?U)(?:^|[\s(])({'|'.join(NUMBER_WORDS)})", 1), lambda w: F.try_element_at(values, w))
-    parts = F.flatten(F.transform(day_pairs(text), lambda d: F.split(d, r"\.")))
-    return F.array_union(numbers(text), F.array_union(parts, words))
+    words = F.transform(found_in(text, rf"(?U)(?:^|[\s(])({'|'.join(NUMBER_WORDS)})", 1), lambda w: F.try_element_at(values, w))
+    return F.array_union(numbers_in(clean), F.array_union(F.flatten(F.transform(days, lambda d: F.split(d, r"\."))), words))
 
 
 def found_in(text: Column, pattern: str, group: int = 0) -> Column:
@@ -142,7 +164,12 @@ def day_of(date: Column, pattern: str) -> Column:
 
 def stated(text: Column) -> Column:
     """STRUCT<percents, money, days, known> of a text."""
-    return F.struct(percents(text).alias("percents"), money(text).alias("money"), day_pairs(text).alias("days"), known_numbers(text).alias("known"))
+
+    def told(x: Column) -> Column:
+        text, clean = x["text"], x["clean"]
+        return let(day_pairs_in(clean), lambda d: F.struct(percents_in(clean).alias("percents"), money_in(clean).alias("money"), d.alias("days"), known_numbers(text, clean, d).alias("known")))
+
+    return let(F.struct(filled(text).alias("text"), clean_numbers(text).alias("clean")), told)
 
 
 def missing_numbers(source: Column, output: Column) -> Column:
@@ -151,15 +178,18 @@ def missing_numbers(source: Column, output: Column) -> Column:
 
     def missing(x: Column) -> Column:
         text, have = x["text"], x["have"]
-        kept_money = F.filter(found_in(text, MONEY), lambda m: F.array_contains(have["money"], money_value(m)))
-        kept_percent = F.filter(found_in(text, rf"(?U){NUMBER}\s*%"), lambda p: F.array_contains(have["percents"], F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))
-        kept_dates = F.filter(found_in(text, KOREAN_DATE), lambda d: F.array_contains(have["days"], day_of(d, KOREAN_DATE)))
+        kept_money = F.filter(where_has(text, "원", found_in(text, MONEY)), lambda m: F.array_contains(have["money"], money_value(m)))
+        kept_percent = F.filter(where_has(text, "%", found_in(text, rf"(?U){NUMBER}\s*%")), lambda p: F.array_contains(have["percents"], F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))
+        kept_dates = F.filter(where_has(text, "월", found_in(text, KOREAN_DATE)), lambda d: F.array_contains(have["days"], day_of(d, KOREAN_DATE)))
         masked = F.aggregate(F.concat(kept_money, kept_percent, kept_dates), text, lambda t, span: F.replace(t, span, F.lit(" ")))
         return F.array_sort(F.array_except(numbers(masked), have["known"]), lambda a, b: F.when(a.cast("double") < b.cast("double"), -1).when(a.cast("double") > b.cast("double"), 1).otherwise(0))
 
     return let(F.struct(clean_numbers(source).alias("text"), stated(output).alias("have")), missing)
 
 
+PROBLEMS = "array<struct<kind:string,shown:string>>"
+
+
 def problems(kind: str, shown: Column) -> Column:
     """ARRAY<STRUCT<kind, shown>> of the strings ``shown``."""
     return F.transform(shown, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("shown")))
@@ -172,22 +202,34 @@ def invented_facts(line: Column, source: Column) -> Column:
     Option numbers such as (1안) are exempt.
     """
 
+    percent = rf"(?U){NUMBER}\s*%"
+
+    def left(text: Column, done: tuple, after) -> Column:
+        """``after`` with ``done`` and the text, then the text without each kind's finds."""
+        if len(done) == 4:
+            return after((*done, text))
+        sign, pattern = (("%", percent), ("원", MONEY), (".", DOTTED_DATE), ("월", KOREAN_DATE))[len(done)]
+        return let(text, lambda t: left(replaced(t, sign, pattern, " "), (*done, t), after))
+
     def compared(x: Column) -> Column:
-        have, percent = x["have"], rf"(?U){NUMBER}\s*%"
-        rest = [F.regexp_replace(x["line"], r"(?U)\(?\d+\s*안\)?", " ")]
-        for pattern in (percent, MONEY, DOTTED_DATE, KOREAN_DATE):
-            rest.append(F.regexp_replace(rest[-1], pattern, " "))
+        have = x["have"]
         new_date = lambda d, form: ~F.array_contains(have["days"], day_of(d, form))
         new_number = lambda n: ~F.array_contains(have["known"], plain_number(n))
-        return F.concat(
-            problems("percent", F.filter(found_in(rest[0], percent), lambda p: ~F.array_contains(have["percents"], F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))),
-            problems("money", F.transform(F.filter(found_in(rest[1], MONEY), lambda m: ~F.array_contains(have["money"], money_value(m))), strip)),
-            problems("date", F.filter(found_in(rest[2], DOTTED_DATE), lambda d: new_date(d, DOTTED_DATE) & new_number(d))),
-            problems("date", F.filter(found_in(rest[3], KOREAN_DATE), lambda d: new_date(d, KOREAN_DATE))),
-            problems("number", F.array_distinct(F.filter(found_in(rest[4], NUMBER), new_number))),
-        )
 
-    return let(F.struct(clean_numbers(line).alias("line"), stated(source).alias("have")), compared)
+        def shown(rest: tuple) -> Column:
+            return F.concat(
+                problems("percent", F.filter(where_has(rest[0], "%", found_in(rest[0], percent)), lambda p: ~F.array_contains(have["percents"], F.regexp_extract(p, f"({NUMBER})", 1).cast("double")))),
+                problems("money", F.transform(F.filter(where_has(rest[1], "원", found_in(rest[1], MONEY)), lambda m: ~F.array_contains(have["money"], money_value(m))), strip)),
+                problems("date", F.filter(where_has(rest[2], ".", found_in(rest[2], DOTTED_DATE)), lambda d: new_date(d, DOTTED_DATE) & new_number(d))),
+                problems("date", F.filter(where_has(rest[3], "월", found_in(rest[3], KOREAN_DATE)), lambda d: new_date(d, KOREAN_DATE))),
+                problems("number", F.array_distinct(F.filter(found_in(rest[4], NUMBER), new_number))),
+            )
+
+        return left(replaced(x["line"], "안", r"(?U)\(?\d+\s*안\)?", " "), (), shown)
+
+    # without a digit a line states no fact, and its source needs no look
+    read = lambda t: let(F.struct(t.alias("line"), stated(source).alias("have")), compared)
+    return let(clean_numbers(line), lambda t: F.when(t.rlike(r"(?U)\d"), read(t)).otherwise(F.array().cast(PROBLEMS)))
 
 
 def invented_numbers(line: Column, source: Column) -> Column:
@@ -202,7 +244,7 @@ def foreign_words(line: Column, source: Column) -> Column:
     allowed = words(filled(source))
     for term, other in TERMS.items():
         allowed = F.concat(allowed, F.when(F.contains(filled(source), F.lit(term)), words(F.lit(other))).otherwise(F.array().cast("array<string>")))
-    return F.array_except(words(filled(line)), allowed)
+    return F.when(filled(line).rlike("[A-Za-z]"), F.array_except(words(filled(line)), allowed)).otherwise(F.array().cast("array<string>"))
 
 
 def foreign_hanja(line: Column, source: Column) -> Column:
@@ -232,7 +274,8 @@ def unhedged(line: Column, source: Column) -> Column:
     text = clean_numbers(line)
     clauses = F.filter(F.split(clean_numbers(source), r"(?U)[,，.]|(?<=[고며서만])\s", -1), lambda c: c.rlike("|".join(HEDGES)))
     flat = F.filter(clauses, lambda c: let(F.struct(c.alias("clause"), text.alias("line")), told))
-    return F.when(text.rlike("|".join(HEDGED_LINE)), F.array().cast("array<string>")).otherwise(F.transform(F.slice(flat, 1, 1), lambda c: F.left(strip(c), F.lit(24))))
+    settled = ~filled(source).rlike("|".join(HEDGES)) | text.rlike("|".join(HEDGED_LINE))
+    return F.when(settled, F.array().cast("array<string>")).otherwise(F.transform(F.slice(flat, 1, 1), lambda c: F.left(strip(c), F.lit(24))))
 
 
 def lost_bounds(line: Column, source: Column) -> Column:
@@ -257,7 +300,7 @@ def unshown_progress(line: Column, source: Column) -> Column:
         windows = F.regexp_extract_all(clean_numbers(source), near, F.lit(1))
         return (F.size(windows) > 0) & ~F.exists(windows, lambda w: w.rlike("|".join(PROGRESS_SHOWN)))
 
-    return F.filter(found_in(clean_numbers(line), found, 1), unshown)
+    return F.when(filled(line).rlike("|".join(PROGRESS)), F.filter(found_in(clean_numbers(line), found, 1), unshown)).otherwise(F.array().cast("array<string>"))
 
 
 def coined_words(line: Column, source: Column) -> Column:
@@ -281,18 +324,20 @@ def coined_words(line: Column, source: Column) -> Column:
 def weekday_problems(text: Column, year: int) -> Column:
     """Weekdays in '9.5(토)', and in range ends '~ 23(일)' of the last month named so, that the year's calendar
     contradicts ('weekday'), and dates that it has not ('no_date'), as ARRAY<STRUCT<kind, shown>>."""
-    t = clean_numbers(text)
     day_form, end_form = rf"(?U)(?<![\d.])(\d{{1,2}})\.(\d{{1,2}})\s*\(([{WEEKDAYS}])\)", rf"(?U)~\s*(\d{{1,2}})\s*\(([{WEEKDAYS}])\)"
-    last_month = F.element_at(F.concat(F.array(F.lit("")), found_in(t, day_form, 1)), -1)
 
     def problem(shown: Column, month: Column, day: Column, named: Column) -> Column:
         date = F.try_to_date(F.concat_ws("-", F.lit(str(year)), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
         actual = F.substring(F.lit(WEEKDAYS), F.weekday(date) + 1, F.lit(1))
         return F.when(date.isNull(), F.struct(F.lit("no_date").alias("kind"), shown.alias("shown"))).when(actual != named, F.struct(F.lit("weekday").alias("kind"), shown.alias("shown")))
 
-    days = F.transform(found_in(t, rf"{day_form}"), lambda s: problem(s, *(F.regexp_extract(s, day_form, i) for i in (1, 2, 3))))
-    ends = F.transform(found_in(t, end_form), lambda s: F.when(last_month != "", problem(s, last_month, F.regexp_extract(s, end_form, 1), F.regexp_extract(s, end_form, 2))))
-    return F.filter(F.concat(days, ends), lambda p: p.isNotNull())
+    def found(t: Column) -> Column:
+        last_month = F.element_at(F.concat(F.array(F.lit("")), found_in(t, day_form, 1)), -1)
+        days = F.transform(found_in(t, rf"{day_form}"), lambda s: problem(s, *(F.regexp_extract(s, day_form, i) for i in (1, 2, 3))))
+        ends = F.transform(found_in(t, end_form), lambda s: F.when(last_month != "", problem(s, last_month, F.regexp_extract(s, end_form, 1), F.regexp_extract(s, end_form, 2))))
+        return F.filter(F.concat(days, ends), lambda p: p.isNotNull())
+
+    return let(clean_numbers(text), lambda t: where_has(t, "(", found(t), PROBLEMS))
 
 
 def date_shapes(text: Column) -> Column:

@@ -30,8 +30,9 @@ def cited_text(lines: DataFrame, keys: list[str]) -> DataFrame:
 def uncovered_by_source(sentences: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """Cited sentences with numbers that no citing line has: keys, sent_no, missing."""
     joined = sentences.join(cited_text(lines, keys), [*keys, "sent_no"])
-    found = joined.select(*keys, "sent_no", K.missing_numbers(F.col("text"), F.col("cited")).alias("missing"))
-    return found.where(F.size("missing") > 0)
+    # a filter on the result would be computed a second time, in the join; none or one are spread instead
+    some = F.filter(F.array(K.missing_numbers(F.col("text"), F.col("cited"))), lambda m: F.size(m) > 0)
+    return joined.select(*keys, "sent_no", F.explode(some).alias("missing"))
 
 
 def uncited_sentences(sentences: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
