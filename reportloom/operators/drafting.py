@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import facts as K
 from ..functions import hangul as G
 from ..functions import text as T
-from ..functions.text import let
 from .facts import line_problems
 
 ANSWER = "title string, lines array<struct<m:string,text:string,src:array<int>,rows:array<array<string>>>>, dropped array<int>"
@@ -159,18 +158,20 @@ def mended(lines: DataFrame, keys: list[str], year: int, summaries: str | None =
     """
     summary = F.coalesce(F.col(summaries), F.lit(False)) if summaries else F.lit(False)
     kinds = lambda t, s, y: F.transform(problems_of(t, s, year, y), lambda p: p["kind"])
-
-    def chosen(x: Column) -> Column:
-        out = lambda action, text, left: F.struct(F.lit(action).alias("action"), text.alias("text"), left.alias("problems"))
-        none = F.array().cast("array<string>")
-        fixed = let(G.style_fix(x["text"]), lambda t: F.struct(t.alias("text"), kinds(t, x["source"], x["summary"]).alias("left")))
-        whole = let(G.formal_text(K.notation(x["source"]), True), lambda t: F.struct(t.alias("text"), kinds(t, x["source"], x["summary"]).alias("left")))
-        lost = (x["source"] == "") | x["summary"]
-        again = F.when(lost, out("dropped", F.lit(None).cast("string"), x["found"])).otherwise(let(whole, lambda w: out("restored", w["text"], w["left"])))
-        return F.when(F.size(x["found"]) == 0, out("kept", x["text"], none)).otherwise(let(fixed, lambda f: F.when(F.size(f["left"]) == 0, out("fixed", f["text"], none)).otherwise(again)))
-
-    given = F.struct(T.filled(F.col("text")).alias("text"), T.filled(F.col("source")).alias("source"), summary.alias("summary"), kinds(T.filled(F.col("text")), T.filled(F.col("source")), summary).alias("found"))
-    return lines.withColumn("__m", let(given, chosen)).withColumns({"text": F.col("__m.text"), "action": F.col("__m.action"), "problems": F.col("__m.problems")}).drop("__m")
+    c = {n: F.col(f"__{n}") for n in ("text", "source", "summary", "found", "fixed", "left", "whole", "last")}
+    # a column for each attempt, null where an earlier one is good; not one nested expression, which Spark resolves a level at a time
+    tried = lines.withColumns({"__text": T.filled(F.col("text")), "__source": T.filled(F.col("source")), "__summary": summary})
+    tried = tried.withColumn("__found", kinds(c["text"], c["source"], c["summary"]))
+    tried = tried.withColumn("__fixed", F.when(F.size(c["found"]) > 0, G.style_fix(c["text"])))
+    tried = tried.withColumn("__left", F.when(c["fixed"].isNotNull(), kinds(c["fixed"], c["source"], c["summary"])))
+    lost = (c["source"] == "") | c["summary"]
+    again = c["left"].isNotNull() & (F.size(c["left"]) > 0)
+    tried = tried.withColumn("__whole", F.when(again & ~lost, G.formal_text(K.notation(c["source"]), True)))
+    tried = tried.withColumn("__last", F.when(c["whole"].isNotNull(), kinds(c["whole"], c["source"], c["summary"])))
+    which = lambda kept, fixed, dropped, restored: F.when(F.size(c["found"]) == 0, kept).when(~again, fixed).when(lost, dropped).otherwise(restored)
+    none = F.array().cast("array<string>")
+    done = {"text": which(c["text"], c["fixed"], F.lit(None).cast("string"), c["whole"]), "action": which(F.lit("kept"), F.lit("fixed"), F.lit("dropped"), F.lit("restored")), "problems": which(none, none, c["found"], c["last"])}
+    return tried.withColumns(done).drop(*[f"__{n}" for n in c])
 
 
 def residue(sentences: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
